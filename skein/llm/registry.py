@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import substring_dedup
+from skein.llm import ngram_join, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
     }
