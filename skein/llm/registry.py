@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import ngram_join, substring_dedup
+from skein.llm import ngram_join, packing, substring_dedup, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_packing": packing.op4_packing,
+        "op5_token_files": token_files.op5_token_files,
         "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
