@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import ngram_join, packing, substring_dedup, token_counts, token_files
+from skein.llm import decontaminate, ngram_join, packing, substring_dedup, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_decontamination": decontaminate.op3_decontamination,
         "op4_packing": packing.op4_packing,
         "op5_token_files": token_files.op5_token_files,
         "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
@@ -21,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_decontamination": decontaminate.OP3_SQL,
         "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
     }
