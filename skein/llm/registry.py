@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import decontaminate, ngram_join, packing, substring_dedup, token_counts, token_files, toxicity
+from skein.llm import chat_format, decontaminate, kd_search, ngram_join, packing, substring_dedup, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_kd_search": kd_search.op1_kd_search,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_packing": packing.op4_packing,
         "op5_token_files": token_files.op5_token_files,
         "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
+        "op8_chat_format": chat_format.op8_chat_format,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
     }
@@ -23,7 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_kd_search": kd_search.OP1_SQL,
         "op3_decontamination": decontaminate.OP3_SQL,
         "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
+        "op8_chat_format": chat_format.OP8_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
     }
