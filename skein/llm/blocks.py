@@ -20,7 +20,7 @@ from skein.llm import texts
 from skein.session import Scratch
 
 BLOCK_BYTES = 8 << 20
-PACKED = "block long, ids binary, known binary, offsets binary, body binary"
+PACKED = "block long, ids binary, known binary, tags binary, offsets binary, body binary"
 
 
 def packed(docs: DataFrame, scratch: Scratch, each: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks") -> tuple[DataFrame, int]:
@@ -30,6 +30,7 @@ def packed(docs: DataFrame, scratch: Scratch, each: int = BLOCK_BYTES, id_col: s
         F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text_col), F.substring(text_col, 1, 40)), F.lit(n)).alias("block"),
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("binary").alias("text"),
+        F.xxhash64(text_col).alias("tag"),
     )
     count = max(n, docs.sparkSession.sparkContext.defaultParallelism)
     return scratch.store(rows.repartition(count, "block").groupBy("block").applyInArrow(_pack, PACKED), name), n
@@ -45,6 +46,7 @@ def _pack(table: pa.Table) -> pa.Table:
             "block": pa.array([table["block"][0].as_py()], pa.int64()),
             "ids": [np.asarray(ids.fill_null(0)).astype("<i8").tobytes()],
             "known": [known.tobytes()],
+            "tags": [np.asarray(table["tag"].combine_chunks()).astype("<i8").tobytes()],
             "offsets": [offsets.astype("<i8").tobytes()],
             "body": [body.tobytes()],
         }
@@ -58,6 +60,8 @@ class Block:
         self.number = row["block"]
         self.ids = np.frombuffer(row["ids"], "<i8")
         self.known = np.frombuffer(row["known"], np.uint8).astype(bool)
+        #: Spark's xxhash64 of each text: with the id it finds the row again.
+        self.tags = np.frombuffer(row["tags"], "<i8")
         self.offsets = np.frombuffer(row["offsets"], "<i8")
         self.body = np.frombuffer(row["body"], np.uint8)
 

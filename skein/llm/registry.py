@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import chat_format, decontaminate, kd_search, ngram_join, packing, substring_dedup, token_counts, token_files, toxicity
+import corpus_pipeline
+from skein.llm import brown_lm, chat_format, decontaminate, kd_search, ngram_join, packing, substring_dedup, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,10 +17,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_packing": packing.op4_packing,
         "op5_token_files": token_files.op5_token_files,
+        "op6_brown_lm": brown_lm.op6_brown_lm,
         "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -28,7 +28,7 @@ from skein.llm.blocks import Block, each_block, exchanged, narrow, packed, slice
 from skein.session import Scratch
 
 SENT = "shard long, block long, hashes binary, extra binary"
-RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<first:int,after:int>>, kept string"
+RESULT = "doc_id long, tag long, n_words long, n_removed long, spans array<struct<first:int,after:int>>, kept string"
 
 
 def _doc_of(first: np.ndarray) -> np.ndarray:
@@ -112,7 +112,8 @@ class _Windows:
 
 
 def repeated_spans(docs: DataFrame, window: int = 13, block_bytes: int = 8 << 20) -> DataFrame:
-    """Per document: doc_id, n_words, n_removed, spans (word ranges that go), kept (the other words, joined by one space)."""
+    """Per document: doc_id, tag (xxhash64 of the text), n_words, n_removed, spans (word ranges that go),
+    kept (the other words, joined by one space)."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "substrings")
     blocks, n = packed(docs, scratch, block_bytes)
@@ -170,7 +171,7 @@ def _results(b: Block, first: np.ndarray, gone: np.ndarray) -> Iterator[pa.Recor
         total = np.concatenate([[0], np.cumsum(cut)])
         ids = pa.array(b.ids[lo:hi], pa.int64(), mask=~b.known[lo:hi])
         kept = pa.StringArray.from_buffers(hi - lo, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(body))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(f)), pa.array(total[f[1:]] - total[f[:-1]]), spans, kept], ["doc_id", "n_words", "n_removed", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(b.tags[lo:hi]), pa.array(np.diff(f)), pa.array(total[f[1:]] - total[f[:-1]]), spans, kept], ["doc_id", "tag", "n_words", "n_removed", "spans", "kept"])
 
 
 def joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keep: np.ndarray, first: np.ndarray) -> tuple[bytes, np.ndarray]:
