@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from skein.llm import texts, tokens
 from skein.session import Scratch
 
-_UNITS: dict[str, tuple[tokens.Units, str]] = {}
+_ENCODERS: dict[str, tokens.IdEncoder] = {}
 PIECES = "part int, size int, rank long, doc_id long, start long, ids_crc32 long, doc_tokens long, ids binary"
 
 
@@ -41,18 +41,19 @@ def _pieces(tokenizer: str, end: int, capacity: int, with_ids: bool):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if tokenizer not in _UNITS:
-            _UNITS[tokenizer] = tokens.id_units(tokenizer)
-        units, kind = _UNITS[tokenizer]
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = tokens.IdEncoder(tokenizer)
+        encode = _ENCODERS[tokenizer]
         part, ranks = TaskContext.get().partitionId(), {}
-        last = np.array([end], kind).tobytes()
+        last = np.array([end], "<u4").tobytes()
         for batch in batches:
-            _, offsets = texts.buffers(batch.column(1))
+            data, offsets = texts.buffers(batch.column(1))
             for lo, hi in texts.pieces(batch.num_rows, offsets, 1 << 20):
                 rows = []
-                ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-                for doc, got in zip(ids, units([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]), strict=True):
-                    raw = np.frombuffer(b"".join([*got, last]), kind).astype("<u4").tobytes()
+                ids, at = encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                ids = ids.astype("<u4")
+                for doc, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    raw = ids[a:b].tobytes() + last
                     n, start = len(raw) // 4, 0
                     for s in cuts(n, capacity):
                         r = ranks[s] = ranks.get(s, -1) + 1
@@ -84,7 +85,7 @@ def _first_fit(capacity: int):
 def packed_sequences(docs: DataFrame, tokenizer: str, end: int, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids as little-endian unsigned 32-bit)."""
     scratch = Scratch(docs.sparkSession, "packing")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     pieces = scratch.store(rows.mapInArrow(_pieces(tokenizer, end, capacity, with_ids), PIECES), "pieces")
     # one row for each worker and class
     counts = pieces.groupBy("part", "size").agg(F.count("*").alias("n"))

@@ -37,7 +37,7 @@ from skein.session import Scratch, shuffles_dropped
 
 MAGIC = b"IDSHARD1"
 _HEAD = struct.Struct("<8s5q")
-_UNITS: dict[str, tuple[tokens.Units, str]] = {}
+_ENCODERS: dict[str, tokens.IdEncoder] = {}
 BUCKET_KEYS = 4096
 ENTRY = np.dtype([("fingerprint", "<u4"), ("part", "<i4"), ("shard", "<i4"), ("length", "<i8"), ("offset", "<i8")])
 
@@ -65,11 +65,11 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int, shard_ids
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if tokenizer not in _UNITS:
-            _UNITS[tokenizer] = tokens.id_units(tokenizer)
-        units, kind = _UNITS[tokenizer]
-        width = np.dtype(kind).itemsize
-        last = np.array([end], kind).tobytes()
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = tokens.IdEncoder(tokenizer)
+        encode = _ENCODERS[tokenizer]
+        width = np.dtype(encode.kind).itemsize
+        last = np.array([end], encode.kind).tobytes()
         part, shard, before, previous, count = TaskContext.get().partitionId(), 0, 0, object(), 0
         keys, lengths, blobs, size = [], [], [], 0
 
@@ -77,13 +77,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int, shard_ids
             return pa.RecordBatch.from_arrays([pa.array([shard_bytes(part, shard, before, np.array(keys).reshape(-1, 3), np.array(lengths), b"".join(blobs), width)], pa.binary())], ["raw"])
 
         for batch in batches:
-            _, offsets = texts.buffers(batch.column(1))
+            data, offsets = texts.buffers(batch.column(1))
             for lo, hi in texts.pieces(batch.num_rows, offsets, 1 << 20):
-                ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-                for doc, got in zip(ids, units([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]), strict=True):
+                ids, at = encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                for doc, a, b in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     count = count + 1 if doc == previous else 0
                     previous = doc
-                    raw = b"".join([*got, last])
+                    raw = ids[a:b].tobytes() + last
                     keys.append((doc or 0, count, doc is None))
                     lengths.append(len(raw) // width)
                     blobs.append(raw)
@@ -96,7 +96,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int, shard_ids
             yield flush()
 
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     n = texts.blocks_for(rows.agg(F.sum(F.octet_length("text"))).first()[0], 16 << 20)
     rows = rows.repartitionByRange(max(n, spark.sparkContext.defaultParallelism), "doc_id").sortWithinPartitions("doc_id", "text")
     with shuffles_dropped(spark):

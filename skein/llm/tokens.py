@@ -9,18 +9,19 @@ units depend on each other is given to the library whole; both ways give the lib
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: White space other than the six ASCII kinds, as any of the libraries or Python's split() sees it.
-_ODD_SPACE = "\x1c-\x1f\x85\xa0 ᠎ -​    　﻿"
-_ODD = re.compile(f"[{_ODD_SPACE}]")
-_ODD_OR_CONTROL = re.compile(f"[\t\r\x0b\x0c{_ODD_SPACE}]")
-CACHE_UNITS = 400_000
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: Known units beyond which a worker starts again: about 60 MB in arrays, or in a dictionary.
+UNITS = 2_000_000
+CACHE_UNITS = 300_000
 
 
 def vocabulary(name: str) -> str:
@@ -47,24 +48,6 @@ class Units:
             yield [self.whole(t)] if units is None else list(map(get, units))
 
 
-def _split_words(text: str) -> list[str] | None:
-    """For tokenizers that drop white space and end every word."""
-    return None if _ODD.search(text) or "<|" in text else text.split()
-
-
-def _split_spaced(text: str) -> list[str] | None:
-    """For byte-level BPE behind a pattern that gives a word the one space before it: the first unit is
-    marked by a return character, as it has no such space; a unit after a line end begins with it."""
-    if _ODD_OR_CONTROL.search(text) or "<|" in text or "\n\n" in text:
-        return None
-    text = text.replace("\n", " \n")
-    if "  " in text or text[0] == " " or text[-1] == " " or "\n " in text:
-        return None
-    units = text.split(" ")
-    units[0] = "\r" + units[0]
-    return units
-
-
 def _split_pieces(text: str) -> list[str] | None:
     """For a piece model whose pieces hold the space mark at their start only."""
     if "▁" in text or "\0" in text:
@@ -75,29 +58,106 @@ def _split_pieces(text: str) -> list[str] | None:
     return text.split(" ")
 
 
-def id_units(name: str) -> tuple[Units, str]:
-    """(units whose values are ids as little-endian bytes, the ids' type) of a tokenizers file."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(vocabulary(name))
-    kind = "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def values(units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
-
-    def spaced(units: list[str]) -> list[bytes]:
-        return values([u[1:] if u[0] == "\r" else u if u[0] == "\n" else " " + u for u in units])
-
-    words = name.startswith("word_")
-    return Units(_split_words if words else _split_spaced, values if words else spaced, lambda t: values([t])[0]), kind
+class IdEncoder:
+    """encode(bytes, offsets of texts) -> (ids, offsets of ids), as the library gives them for each whole text.
+
+    Units are byte ranges, found and hashed for a whole batch at once. Known units are three arrays:
+    sorted hashes, and where the ids of each begin and end in one array of ids; some 30 bytes a unit.
+
+    For a tokenizer that drops white space (word_*), units are words. For byte-level BPE behind a
+    pattern that gives a word the one space before it, they tile the text: a word with its one space,
+    a line end by itself. In both, a full stop or comma after a Latin letter and before white space
+    is a unit of its own, as both patterns part letters from punctuation. A text in which
+    white space meets white space or an end of the text, or with other white space than 0x20 and
+    0x0A, or with what could be a special token, is one unit: itself.
+    """
+
+    def __init__(self, name: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(vocabulary(name))
+        self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
+        self.words_only = name.startswith("word_")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.begin, self.end, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        from skein.llm import texts
+
+        starts, ends = self._units(data, offsets)
+        if not len(starts):
+            return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
+        h = texts.word_hashes(data, starts, ends, False)
+        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, distinct)
+        known = np.zeros(len(distinct), bool)
+        inner = at < len(self.keys)
+        known[inner] = self.keys[at[inner]] == distinct[inner]
+        new = np.flatnonzero(~known)
+        got, size = self._encoded(data, starts[first[new]], ends[first[new]])
+        begin, end = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+        begin[known], end[known] = self.begin[at[known]], self.end[at[known]]
+        end[new] = len(self.ids) + np.cumsum(size)
+        begin[new] = end[new] - size
+        pool = np.concatenate([self.ids, got])
+        a, n = begin[inverse], (end - begin)[inverse]
+        to = np.concatenate([[0], np.cumsum(n)])
+        out = pool[np.arange(to[-1]) + np.repeat(a - to[:-1], n)]
+        if len(self.keys) + len(new) > UNITS:
+            self._forget()
+        elif len(new):
+            self.keys, self.begin, self.end, self.ids = np.insert(self.keys, at[new], distinct[new]), np.insert(self.begin, at[new], begin[new]), np.insert(self.end, at[new], end[new]), pool
+        return out, to[np.searchsorted(starts, offsets)]
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        units = [data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        lists = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
+        return np.array([i for x in lists for i in x], self.kind), np.array([len(x) for x in lists], np.int64)
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        after = np.append(data[1:], np.uint8(0))
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        space = _ASCII_SPACE[data]
+        next_space = np.append(space[1:], True) | edge[1:]
+        letter = _LETTER[data]
+        stop = np.zeros(n, bool)
+        stop[1:] = ((data[1:] == 0x2E) | (data[1:] == 0x2C)) & letter[:-1] & next_space[1:] & ~edge[1:n]
+        odd = (data == 0x3C) & (after == 0x7C)
+        if not self.words_only:
+            odd |= (space & (next_space | edge[:-1])) | (space & (data != 0x20) & (data != 0x0A)) | ((data >= 0x1C) & (data <= 0x1F))
+            third = np.append(after[1:], np.uint8(0))
+            odd |= (data == 0xC2) & ((after == 0x85) | (after == 0xA0))
+            odd |= ((data == 0xE1) & ((after == 0x9A) | (after == 0xA0))) | ((data == 0xE3) & (after == 0x80) & (third == 0x80))
+            odd |= (data == 0xE2) & (((after == 0x80) & ((third <= 0x8B) | ((third >= 0xA8) & (third <= 0xAF)))) | (after == 0x81))
+        bad = np.concatenate([[0], np.cumsum(odd)])
+        whole = bad[offsets[1:]] > bad[offsets[:-1]]
+        if whole.any():
+            inner = np.repeat(whole, np.diff(offsets))
+            stop &= ~inner
+            space = space & ~inner
+        begins = stop
+        if self.words_only:
+            begins[1:] |= ~space[1:] & (space[:-1] | edge[1:n])
+            begins[0] |= not space[0]
+            starts = np.flatnonzero(begins)
+            closes = ~space
+            closes[:-1] &= space[1:] | edge[1:n] | stop[1:]
+            return starts, np.flatnonzero(closes) + 1
+        line = space & (data == 0x0A)
+        begins |= space | edge[:n]
+        begins[1:] |= line[:-1]
+        starts = np.flatnonzero(begins)
+        return starts, np.append(starts[1:], n)
 
 
 def count_units(name: str) -> Units:
-    """Units whose values are numbers of tokens, for a .model or .json file."""
-    if name.endswith(".json"):
-        units, kind = id_units(name)
-        width = np.dtype(kind).itemsize
-        return Units(units.split, lambda u: [len(x) // width for x in units.values(u)], lambda t: len(units.whole(t)) // width)
+    """Units whose values are numbers of tokens, for a piece model (.model)."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary(name))
