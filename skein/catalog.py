@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from skein.plans import star_queries, text_queries  # noqa: F401  they register themselves
+from skein.plans.registry import QUERIES, SQL
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return orders.join(customer, orders.o_custkey == customer.c_custkey).groupBy("c_mktsegment", "o_orderstatus").agg(F.count("*").alias("n"))
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Cases and value by district over the star join."""
+    return QUERIES["j01_case_district"](spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
