@@ -84,8 +84,10 @@ def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 def slices(h: np.ndarray, shards: int) -> Iterator[tuple[int, int, int]]:
     """(shard, from, to) of the non-empty slices of a sorted array."""
+    if not len(h):
+        return
     s = shard_of(h, shards)
-    cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.zeros(0, int)
+    cut = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     for a, b in zip(cut, np.r_[cut[1:], len(s)], strict=True):
         yield int(s[a]), int(a), int(b)
 
