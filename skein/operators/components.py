@@ -2,23 +2,49 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from skein.session import Scratch
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+#: Edges up to which one task finds all components: 16 MB. More go the distributed way.
+SMALL_EDGES = 1 << 20
+
+
+def _labels(table: pa.Table) -> pa.Table:
+    """Smallest reachable id of each vertex: hooks roots to smaller ones and halves paths until nothing changes."""
+    ends = np.concatenate([np.asarray(table["u"]), np.asarray(table["v"])])
+    ids, at = np.unique(ends, return_inverse=True)
+    a, b = at[: table.num_rows], at[table.num_rows :]
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return pa.table({"id": ids, "component": ids[label]})
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, small: int = SMALL_EDGES) -> DataFrame:
     """(id, component) of every vertex with an edge; the component is its smallest id.
 
-    Edges may repeat, point either way or loop; a null end is ignored. Each round is written to the
-    shared folder, which cuts the lineage and survives lost executors. Minima are pre-aggregated and
-    joined back, so that a hub's edges can be split over tasks.
+    Edges may repeat, point either way or loop; a null end is ignored. The distinct edges are written and
+    counted: up to `small` of them are solved in one task, more by rounds. Each round is written to
+    the shared folder, which cuts the lineage and survives lost executors. Minima are pre-aggregated
+    and joined back, so that a hub's edges can be split over tasks.
     """
     scratch = Scratch(edges.sparkSession, "components")
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     e = edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
     e = scratch.store(e, "e0")
     before = _state(e)
+    if before[0] <= small:
+        return e.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(_labels, "id long, component long")
     for i in range(1, max_rounds + 1):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

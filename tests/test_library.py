@@ -41,10 +41,11 @@ def test_columns_on_text(spark):
     assert r[2].refs == ["person"] and r[2].lang == "code-mixed"
 
 
-def test_components_match_brute_force(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components_match_brute_force(spark, small):
     rng = random.Random(5)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 240)]
-    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
     root = {}
 
     def find(x):
