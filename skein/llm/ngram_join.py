@@ -9,12 +9,12 @@ Every document is the set of its distinct k-word shingles; two documents link wh
   frequent shingles last, where prefixes do not reach them.
 * Prefix filter: two linked documents share a shingle among their first n - ceil(n * t) + 1. Prefixes
   are packed; a shingle that no other document's prefix has is dropped after a one-bit exchange.
-* Length and positional filters act on each meeting in a shingle; the suffix filter acts on both
-  sets, before they are intersected. A pair of documents is verified once.
-* Large groups of near copies: comparing all pairs of a group is not needed to find components. In
-  rounds, each shingle's documents are compared with one pivot; documents already in one component
-  are not compared again. Once few pairs are left across components, all of them are compared, so
-  no link between different components is lost.
+* Length and positional filters act on each meeting in a shingle, and on each pair with all its
+  meetings; the suffix filter acts on both sets, before they are intersected. A pair is verified once.
+* Large groups of near copies: comparing all pairs of a group is not needed to find components. First
+  each shingle's documents are compared with one pivot, in at most `star_rounds` rounds; documents
+  that are connected already are not compared again. Then all pairs that are left across components
+  and pass the filters are compared, so no link between different components is lost.
 
 Defined cases: words are runs of other bytes than 0x20, 0x09-0x0D, with A-Z lowered; fewer than k words
 make one shingle; a null, empty or blank text has none and links with nothing; a null id links with
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skein.llm import texts
 from skein.llm.blocks import exchanged, narrow, slices, unmasked, widen, with_answers
@@ -38,6 +38,8 @@ from skein.session import Scratch
 SKETCH_BITS = 20
 _SLICES = 16
 _PIECE = 1 << 20
+#: Bytes of each hash that sets are compared by: two different shingles of two sets of n meet with a probability of n * n / 2**48.
+_WIDTH = 6
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +176,8 @@ def _shared(rows: list[dict]) -> list[bytes]:
 
 
 def _meetings(blocks: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
-    """Rows (h, doc, n, pos) of the prefix shingles that at least two documents have in their prefixes."""
+    """Rows (h, doc, n, pos, before) of the prefix shingles that at least two documents have in their
+    prefixes; before counts those of the document that come earlier."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,24 +196,33 @@ def _meetings(blocks: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
                 ids, n, off, h = _unpacked(row)
                 v = np.unique(h)
                 live = v[unmasked(list(slices(v, shards)), row["answers"], len(v))]
-                at = np.flatnonzero(np.isin(h, live))
+                shared = np.isin(h, live)
+                at = np.flatnonzero(shared)
                 d = np.searchsorted(off, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[d]), pa.array(n[d]), pa.array(at - off[d])], ["h", "doc", "n", "pos"])
+                before = np.concatenate([[0], np.cumsum(shared)])
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h[at].view(np.int64), ids[d], n[d], at - off[d], before[at] - before[off[d]])], ["h", "doc", "n", "pos", "before"])
 
-    return with_answers(blocks, answers, "answers").mapInArrow(meet, "h long, doc long, n long, pos long")
+    return with_answers(blocks, answers, "answers").mapInArrow(meet, "h long, doc long, n long, pos long, before long")
 
 
 def _packed_sets(docs: DataFrame, k: int) -> DataFrame:
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, v, off in _sets(batch, k):
-                raw = pa.py_buffer(v.astype("<u8").tobytes())
-                packed = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((8 * off).astype(np.int32).tobytes()), raw])
+                raw = pa.py_buffer(np.ascontiguousarray(v.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH]).tobytes())
+                packed = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((_WIDTH * off).astype(np.int32).tobytes()), raw])
                 yield pa.RecordBatch.from_arrays([ids, packed], ["doc", "shingles"])
 
     return _input(docs).mapInArrow(fn, "doc long, shingles binary")
 
 
+def _set(cell: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(cell.as_buffer(), np.uint8).reshape(-1, _WIDTH)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :_WIDTH] = raw
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def suffix_bound(a: np.ndarray, b: np.ndarray, depth: int) -> int:
     """No fewer than |A and B| for ascending arrays: both are split at the middle of one, and parts meet parts only."""
     if not len(a) or not len(b) or not depth:
@@ -239,58 +251,92 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             a, b = (np.asarray(batch.column(i)) for i in (0, 1))
             xs, ys = batch.column(2), batch.column(3)
-            ok = [similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), percent) for x, y in zip(xs, ys, strict=True)]
+            ok = [similar(_set(x), _set(y), percent) for x, y in zip(xs, ys, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
 
     both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(fn, "a long, b long, linked boolean")
 
 
-def _may_link(percent: int, n1: str, p1: str, n2: str, p2: str):
-    """Length and positional filters of two documents that meet in a shingle."""
-    n1, p1, n2, p2 = (F.col(c) for c in (n1, p1, n2, p2))
-    length = 100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)
-    most = F.least(p1, p2) + 1 + F.least(n1 - p1 - 1, n2 - p2 - 1)
-    return length & (100 * most >= percent * (n1 + n2 - most))
+def _enough(percent: int, overlap: Column, both: Column) -> Column:
+    """Whether an overlap of at most this can reach the threshold; both is the sum of the two sizes."""
+    return (100 + percent) * overlap >= percent * both
+
+
+def _may_link(percent: int) -> Column:
+    """Length and positional filters of two documents that meet in a shingle: before it, they can only
+    have shingles in common that prefixes share at all."""
+    n1, n2 = F.col("n1"), F.col("n2")
+    most = F.least("before1", "before2") + 1 + F.least(n1 - F.col("pos1") - 1, n2 - F.col("pos2") - 1)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & _enough(percent, most, n1 + n2)
+
+
+_FIELDS = ("doc", "n", "pos", "before", "comp")
+
+
+def _side(rows: DataFrame, i: int) -> DataFrame:
+    return rows.select("h", *(F.col(c).alias(f"{c}{i}") for c in _FIELDS))
 
 
-def _links(meet: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, star_rounds: int) -> DataFrame | None:
-    """Links enough to make all components: every pair of documents that meet is verified, or its two are connected already."""
-    spark = meet.sparkSession
+def _starred(meet: DataFrame, percent: int, number: int) -> DataFrame:
+    """Pairs (a, b) of each shingle's pivot with the shingle's other documents, if they aren't connected yet.
+    The first pivot is the smallest id: an original comes before its copies; later ones are drawn."""
+    first = F.col("doc") if not number else F.xxhash64("doc", F.lit(number))
+    pivot = meet.groupBy("h").agg(F.min(F.struct(first.alias("key"), *_FIELDS)).alias("p")).select("h", *(F.col(f"p.{c}").alias(f"{c}2") for c in _FIELDS))
+    met = _side(meet, 1).join(pivot, "h").where((F.col("comp1") != F.col("comp2")) & _may_link(percent))
+    return met.select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct()
+
+
+def _crossed(meet: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) that meet, aren't connected and can reach the threshold. The shingles in common
+    are counted up to the last one; behind it no more can follow than the shorter rest."""
+    met = _side(meet, 1).join(_side(meet, 2), "h").where((F.col("doc1") < F.col("doc2")) & (F.col("comp1") != F.col("comp2")) & _may_link(percent))
+    pair = met.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b"), "n1", "n2").agg(F.count("*").alias("c"), F.max("pos1").alias("i"), F.max("pos2").alias("j"))
+    most = F.col("c") + F.least(F.col("n1") - F.col("i") - 1, F.col("n2") - F.col("j") - 1)
+    return pair.where(_enough(percent, most, F.col("n1") + F.col("n2"))).select("a", "b").distinct()
+
+
+def _open_pairs(meet: DataFrame) -> float:
+    """Meetings of documents that aren't connected."""
+    per = meet.groupBy("h", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("h").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
+
+
+def _links(meet: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, star_rounds: int) -> DataFrame | None:
+    """Links enough to make all components: every pair of documents that can link is verified, or its two are connected already."""
     rows = meet.count()
     if not rows:
         return None
     done: DataFrame | None = None
-    comp: DataFrame | None = None
+    sets: DataFrame | None = None
+    now = meet.withColumn("comp", F.col("doc"))
     for i in range(star_rounds + 1):
-        m = meet.withColumn("comp", F.col("doc")) if comp is None else meet.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-        m = scratch.store(m, f"meet{i}")
-        groups = m.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").cast("double").alias("s"), F.sum(F.col("c") * F.col("c")).cast("double").alias("q")).where("s * s > q")
-        left = groups.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-        if not left:
-            break
-        last = left <= 4 * rows or i == star_rounds
-        open_rows = m.join(groups.select("h"), "h", "left_semi")
-        if last:
-            x = open_rows.select("h", *(F.col(c).alias(f"{c}1") for c in ("doc", "n", "pos", "comp")))
-            y = open_rows.select("h", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "pos", "comp")))
-            met = x.join(y, "h").where("doc1 < doc2 and comp1 <> comp2")
-        else:
-            pivot = open_rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("comp", F.lit(i)).alias("r"), F.xxhash64("doc", F.lit(i)).alias("s"), "doc", "n", "pos", "comp")).alias("p"))
-            met = open_rows.select("h", *(F.col(c).alias(f"{c}1") for c in ("doc", "n", "pos", "comp"))).join(pivot.select("h", *(F.col(f"p.{c}").alias(f"{c}2") for c in ("doc", "n", "pos", "comp"))), "h").where("comp1 <> comp2")
-        pairs = met.where(_may_link(percent, "n1", "pos1", "n2", "pos2")).select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct()
+        if i:
+            left = _open_pairs(now)
+            if not left:
+                break
+        last = i == star_rounds or (i > 0 and left <= rows)
+        pairs = _crossed(now, percent) if last else _starred(now, percent, i)
         if done is not None:
             pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = scratch.store(pairs, f"met{i}")
+        # sets are made for documents of a pair only, and once
+        need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            need = need.join(sets.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti")
+        more = scratch.store(_packed_sets(docs.join(need, "doc_id", "left_semi"), k), f"sets{i}")
+        sets = more if sets is None else sets.union(more)
         new = scratch.store(_verified(pairs, sets, percent), f"pairs{i}")
+        scratch.drop(f"met{i}")
         done = new if done is None else done.union(new)
         if last:
             break
-        linked = done.where("linked")
-        comp = scratch.store(connected_components(linked).select(F.col("id").alias("doc"), F.col("component").alias("comp")), f"comp{i}")
-    return done.where("linked").select("a", "b") if done is not None else None
+        comp = connected_components(done.where("linked")).select(F.col("id").alias("doc"), F.col("component").alias("comp"))
+        now = scratch.store(meet.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), f"meet{i}")
+    return done.where("linked").select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 12) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     spark: SparkSession = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -304,8 +350,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
     blocks = scratch.store(_prefixes(docs, sketch, k, percent), "prefixes")
     meet = _meetings(blocks, texts.blocks_for(total, 4 << 20), scratch).join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
     meet = scratch.store(meet, "meet")
-    sets = scratch.store(_packed_sets(docs.join(meet.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), k), "sets")
-    links = _links(meet, sets, percent, scratch, star_rounds)
+    scratch.drop("prefixes", "shared")
+    links = _links(meet, docs.withColumn("doc_id", F.col("doc_id").cast("long")), k, percent, scratch, star_rounds)
     twice = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     same = named.join(twice, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comp = connected_components(same if links is None else links.union(same))
