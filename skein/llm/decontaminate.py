@@ -71,7 +71,9 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     met = probes.join(bands, "hash").select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
     grams = signed.select("item_id", "grams").distinct()
     n = F.size("grams")
-    held = docs.join(met, "doc_id").select("doc_id", F.explode("items").alias("item_id"), _strings(_words(F.col("text")), k).alias("held"))
+    # words stand in a step of their own: inside the shingles' function they would be split again for each shingle
+    held = docs.join(met, "doc_id").select("doc_id", "items", _words(F.col("text")).alias("w")).select("doc_id", "items", _strings(F.col("w"), k).alias("held"))
+    held = held.select("doc_id", F.explode("items").alias("item_id"), "held")
     pairs = held.join(grams, "item_id").select("doc_id", "item_id", F.size(F.array_intersect("grams", "held")).cast("long").alias("shared"), n.cast("long").alias("item_shingles"))
     return pairs.where(100 * F.col("shared") >= percent * F.col("item_shingles")).groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", "item_shingles")).alias("m")).select("doc_id", "item_id", "m.shared", "m.item_shingles")
 
