@@ -9,6 +9,7 @@ from skein.functions import text as T
 from skein.operators import analytics, conversation, governance, graph, retrieval
 from skein.plans import brief
 from skein.plans.registry import Tables, query
+from skein.session import Scratch
 from skein.sources import fixtures
 
 EMAIL = r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+"
@@ -180,7 +181,9 @@ def a15(t):
 
 
 def _corpus(t: Tables) -> dict[str, DataFrame]:
-    return fixtures.corpus(t.spark, t.customer.count())
+    """Written once: its columns are long expressions, which every use would work out again."""
+    scratch = Scratch(t.spark, "corpus")
+    return {name: scratch.store(df, name) for name, df in fixtures.corpus(t.spark, t.customer.count()).items()}
 
 
 def _resolved(t: Tables):
