@@ -5,20 +5,23 @@ documents' words (whitespace words with A-Z lowered) and one end token a documen
 
 1. Blocks. Each block of documents becomes its lexicon (sorted word hashes), its training counts and
    its stream of lexicon numbers; texts are not read again.
-2. Vocabulary. Blocks send their counts to hash shards. Words with at least `share` of all training
-   tokens are the exchange words: there can't be more than 1 / share of them at any size.
-3. Exchange clustering. Bigram counts of exchange words, from all training tokens, are summed once. In
-   each round the contexts of every exchange word are added up by class, and words move one after
-   the other to the class that raises the class bigram likelihood most, the end token keeping its own.
-4. Other words join one further class for each class: that of the class most often on their left,
-   counted over all training tokens (ties to the smaller class; one class for words never seen so).
+2. Vocabulary. Blocks send their counts to hash shards. All training words are clustered, however rare;
+   the number of classes follows their number (its cube root, twice), so that class tables grow slower than it.
+3. Start. Words with at least `share` of all training tokens (no more than 1 / share) are exchanged on the driver:
+   bigram counts among them are summed once; in each round the contexts of every such word are added up by
+   class, and words move one after the other to the class that raises the class bigram likelihood most, the
+   end token keeping its own.
+4. Exchange of all words. Hash shards add up both contexts of every training word by class, over all training
+   tokens, and each word goes to the class of the highest gain: first the others to the classes of the start,
+   then, in at most `sweeps` rounds, all words given all classes. Moves of a sweep are made at once, so it
+   is kept only if the likelihood of all training tokens rises.
 5. Class transitions are counted over all training tokens. Words seen once stand for unseen words on
    the left side of a transition.
 6. Scores. A word's emission is discounted by n1 / (n1 + 2 n2); what this frees in a class is the
    class's probability of an unseen word, so the model sums to one over known words and "unseen".
 
-Only the exchange words, their class counts (bounded by 1 / share) and the class matrix reach the
-driver or are broadcast; word counts, votes and streams stay in tables.
+Only the starting words, their class counts (bounded by 1 / share) and the class matrix reach the
+driver or are broadcast; word counts, contexts, classes of words and streams stay in tables.
 
 Defined cases: a null or empty text is its end token; a null doc_id is not held out; repeated rows
 count and are scored each; without training documents every probability is 1; other columns are
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.llm import texts
 from skein.llm.blocks import BLOCK_BYTES, slices
-from skein.session import Scratch
+from skein.session import Scratch, shuffles_dropped
 
 #: The end token's place among word hashes.
 END = np.uint64(0xE4D0E4D0E4D0E4D0)
@@ -90,8 +93,8 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[begin], np.add.reduceat(n, begin) if len(keys) else n
 
 
-def _exchange_words(blocks: DataFrame, shards: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of the words with at least `least` training tokens; hashes ascend."""
+def _starting_words(blocks: DataFrame, shards: int, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(hashes, counts) of the words with at least `least` training tokens, and the number of all; hashes ascend."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, _ in _streams(batches):
@@ -106,12 +109,14 @@ def _exchange_words(blocks: DataFrame, shards: int, least: int) -> tuple[np.ndar
         n = np.concatenate([np.frombuffer(x, "<i8") for x in table["n"].to_pylist()])
         h, n = _summed(h, n)
         ok = n >= least
-        return pa.table({"h": pa.array(h[ok].view(np.int64)), "n": pa.array(n[ok])})
+        return pa.table({"h": pa.array([*h[ok].view(np.int64).tolist(), None], pa.int64()), "n": pa.array([*n[ok].tolist(), len(h)], pa.int64())})
 
-    rows = blocks.mapInArrow(send, "shard long, h binary, n binary").groupBy("shard").applyInArrow(total, "h long, n long").toArrow()  # at most 1 / share rows
-    h, n = np.asarray(rows["h"].combine_chunks()).view(np.uint64), np.asarray(rows["n"].combine_chunks())
+    rows = blocks.mapInArrow(send, "shard long, h binary, n binary").groupBy("shard").applyInArrow(total, "h long, n long").toArrow()  # at most 1 / share rows, and one of each shard
+    found = np.asarray(rows["h"].is_valid())
+    h, n = np.asarray(rows["h"].combine_chunks().fill_null(0)).view(np.uint64), np.asarray(rows["n"].combine_chunks())
+    total, h, n = int(n[~found].sum()), h[found], n[found]
     order = np.argsort(h)
-    return h[order], n[order]
+    return h[order], n[order], total
 
 
 def _found(s: Stream, words: np.ndarray) -> np.ndarray:
@@ -219,45 +224,106 @@ def exchange_round(classes: np.ndarray, counts: np.ndarray, right: np.ndarray, l
     return moves
 
 
-def _word_info(blocks: DataFrame, words, classes, shards: int, n_base: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """Per block and shard the counts over all training documents and the classes of the block's words; and
-    [V, n1, n2, tokens by class..., words by class...]."""
-    n_classes = 2 * n_base + 1
+#: Up to this count, what a count adds to each cell of the class table is looked up.
+_LOOKED_UP = 8
+_CHUNK = 1 << 19
+
+
+def best_classes(now: np.ndarray, draw: np.ndarray, key: np.ndarray, n: np.ndarray, table: np.ndarray, movable: int) -> np.ndarray:
+    """The class of the highest likelihood gain for each word, ties to its class in `now`, then to one of them by its
+    number in `draw`: words alike would otherwise fill one empty class together, and be parted by no sweep.
+
+    now holds -1 for words that `table` (counts of class pairs) does not contain. Ascending keys are
+    (word * 2 + side) * classes + class of the neighbour, side 0 for those on the right; n are their counts.
+    Classes from `movable` on are fixed.
+    """
+    k = len(table)
+    out = now.copy()
+    sides = [np.ascontiguousarray(table.T), table]  # [side][neighbour, class]
+    logs = [_xlogx(x) for x in sides]
+    sums = [table.sum(1), table.sum(0)]
+    seen = [np.stack([_xlogx(x + i) - l for i in range(_LOOKED_UP + 1)]) for x, l in zip(sides, logs, strict=True)]
+    step = max(1, _CHUNK // (2 * k * k))  # no word has more than 2 k keys
+    cuts = [0]
+    first = np.searchsorted(key, np.arange(len(now) + 1) * 2 * k)
+    while cuts[-1] < len(now):  # about _CHUNK cells a piece
+        cuts.append(max(cuts[-1] + step, int(np.searchsorted(first, first[cuts[-1]] + _CHUNK // k, "right")) - 1))
+        cuts[-1] = min(cuts[-1], len(now))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        e = slice(int(first[lo]), int(first[hi]))
+        word, side, j, x = key[e] // (2 * k) - lo, key[e] // k % 2, key[e] % k, n[e]
+        own = now[lo:hi]
+        gain = np.zeros((hi - lo, k))
+        for s in (0, 1):
+            on = side == s
+            w, c, m = word[on], j[on], x[on]
+            cells = seen[s][np.minimum(m, _LOOKED_UP), c]
+            more = np.flatnonzero(m > _LOOKED_UP)
+            cells[more] = _xlogx(sides[s][c[more]] + m[more, None]) - logs[s][c[more]]
+            # what a word adds to its own class is already in the table
+            at = np.flatnonzero(own[w] >= 0)
+            mine = own[w[at]]
+            cells[at, mine] = logs[s][c[at], mine] - _xlogx(np.maximum(sides[s][c[at], mine] - m[at], 0))
+            begin = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, int)
+            if len(w):
+                gain[w[begin]] += np.add.reduceat(cells, begin)
+            added = np.bincount(w, m, hi - lo)
+            some, which = np.unique(added, return_inverse=True)
+            less = (_xlogx(sums[s] + some[:, None]) - _xlogx(sums[s]))[which]
+            at = np.flatnonzero(own >= 0)
+            total = sums[s][own[at]]
+            less[at, own[at]] = _xlogx(total) - _xlogx(np.maximum(total - added[at], 0))
+            gain -= less
+        ties = np.cumsum(gain[:, :movable] >= gain[:, :movable].max(1, keepdims=True) - 1e-9, 1)
+        best = np.argmax(ties > (draw[lo:hi] % ties[:, -1].astype(np.uint64)).astype(np.int64)[:, None], 1)
+        rows = np.arange(hi - lo)
+        stay = (own >= 0) & ((own >= movable) | (gain[rows, best] <= gain[rows, own] + 1e-9))
+        out[lo:hi] = np.where(stay, own, best)
+    return out
+
+
+def _exchanged(blocks: DataFrame, words, classes, table, shards: int, n_classes: int, scratch: Scratch, name: str) -> tuple[DataFrame, np.ndarray]:
+    """Per block and shard the counts over all training documents and the new classes of the block's words; and
+    [V, n1, n2, tokens by class..., words by class...]. Without info in the blocks only `words` have a class, and keep it."""
+    first = "info" not in blocks.columns
+    none = 2**16 - 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, c = words.value, classes.value
-        for s, _ in _streams(batches):
-            number = _found(s, w)
-            cls = np.where(number >= 0, c[np.maximum(number, 0)] if len(c) else 0, -1)
-            ok = s.train & (number[s.stream] < 0) & (cls[s.left] >= 0)
-            votes, n = np.unique(s.stream[ok].astype(np.int64) * n_base + cls[s.left[ok]], return_counts=True)
-            at = votes // n_base
+        for s, row in _streams(batches):
+            if first:
+                number = _found(s, words.value)
+                cls = np.where(number >= 0, classes.value[np.maximum(number, 0)] if len(classes.value) else 0, -1)
+            else:
+                cls = _informed(s, row)[1]
+            a, b = s.left[s.train].astype(np.int64), s.stream[s.train].astype(np.int64)
+            right, left = cls[b] >= 0, cls[a] >= 0
+            keys = np.concatenate([(2 * a[right]) * n_classes + cls[b[right]], (2 * b[left] + 1) * n_classes + cls[a[left]]])
+            if first:  # words of the start stay
+                keys = keys[cls[keys // (2 * n_classes)] < 0]
+            keys, n = np.unique(keys, return_counts=True)
+            at = keys // (2 * n_classes)
             rows = []
-            for k, a, b in slices(s.lexicon, shards):
-                i, j = np.searchsorted(at, (a, b))
-                rows.append((k, s.number, s.lexicon[a:b].tobytes(), s.counts[a:b].astype("<u4").tobytes(), (at[i:j] - a).astype("<u4").tobytes(), (votes[i:j] % n_base).astype(np.uint8).tobytes(), n[i:j].astype("<u4").tobytes()))
+            for k, i, j in slices(s.lexicon, shards):
+                x, y = np.searchsorted(at, (i, j))
+                rows.append((k, s.number, s.lexicon[i:j].tobytes(), s.counts[i:j].astype("<u4").tobytes(), np.where(cls[i:j] < 0, none, cls[i:j]).astype("<u2").tobytes(), np.bincount(at[x:y] - i, minlength=j - i).astype("<u4").tobytes(), (keys[x:y] % (2 * n_classes)).astype("<u2").tobytes(), n[x:y].astype("<u4").tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["shard", "block", "h", "n", "at", "cls", "votes"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), *[pa.binary()] * 6), strict=True)], ["shard", "block", "h", "n", "now", "keys", "near", "times"])
 
-    def decide(table: pa.Table) -> pa.Table:
-        w, c = words.value, classes.value
-        rows = table.to_pylist()
+    def decide(got: pa.Table) -> pa.Table:
+        rows = got.to_pylist()
         h = [np.frombuffer(r["h"], "<u8") for r in rows]
         keys, inverse = np.unique(np.concatenate(h), return_inverse=True)
         n = np.bincount(inverse, np.concatenate([np.frombuffer(r["n"], "<u4") for r in rows])).astype(np.int64)
         base = np.cumsum([0, *map(len, h)])
-        voted = np.concatenate([inverse[base[i] + np.frombuffer(r["at"], "<u4")] for i, r in enumerate(rows)]).astype(np.int64)
-        kind = np.concatenate([np.frombuffer(r["cls"], np.uint8) for r in rows])
-        key, votes = _summed(voted * n_base + kind, np.concatenate([np.frombuffer(r["votes"], "<u4") for r in rows]).astype(np.int64))
-        order = np.lexsort((key % n_base, -votes, key // n_base))
-        word, first = np.unique((key // n_base)[order], return_index=True)
-        cls = np.full(len(keys), 2 * n_base)
-        cls[word] = n_base + (key % n_base)[order][first]
-        at = np.searchsorted(w, keys)
-        at[at == len(w)] = 0
-        if len(w):
-            same = w[at] == keys
-            cls[same] = c[at[same]]
+        now = np.empty(len(keys), np.int64)
+        now[inverse] = np.concatenate([np.frombuffer(r["now"], "<u2") for r in rows])
+        now[now == none] = -1
+        word = np.concatenate([np.repeat(inverse[base[i] : base[i + 1]], np.frombuffer(r["keys"], "<u4")) for i, r in enumerate(rows)]).astype(np.int64)
+        near = np.concatenate([np.frombuffer(r["near"], "<u2") for r in rows]).astype(np.int64)
+        key, times = _summed(word * 2 * n_classes + near, np.concatenate([np.frombuffer(r["times"], "<u4") for r in rows]).astype(np.int64))
+        cls = best_classes(now, keys, key, times, table.value, n_classes - 1)
+        if first:
+            cls[now >= 0] = now[now >= 0]
         seen = n > 0
         stats = np.concatenate([[seen.sum(), (n == 1).sum(), (n == 2).sum()], np.bincount(cls[seen], n[seen], n_classes), np.bincount(cls[seen], minlength=n_classes)]).astype("<i8")
         parts = [inverse[a:b] for a, b in zip(base[:-1], base[1:], strict=True)]
@@ -270,8 +336,8 @@ def _word_info(blocks: DataFrame, words, classes, shards: int, n_base: int, scra
             }
         )
 
-    sent = blocks.mapInArrow(send, "shard long, block long, h binary, n binary, at binary, cls binary, votes binary")
-    out = scratch.store(sent.groupBy("shard").applyInArrow(decide, "block long, shard long, n binary, cls binary"), "words")
+    sent = blocks.mapInArrow(send, "shard long, block long, h binary, n binary, now binary, keys binary, near binary, times binary")
+    out = scratch.store(sent.groupBy("shard").applyInArrow(decide, "block long, shard long, n binary, cls binary"), name)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(3 + 2 * n_classes, np.int64)
@@ -287,6 +353,11 @@ def _word_info(blocks: DataFrame, words, classes, shards: int, n_base: int, scra
     return per_block, stats
 
 
+def likelihood(table: np.ndarray) -> float:
+    """The part of the class bigram likelihood that depends on the classes."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(0)).sum() - _xlogx(table.sum(1)).sum())
+
+
 def _informed(s: Stream, row: dict) -> tuple[np.ndarray, np.ndarray]:
     """(count, class) of each lexicon entry: the shards' slices, in order."""
     info = row["info"]
@@ -312,10 +383,11 @@ def _transitions(informed: DataFrame, n_classes: int) -> np.ndarray:
     return out.reshape(n_classes + 1, n_classes)
 
 
-def scores(docs: DataFrame, n_base: int = 48, share: float = 2e-5, rounds: int = 6, weight: float = 0.95, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scores(docs: DataFrame, n_base: int | None = None, share: float = 2e-5, rounds: int = 6, weight: float = 0.95, block_bytes: int = BLOCK_BYTES, sweeps: int = 2) -> DataFrame:
     """docs with held (boolean) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    n_base counts the exchange classes with the end token's; weight is the class model's part in the mixture.
+    n_base counts the classes with the end token's, and follows the vocabulary if not given; weight is the
+    class model's part in the mixture.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
@@ -325,27 +397,50 @@ def scores(docs: DataFrame, n_base: int = 48, share: float = 2e-5, rounds: int =
     blocks = scratch.store(rows.repartition(max(n, spark.sparkContext.defaultParallelism), "block").groupBy("block").applyInArrow(_stream, STREAMS), "blocks")
     total = blocks.agg(F.sum("trained")).first()[0] or 0
 
-    words, counts = _exchange_words(blocks, n, max(1, int(np.ceil(share * total))))
+    with shuffles_dropped(spark):
+        words, counts, vocabulary = _starting_words(blocks, n, max(1, int(np.ceil(share * total))))
+    n_base = n_base or class_number(vocabulary)
     classes = np.empty(len(words), np.int64)
     classes[np.argsort(-counts, kind="stable")] = np.arange(len(words)) % (n_base - 1)
     classes[words == END] = n_base - 1
     shared = spark.sparkContext.broadcast(words)
+    table = np.zeros((n_base, n_base))
     if len(words) > 1 and rounds:
         bigrams = _bigrams(blocks, shared, scratch)
-        for _ in range(rounds):
+        for i in range(rounds + 1):
             now = spark.sparkContext.broadcast(classes.copy())
             right, left = _by_class(bigrams, now, n_base, len(words))
-            if exchange_round(classes, counts, right, left, n_base - 1) <= len(words) // 200:
+            if i == rounds or exchange_round(classes, counts, right, left, n_base - 1) <= len(words) // 200:
                 break
-        scratch.drop("bigrams")
-    per_block, stats = _word_info(blocks, shared, spark.sparkContext.broadcast(classes), n, n_base, scratch)
-    n_classes = 2 * n_base + 1
-    informed = blocks.join(per_block, "block")
-    moves = _transitions(informed, n_classes)
-    model = spark.sparkContext.broadcast(Model(stats, moves, n_base, weight))
+        right, _ = _by_class(bigrams, spark.sparkContext.broadcast(classes.copy()), n_base, len(words))
+        np.add.at(table, classes, right)
+        scratch.drop("pairs", "bigrams")
+
+    def joined(per_block: DataFrame) -> tuple[DataFrame, np.ndarray]:
+        informed = blocks.join(per_block, "block")
+        with shuffles_dropped(spark):
+            return informed, _transitions(informed, n_base)
+
+    broadcast = spark.sparkContext.broadcast
+    per_block, stats = _exchanged(blocks, shared, broadcast(classes), broadcast(table), n, n_base, scratch, "words0")
+    informed, moves = joined(per_block)
+    for i in range(1, sweeps + 1):
+        per_block, new = _exchanged(informed, None, None, broadcast(moves[:n_base]), n, n_base, scratch, f"words{i}")
+        then, after = joined(per_block)
+        if likelihood(after[:n_base]) <= likelihood(moves[:n_base]):
+            scratch.drop(f"words{i}")
+            break
+        informed, moves, stats = then, after, new
+        scratch.drop(f"words{i - 1}")
+    model = broadcast(Model(stats, moves, n_base, weight))
     return informed.mapInArrow(lambda batches: _scored(batches, model.value), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def class_number(vocabulary: int) -> int:
+    """Classes for so many training words; never fewer than 48."""
+    return min(2**15 - 1, max(48, 2 * int(np.ceil(np.cbrt(vocabulary)))))
+
+
 class Model:
     """Tables of a trained model; all of a size fixed by the number of classes."""
 

@@ -309,6 +309,50 @@ def test_exchange_raises_the_likelihood():
     assert len(set(classes[truth == 0])) == 1 and len(set(classes[truth == 1])) == 1 and classes[0] != classes[1]
 
 
+def test_rare_words_are_clustered_by_both_contexts(spark):
+    rows = [(100 + 4 * i + j, f"a r{i} {'xy'[i % 2]}", False) for i in range(40) for j in range(3)]
+    rows += [(1, "a r0 x", True), (2, "a r0 y", True), (3, "a r7 y", True), (4, "a r7 x", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in brown_lm.scores(df, n_base=6, share=0.02, block_bytes=500).where("held_out").collect()}
+    assert got[1] > got[2] + 0.5 and got[3] > got[4] + 0.5
+
+
+def test_best_classes_against_the_likelihood():
+    rng = np.random.default_rng(3)
+    k, n = 5, 12
+    now = rng.integers(0, k - 1, n)
+    now[0], now[1] = k - 1, -1
+    counts = rng.integers(0, 14, (n, 2, k))
+    table = np.zeros((k, k))
+    for side in (0, 1):  # every word's counts are in the table, for both of its sides
+        for w in np.flatnonzero(now >= 0):
+            if side == 0:
+                table[now[w]] += counts[w, 0]
+            else:
+                table[:, now[w]] += counts[w, 1]
+    key = np.flatnonzero(counts.ravel())
+    got = brown_lm.best_classes(now, np.arange(n, dtype=np.uint64), key, counts.ravel()[key], table, k - 1)
+
+    for w in range(1, n):
+        rows, cols = table.copy(), table.copy()
+        if now[w] >= 0:
+            rows[now[w]] -= counts[w, 0]
+            cols[:, now[w]] -= counts[w, 1]
+        f = brown_lm._xlogx
+        value = []
+        for c in range(k - 1):
+            x, y = rows.copy(), cols.copy()
+            x[c] += counts[w, 0]
+            y[:, c] += counts[w, 1]
+            value.append(f(x).sum() - f(x.sum(1)).sum() + f(y).sum() - f(y.sum(0)).sum())
+        assert value[got[w]] >= max(value) - 1e-6
+    assert got[0] == k - 1
+
+
+def test_classes_follow_the_vocabulary():
+    assert [brown_lm.class_number(n) for n in (0, 10_000, 86_461, 404_216)] == [48, 48, 90, 148]
+
+
 def test_queries_and_sql_have_the_same_names():
     from skein.llm import registry
 
