@@ -15,6 +15,8 @@ Every document is the set of its distinct k-word shingles; two documents link wh
   each shingle's documents are compared with one pivot, in at most `star_rounds` rounds; documents
   that are connected already are not compared again. Then all pairs that are left across components
   and pass the filters are compared, so no link between different components is lost.
+* All links: jaccard_links and link_counts take no such shortcut and verify every pair of different sets
+  that passes the filters.
 
 Defined cases: words are runs of other bytes than 0x20, 0x09-0x0D, with A-Z lowered; fewer than k words
 make one shingle; a null, empty or blank text has none and links with nothing; a null id links with
@@ -336,11 +338,10 @@ def _links(meet: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scra
     return done.where("linked").select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def _prepared(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows of docs (doc_id, n, digest), those with an id and a set, classes (digest, rep), meetings of representatives)."""
     spark: SparkSession = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    scratch = Scratch(spark, "jaccard")
     signed = scratch.store(_signatures(docs, k), "signatures")
     sketch = spark.sparkContext.broadcast(_merged_sketch(signed, scratch))
     rows = signed.where("part is null").select("doc_id", "n", "digest")
@@ -351,6 +352,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
     meet = _meetings(blocks, texts.blocks_for(total, 4 << 20), scratch).join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
     meet = scratch.store(meet, "meet")
     scratch.drop("prefixes", "shared")
+    return rows, named, classes, meet
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows, named, classes, meet = _prepared(docs, k, percent, scratch)
     links = _links(meet, docs.withColumn("doc_id", F.col("doc_id").cast("long")), k, percent, scratch, star_rounds)
     twice = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
     same = named.join(twice, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -359,10 +367,58 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_roun
     return rows.join(found, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def _set_links(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, members (doc_id, set), links (a, b) of different sets): sets are numbered, and every pair that meets
+    and passes the filters is verified."""
+    # a set's number is no id, so that the sets of an id that has several are told apart
+    numbered = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("doc_id", F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")))
+    numbered = scratch.store(numbered.dropDuplicates(["id", "doc_id"]), "numbered")
+    rows, named, classes, meet = _prepared(numbered.select("doc_id", "text"), k, percent, scratch)
+    members = numbered.select("id", "doc_id").join(named.select("doc_id", "digest"), "doc_id").join(classes, "digest").select(F.col("id").alias("doc_id"), F.col("rep").alias("set")).distinct()
+    members = scratch.store(members, "members")
+    pairs = scratch.store(_crossed(meet.withColumn("comp", F.col("doc")), percent), "all_pairs")
+    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = scratch.store(_packed_sets(numbered.select("doc_id", "text").join(need, "doc_id", "left_semi"), k), "all_sets")
+    links = scratch.store(_verified(pairs, sets, percent).where("linked").select("a", "b"), "all_links")
+    scratch.drop("meet", "all_pairs", "all_sets")
+    return numbered.select(F.col("id").alias("doc_id")), members, links
+
+
+def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """(a, b) with a < b: every two ids that link, those of copies included. A group of n copies has n * (n - 1) / 2 of them."""
+    _, members, links = _set_links(docs, k, percent, Scratch(docs.sparkSession, "links"))
+    near = links.union(links.select("b", "a")).union(members.select("set", "set").toDF("a", "b").distinct())
+    x, y = members.toDF("x", "a"), members.toDF("y", "b")
+    return near.join(x, "a").join(y, "b").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
+def link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Per distinct id: doc_id, n_links (how many other ids it links with). Copies are counted by class, not paired."""
+    scratch = Scratch(docs.sparkSession, "link_counts")
+    rows, members, links = _set_links(docs, k, percent, scratch)
+    several = members.groupBy("doc_id").agg(F.count("*").alias("sets"))
+    members = scratch.store(members.join(several, "doc_id").select("doc_id", "set", (F.col("sets") > 1).alias("several")), "nodes")
+    # ids of one set are one node by set; an id of several is a node of its own
+    members = members.withColumn("node", F.when(F.col("several"), F.col("doc_id")).otherwise(F.col("set")))
+    near = links.union(links.select("b", "a")).union(members.select("set", "set").distinct()).toDF("set", "other")
+    reach = members.select("several", "node", "set").distinct().join(near, "set").select("several", "node", "other").distinct()
+    single = members.where("not several").groupBy(F.col("set").alias("other")).agg(F.count("*").alias("n"))
+    multiple = members.where("several").select(F.col("set").alias("other"), F.col("doc_id").alias("id"))
+    counted = reach.join(single, "other").groupBy("several", "node").agg(F.sum("n").alias("n"))
+    more = reach.join(multiple, "other").groupBy("several", "node").agg(F.countDistinct("id").alias("n"))
+    total = counted.union(more).groupBy("several", "node").agg((F.sum("n") - 1).alias("n_links"))  # a node reaches itself
+    found = members.select("doc_id", "several", "node").distinct().join(total, ["several", "node"]).select("doc_id", "n_links")
+    return rows.where("doc_id is not null").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
 
 
+def op7_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=4, percent=85)
+
+
 OP7_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
  s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 3), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),

@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_files": token_files.op5_token_files,
         "op6_brown_lm": brown_lm.op6_brown_lm,
         "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
+        "op7_ngram_jaccard_links": ngram_join.op7_ngram_jaccard_links,
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_token_counts": token_counts.op10_token_counts,

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -77,6 +78,25 @@ def test_jaccard_components(spark, k, percent, stars):
     assert sum(r.doc_id is None and r.component_id is None for r in got) == 2
 
 
+@pytest.mark.parametrize("k,percent", [(4, 85), (3, 60)])
+def test_all_jaccard_links(spark, k, percent):
+    rows = texts_of(k, 90)
+    sets = {}
+    for i, t, *_ in rows:
+        if i is not None:
+            sets.setdefault(i, []).append(shingles(t, k))
+    want = set()
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if any(x and 100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b]):
+            want.add((a, b))
+    got = ngram_join.jaccard_links(frame(spark, rows), k, percent).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(want)
+    counts = ngram_join.link_counts(frame(spark, rows), k, percent).collect()
+    assert sorted((r.doc_id, r.n_links) for r in counts) == [(i, sum(i in p for p in want)) for i in sorted(sets)]
+    assert len(want) > len({r.component_id for r in ngram_join.jaccard_components(frame(spark, rows), k, percent).collect()})
+    assert ngram_join.link_counts(frame(spark, [])).count() == 0
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert ngram_join.jaccard_components(frame(spark, [])).count() == 0
 
