@@ -189,13 +189,22 @@ def comparable(cases: DataFrame, metres: float = 5000, limit: int = 40) -> DataF
 
     The district branch is a join on (crime, district); the other one a cell join. Ranks within a
     (crime, district) bound the first branch before pairs are formed: no case needs more than limit + 1 of it.
+    In dense places the first cases of a crime by id give most cases their `limit` near peers already; only
+    the rest look through all cells.
     """
     c = cases.select("case_id", "crime", "district")
     first = c.withColumn("_n", F.row_number().over(W.partitionBy("crime", "district").orderBy("case_id"))).where(F.col("_n") <= limit + 1)
     same = c.join(first.select("crime", "district", F.col("case_id").alias("peer")), ["crime", "district"]).select("case_id", "peer")
     rows = cases.select(F.col("case_id").alias("id"), "lat", "lon", F.to_date("registered").alias("day"))
-    near = stats.near_pairs(rows, rows, metres).select(F.col("a_id").alias("case_id"), F.col("b_id").alias("peer"))
+    points = cases.select("case_id", "crime", "lat", "lon").where("lat is not null and lon is not null")
+    early = points.withColumn("_n", F.row_number().over(W.partitionBy("crime").orderBy("case_id"))).where(F.col("_n") <= 8 * limit)
+    early = early.select("crime", F.col("case_id").alias("peer"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    close = points.join(early, "crime").where((F.col("case_id") != F.col("peer")) & (stats.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= metres)).select("case_id", "peer")
+    full = close.groupBy("case_id").agg(F.count("*").alias("_c")).where(F.col("_c") >= limit).select("case_id")
+    rest = rows.join(full.withColumnRenamed("case_id", "id"), "id", "left_anti")
+    near = stats.near_pairs(rest, rows, metres).select(F.col("a_id").alias("case_id"), F.col("b_id").alias("peer"))
     near = near.join(c.select("case_id", F.col("crime").alias("x")), "case_id").join(c.select(F.col("case_id").alias("peer"), F.col("crime").alias("y")), "peer").where("x = y").select("case_id", "peer")
+    near = near.union(close)
     both = same.union(near).where("case_id <> peer").distinct()
     return both.withColumn("_n", F.row_number().over(W.partitionBy("case_id").orderBy("peer"))).where(F.col("_n") <= limit).drop("_n")
 

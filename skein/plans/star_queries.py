@@ -354,11 +354,17 @@ def k04(t):
 
 @query("j12_comparable_cases", f"WITH c AS ({CASES}), p AS (SELECT x.case_id, y.case_id AS peer, row_number() OVER (PARTITION BY x.case_id ORDER BY y.case_id) AS i FROM c x JOIN c y ON x.crime = y.crime AND x.district = y.district AND x.case_id <> y.case_id) SELECT case_id, count(*) AS peers, CAST(sum(peer) AS BIGINT) AS checksum FROM p WHERE i <= 40 GROUP BY 1")
 def j12(t):
-    # far-apart points: the district branch alone finds peers
+    # the SQL knows the district branch alone, so points are left out; j12_comparable_near_cases has both
     c = cases(t).withColumns({"lat": F.col("case_id") % 150 - 75.0, "lon": F.col("case_id") / 1000.0 % 360 - 180.0, "registered": F.col("day")})
     return analytics.comparable(c.withColumn("lon", F.lit(None).cast("double"))).groupBy("case_id").agg(F.count("*").alias("peers"), F.sum("peer").alias("checksum"))
 
 
+@query("j12_comparable_near_cases")
+def j12n(t):
+    # both branches; without SQL, tested against brute force
+    return analytics.comparable(_placed_cases(t)).groupBy("case_id").agg(F.count("*").alias("peers"), F.sum("peer").alias("checksum"))
+
+
 NEAR = """
 WITH c AS (SELECT o_orderkey AS id, 12.9 + (o_orderkey * 7919 % 10007) / 100070.0 AS lat, 77.5 + (o_orderkey * 104729 % 10009) / 100090.0 AS lon, CAST(o_orderdate AS DATE) AS d FROM orders),
  g AS (SELECT *, floor(lat / 0.0036) AS gy, floor(lon / 0.0037) AS gx FROM c),
@@ -373,6 +379,10 @@ def placed(t: Tables) -> DataFrame:
     return t.orders.select(k.alias("case_id"), (12.9 + (k * 7919 % 10007) / 100070.0).alias("lat"), (77.5 + (k * 104729 % 10009) / 100090.0).alias("lon"), F.to_date("o_orderdate").alias("registered"), F.lit("House Burglary").alias("crime"))
 
 
+def _placed_cases(t: Tables) -> DataFrame:
+    return cases(t).join(placed(t).select("case_id", "lat", "lon", "registered"), "case_id")
+
+
 @query("j11_near_repeats", NEAR)
 def j11(t):
     return analytics.near_repeats(placed(t))
@@ -387,7 +397,7 @@ def g13(t):
 def a14(t):
     c = cases(t)
     same = W.partitionBy("crime", "district").orderBy("case_id")
-    peers = analytics.comparable(c.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "registered": F.col("day")}))
+    peers = analytics.comparable(_placed_cases(t))
     outcomes = c.select("case_id", F.translate("status", "FOP", "ACB").alias("cstype"), F.row_number().over(same).alias("_n")).drop("_n")
     kinds = t.lineitem.select(F.col("l_orderkey").alias("case_id"), F.col("l_returnflag").alias("type"))
     arrests = t.lineitem.where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("case_id"))

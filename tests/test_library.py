@@ -180,3 +180,43 @@ def test_nothing_outside_imports_the_subpackage():
     for f in [*root.glob("skein/**/*.py"), *root.glob("tests/*.py")]:
         if "llm" not in f.parts:
             assert not any(line.lstrip().startswith(("import skein.llm", "from skein.llm", "import corpus_pipeline", "from corpus_pipeline")) for line in f.read_text().splitlines()), f
+
+
+def test_comparable_cases_of_other_districts(spark):
+    from skein import catalog
+
+    folder = "/root/testdata/sf0.001"
+    where = {}
+    for r in spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey").collect():
+        k = r.o_orderkey
+        where[k] = (r.o_custkey, 12.9 + (k * 7919 % 10007) / 100070.0, 77.5 + (k * 104729 % 10009) / 100090.0)
+    customers = {r.c_custkey: (r.c_mktsegment, r.c_nationkey) for r in spark.read.parquet(f"{folder}/customer.parquet").collect()}
+    got = {r.case_id: (r.peers, r.checksum) for r in catalog.queries()["j12_comparable_near_cases"](spark, folder).collect()}
+    assert sorted(got) == sorted(where)
+    for k in sorted(where)[::37]:
+        crime, district = customers[where[k][0]]
+        peers = [p for p, (c, lat, lon) in sorted(where.items()) if p != k and customers[c][0] == crime and (customers[c][1] == district or _metres(where[k][1:], (lat, lon)) <= 5000)][:40]
+        assert got[k] == (len(peers), sum(peers))
+    lift = {r.case_id: r.peers for r in catalog.queries()["a14_a16_outcome_lift"](spark, folder).collect()}
+    assert lift == {k: n for k, (n, _) in got.items()}
+
+
+def _metres(a, b):
+    from math import asin, cos, radians, sin, sqrt
+
+    h = sin(radians(b[0] - a[0]) / 2) ** 2 + cos(radians(a[0])) * cos(radians(b[0])) * sin(radians(b[1] - a[1]) / 2) ** 2
+    return 2 * 6371000 * asin(min(1.0, sqrt(h)))
+
+
+@pytest.mark.parametrize("limit", [2, 40])
+def test_comparable_in_dense_and_sparse_places(spark, limit):
+    rng = random.Random(4)
+    day = datetime.date(2026, 1, 1)
+    rows = [(i, rng.choice("xy"), rng.randrange(20), 12 + rng.random() * (0.1 if i % 2 else 2), 77 + rng.random() * (0.1 if i % 2 else 2), day) for i in range(400)]
+    rows += [(400, "x", 1, None, None, day)]
+    got = {}
+    for r in analytics.comparable(spark.createDataFrame(rows, "case_id long, crime string, district int, lat double, lon double, registered date"), limit=limit).collect():
+        got.setdefault(r.case_id, []).append(r.peer)
+    for i, crime, district, lat, lon, _ in rows:
+        want = [p for p, c, d, y, x, _ in rows if p != i and c == crime and (d == district or None not in (lat, y) and _metres((lat, lon), (y, x)) <= 5000)][:limit]
+        assert sorted(got.get(i, [])) == want
