@@ -220,3 +220,41 @@ def test_comparable_in_dense_and_sparse_places(spark, limit):
     for i, crime, district, lat, lon, _ in rows:
         want = [p for p, c, d, y, x, _ in rows if p != i and c == crime and (d == district or None not in (lat, y) and _metres((lat, lon), (y, x)) <= 5000)][:limit]
         assert sorted(got.get(i, [])) == want
+
+
+def test_tfidf_with_bigrams(spark, tmp_path):
+    import math
+    from collections import Counter
+
+    from skein import catalog
+
+    docs = {1: "red house burglary", 2: "burglary house red", 3: "red house red house", 4: "green boat", 5: None}
+    asked = {1: "red house", 2: "house burglary boat"}
+    spark.createDataFrame(list(docs.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(asked.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def terms(t):
+        w = (t or "").split()
+        return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+
+    df = Counter(x for t in docs.values() for x in terms(t))
+    idf = {x: math.log((1 + len(docs)) / (1 + n)) + 1 for x, n in df.items()}
+
+    def vector(t):
+        v = {x: n * idf[x] for x, n in terms(t).items() if x in idf}
+        norm = math.sqrt(sum(a * a for a in v.values()))
+        return {x: a / norm for x, a in v.items()}
+
+    def run(name):
+        return catalog.queries()[name](spark, str(tmp_path)).collect()
+
+    assert {r.term: (r.df, r.idf) for r in run("a23_term_frequencies_bigrams")} == {x: (n, round(idf[x], 6)) for x, n in df.items()}
+    want = {(i, x): a for i, t in docs.items() for x, a in vector(t).items()}
+    got = {(r.id, r.term): r.w for r in run("t16_tfidf_bigrams")}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    best = []
+    for q, t in asked.items():
+        s = {i: sum(a * want.get((i, x), 0) for x, a in vector(t).items()) for i in docs}
+        order = sorted((i for i in docs if s[i] > 0), key=lambda i: (-round(s[i], 6), i))[:5]
+        best += [(q, i, n + 1) for n, i in enumerate(order)]
+    assert sorted((r.query, r.id, r.rank) for r in run("k01_k02_top_similar_bigrams")) == sorted(best)
