@@ -73,8 +73,38 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_SHUFFLE_CLEANUP, before)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings that hold for what runs inside; the caller's own come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Roots of scratch tables by application; a result may read them until the application ends.
+_ROOTS: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_scratch() -> None:
+    for spark, root in _ROOTS:
+        with contextlib.suppress(Exception):  # the JVM may have ended first
+            _delete(spark, root)
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors.
+    """Tables written to the shared folder: they cut lineage and survive lost executors. What drop()
+    leaves is removed when the application ends, as results are read from it.
 
     >>> s = Scratch(spark, "components")
     >>> labels = s.store(labels, "labels-1")   # written, read back
@@ -84,6 +114,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/skein/{name}-{uuid.uuid4().hex[:12]}"
+        _ROOTS.append((spark, self.root))
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -94,7 +125,5 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names or ("",):
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, self.path(name) if name else self.root)
