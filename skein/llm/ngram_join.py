@@ -3,18 +3,18 @@
 Every document is the set of its distinct k-word shingles; two documents link when
 100 * |A and B| >= percent * |A or B|.
 
-* Copies: documents with one and the same set stand for each other; the smallest id goes on.
-* Rare first: shingles are ordered by (count in a frequency sketch of fixed size, hash). Any order
-  gives right results as long as it is the same everywhere; the sketch covers all documents and puts
-  frequent shingles last, where prefixes do not reach them.
-* Prefix filter: two linked documents share a shingle among their first n - ceil(n * t) + 1. Prefixes
-  are packed; a shingle that no other document's prefix has is dropped after a one-bit exchange.
+* Copies: documents with one and the same set stand for each other; one of them goes on.
+* Rare first: shingles are ordered by (number of sets that have it, hash). The numbers are counted over all
+  sets in an exchange of packed arrays, exactly up to 64 and by their logarithm beyond.
+* Prefix filter: two linked documents share a shingle among their first n - ceil(n * t) + 1, and for the
+  smaller of the two already among its first n - ceil(2 * t * n / (1 + t)) + 1. Only shingles of a prefix
+  that several sets have go on.
 * Length and positional filters act on each meeting in a shingle, and on each pair with all its
   meetings; the suffix filter acts on both sets, before they are intersected. A pair is verified once.
-* Large groups of near copies: comparing all pairs of a group is not needed to find components. First
-  each shingle's documents are compared with one pivot, in at most `star_rounds` rounds; documents
-  that are connected already are not compared again. Then all pairs that are left across components
-  and pass the filters are compared, so no link between different components is lost.
+* Large groups of near copies: where more than `few` sets meet in a shingle, each is compared with one
+  pivot. Two that both link to it need no comparison to be in one component. All others are found by a
+  second prefix filter, over the shingles in which a set differs from the pivot: near misses share few
+  of those, so their number does not follow the square of the group. No link between components is lost.
 * All links: jaccard_links and link_counts take no such shortcut and verify every pair of different sets
   that passes the filters.
 
@@ -30,16 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from skein.llm import texts
-from skein.llm.blocks import exchanged, narrow, slices, unmasked, widen, with_answers
+from skein.llm.blocks import exchanged, narrow, slices, widen, with_answers
 from skein.operators.components import connected_components
-from skein.session import Scratch
+from skein.session import Scratch, settings
 
-SKETCH_BITS = 20
-_SLICES = 16
-_PIECE = 1 << 20
+_PIECE = 4 << 20
+_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+_BLOCK_FIELDS = ["block", "ids", "known", "sizes", "digests", "offsets", "body"]
+_MEETING = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("pos", pa.int64()), ("before", pa.int64()), ("short", pa.bool_()), ("shingles", pa.binary())])
 #: Bytes of each hash that sets are compared by: two different shingles of two sets of n meet with a probability of n * n / 2**48.
 _WIDTH = 6
 
@@ -65,157 +66,120 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     return v, np.searchsorted(d, np.arange(len(size) + 1))
 
 
-def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
-    data, offsets = texts.buffers(batch.column(1))
-    for lo, hi in texts.pieces(batch.num_rows, offsets, _PIECE):
-        v, off = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
-        yield batch.column(0).slice(lo, hi - lo), v, off
-
-
-def _cell(v: np.ndarray) -> np.ndarray:
-    return (v >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-
-
-def _digests(v: np.ndarray, off: np.ndarray) -> list[bytes | None]:
+def _digests(v: np.ndarray, off: np.ndarray) -> bytes:
     """128 bits of each set, from its ascending hashes."""
     import hashlib
 
     raw = v.astype("<u8").tobytes()
-    return [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    return b"".join(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
 
 
-def _signatures(docs: DataFrame, k: int) -> DataFrame:
-    """Per document (doc_id, n, digest), and the partitions' sketches as rows (part, counts)."""
+def _blocks(docs: DataFrame, k: int) -> DataFrame:
+    """Documents in blocks of a few MB, with each one's number of shingles and the digest of its set. A row's number is
+    the block's and its place in it; tables below are made of stored blocks, so it stays the same when a task runs again."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("part", pa.int32()), ("counts", pa.binary())])
-        for batch in batches:
-            for ids, v, off in _sets(batch, k):
-                sketch += np.bincount(_cell(v), minlength=len(sketch))
-                m = len(ids)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(off)), pa.array(_digests(v, off), pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
-        if sketch.any():
-            parts = sketch.reshape(_SLICES, -1)
-            yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32()), pa.array([p.astype("<i8").tobytes() for p in parts], pa.binary())], schema=schema)
-
-    return _input(docs).mapInArrow(fn, "doc_id long, n long, digest binary, part int, counts binary")
-
-
-def _input(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-
-
-def _merged_sketch(rows: DataFrame, scratch: Scratch) -> np.ndarray:
-    """Sums the partitions' sketches, 64 at a time; the result has a fixed size."""
+        from pyspark import TaskContext
 
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for p, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(raw.as_buffer(), "<i8")
-                total[p] = total[p] + part if p in total else part
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
-
-    rows, i = rows.where("part is not null").select("part", "counts"), 0
-    n = rows.count()
-    while n > _SLICES:
-        rows = scratch.store(rows.repartition(-(-n // (64 * _SLICES))).mapInArrow(fn, "part int, counts binary"), f"sketch{i}")
-        n, i = rows.count(), i + 1
-    out = np.zeros((_SLICES, (1 << SKETCH_BITS) // _SLICES), np.int64)
-    for r in rows.collect():  # at most 16 rows, 8 MB in all
-        out[r["part"]] = np.frombuffer(r["counts"], "<i8")
-    return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
+            data, offsets = texts.buffers(batch.column(1))
+            for lo, hi in texts.pieces(batch.num_rows, offsets, _PIECE):
+                body, off = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+                ids = batch.column(0).slice(lo, hi - lo)
+                v, at = shingle_sets(body, off, k)
+                cells = (np.asarray(ids.fill_null(0)).astype("<i8"), np.asarray(ids.is_valid()).astype(np.uint8), np.diff(at).astype("<i8"), _digests(v, at), off.astype("<i8"), body)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in cells)], _BLOCK_FIELDS)
+                number += len(ids)
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(fn, "block long, ids binary, known binary, sizes binary, digests binary, offsets binary, body binary")
 
-PREFIXES = "block long, ids binary, sizes binary, offsets binary, hashes binary"
 
-
-def _prefixes(docs: DataFrame, sketch, k: int, percent: int) -> DataFrame:
-    """Packed prefixes: for each document its first shingles in rare-first order."""
+def _signatures(blocks: DataFrame) -> DataFrame:
+    """Per row of docs: doc_id, n, digest (null for an empty set), row, block."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 32
-        freq = np.asarray(sketch.value)
         for batch in batches:
-            for ids, v, off in _sets(batch, k):
-                n = np.diff(off)
-                d = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((v, freq[_cell(v)], d))
-                pos = np.arange(len(v)) - off[d]
-                length = n - -(-percent * n // 100) + 1
-                known = np.asarray(ids.is_valid())
-                keep = (pos < length[d]) & known[d]
-                v, d = v[order][keep], d[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.asarray(ids.fill_null(0)).astype("<i8"), n.astype("<i8"), np.searchsorted(d, np.arange(len(n) + 1)).astype("<i8"), v.astype("<u8")))],
-                    ["block", "ids", "sizes", "offsets", "hashes"],
-                )
-                number += 1
+            for row in batch.to_pylist():
+                ids, n = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["sizes"], "<i8")
+                m, empty, raw = len(ids), n == 0, row["digests"]
+                digests = pa.array([raw[i : i + 16] for i in range(0, 16 * m, 16)], pa.binary(), mask=empty)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=np.frombuffer(row["known"], np.uint8) == 0), pa.array(n), digests, pa.array(row["block"] + np.arange(m)), pa.array([row["block"]] * m, pa.int64())], ["doc_id", "n", "digest", "row", "block"])
 
-    return _input(docs).mapInArrow(fn, PREFIXES)
+    return blocks.select("block", "ids", "known", "sizes", "digests").mapInArrow(fn, "doc_id long, n long, digest binary, row long, block long")
 
 
-def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return tuple(np.frombuffer(row[c], t) for c, t in (("ids", "<i8"), ("sizes", "<i8"), ("offsets", "<i8"), ("hashes", "<u8")))
+def _chosen_sets(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers, ids, hashes, offsets) of the documents of a block that stand for their set."""
+    nodes = np.sort(np.array(row["nodes"], np.int64))
+    at, off, body = nodes - row["block"], np.frombuffer(row["offsets"], "<i8"), np.frombuffer(row["body"], np.uint8)
+    if len(at) < len(off) - 1:
+        body = np.concatenate([body[off[i] : off[i + 1]] for i in at])
+        off = np.concatenate([[0], np.cumsum(off[at + 1] - off[at])])
+    return nodes, np.frombuffer(row["ids"], "<i8")[at], *shingle_sets(body, off, k)
 
 
-def _shared(rows: list[dict]) -> list[bytes]:
-    """For each distinct prefix shingle of a block: whether two documents' prefixes have it."""
+def _frequencies(rows: list[dict]) -> list[bytes]:
+    """For each shingle of a block: a byte that grows with the number of sets that have it, 1 for one set."""
     h = np.concatenate([widen(r["hashes"]) for r in rows])
-    twice = np.concatenate([np.frombuffer(r["extra"], np.uint8) for r in rows])
+    count = np.concatenate([np.frombuffer(r["extra"], np.uint8) for r in rows]).astype(np.int64)
     order = np.argsort(h, kind="stable")
     s = h[order]
     begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    size = np.diff(np.r_[begin, len(s)])
-    out = np.empty(len(h), bool)
-    out[order] = np.repeat((size > 1) | (np.maximum.reduceat(twice[order], begin) > 0), size)
+    total = np.add.reduceat(count[order], begin)
+    code = np.where(total <= 64, total, 64 + np.minimum(191, 8 * np.log2(total / 64))).astype(np.uint8)
+    out = np.empty(len(h), np.uint8)
+    out[order] = np.repeat(code, np.diff(np.r_[begin, len(s)]))
     cuts = np.cumsum([0, *(len(r["extra"]) for r in rows)])
-    return [np.packbits(out[a:b]).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _meetings(blocks: DataFrame, shards: int, scratch: Scratch) -> DataFrame:
-    """Rows (h, doc, n, pos, before) of the prefix shingles that at least two documents have in their
-    prefixes; before counts those of the document that come earlier."""
+def _meetings(blocks: DataFrame, k: int, percent: int, shards: int, scratch: Scratch) -> DataFrame:
+    """Two kinds of rows. For each prefix shingle that several sets have: h, doc (the set's number), id, n, pos, before
+    (those before it that several sets have) and short (whether a set of its size or more can first meet it here). For
+    each set with such a row: doc and its shingles."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                v, count = np.unique(_unpacked(row)[3], return_counts=True)
-                twice = (count > 1).astype(np.uint8)
-                got = [(s, row["block"], narrow(v[a:b]), twice[a:b].tobytes()) for s, a, b in slices(v, shards)]
+                v, count = np.unique(_chosen_sets(row, k)[2], return_counts=True)
+                count = np.minimum(count, 255).astype(np.uint8)
+                got = [(s, row["block"], narrow(v[a:b]), count[a:b].tobytes()) for s, a, b in slices(v, shards)]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "hashes", "extra"])
 
-    answers = exchanged(blocks.mapInArrow(send, "shard long, block long, hashes binary, extra binary"), _shared, scratch, "shared")
+    answers = exchanged(blocks.mapInArrow(send, "shard long, block long, hashes binary, extra binary"), _frequencies, scratch, "frequencies")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, n, off, h = _unpacked(row)
-                v = np.unique(h)
-                live = v[unmasked(list(slices(v, shards)), row["answers"], len(v))]
-                shared = np.isin(h, live)
-                at = np.flatnonzero(shared)
-                d = np.searchsorted(off, at, "right") - 1
+                nodes, ids, h, off = _chosen_sets(row, k)
+                v, at = np.unique(h, return_inverse=True)
+                by_shard = {a["shard"]: a["mask"] for a in row["answers"] or ()}
+                freq = np.frombuffer(b"".join(by_shard[s] for s, _, _ in slices(v, shards)), np.uint8)[at]
+                n = np.diff(off)
+                d = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((h, freq, d))
+                ranked, shared = h[order], freq[order] > 1
+                pos = np.arange(len(h)) - off[d]
                 before = np.concatenate([[0], np.cumsum(shared)])
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (h[at].view(np.int64), ids[d], n[d], at - off[d], before[at] - before[off[d]])], ["h", "doc", "n", "pos", "before"])
+                reach = n - -(-percent * n // 100) + 1
+                short = n - -(-2 * percent * n // (100 + percent)) + 1
+                keep = np.flatnonzero(shared & (pos < reach[d]))
+                at, d = pos[keep], d[keep]
+                columns = [ranked[keep].view(np.int64), nodes[d], ids[d], n[d], at, before[keep] - before[off[d]], at < short[d]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(keep), pa.binary())], schema=_MEETING)
+                d = np.unique(d)
+                own = {"doc": pa.array(nodes[d]), "shingles": pa.array([_packed_set(h[off[i] : off[i + 1]]) for i in d], pa.binary())}
+                yield pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(len(d), f.type)) for f in _MEETING], schema=_MEETING)
 
-    return with_answers(blocks, answers, "answers").mapInArrow(meet, "h long, doc long, n long, pos long, before long")
+    both = with_answers(blocks, answers, "answers").mapInArrow(meet, "h long, doc long, id long, n long, pos long, before long, short boolean, shingles binary")
+    return scratch.store(both, "met")
 
 
-def _packed_sets(docs: DataFrame, k: int) -> DataFrame:
-    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, v, off in _sets(batch, k):
-                raw = pa.py_buffer(np.ascontiguousarray(v.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH]).tobytes())
-                packed = pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer((_WIDTH * off).astype(np.int32).tobytes()), raw])
-                yield pa.RecordBatch.from_arrays([ids, packed], ["doc", "shingles"])
-
-    return _input(docs).mapInArrow(fn, "doc long, shingles binary")
+def _packed_set(v: np.ndarray) -> bytes:
+    return np.ascontiguousarray(v.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH]).tobytes()
 
 
 def _set(cell: pa.Scalar) -> np.ndarray:
@@ -248,140 +212,166 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (both - shared)
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    x, y = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = pa.array([similar(_set(x), _set(y), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+
+    return _with_sets(pairs, sets).mapInArrow(fn, "a long, b long")
+
+
+def _edited(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b = pivot) with both sizes, whether they link, and the shingles that only one of the two has."""
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = _set(x), _set(y)
+                edits = np.setxor1d(x, y, assume_unique=True)
+                out.append((len(x), len(y), (100 + percent) * len(edits) <= (100 - percent) * (len(x) + len(y)), edits.astype("<u8").tobytes()))
+            n, m, ok, raw = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(ok, pa.bool_()), pa.array(raw, pa.binary())], ["a", "b", "n", "m", "linked", "edits"])
+
+    return _with_sets(pairs, sets).mapInArrow(fn, "a long, b long, n long, m long, linked boolean, edits binary")
+
+
+def _edits(edited: DataFrame) -> DataFrame:
+    """Rows (p, doc, n, m, d, linked, e) of a document's edits e, of which it has d."""
+
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.asarray(batch.column(i)) for i in (0, 1))
-            xs, ys = batch.column(2), batch.column(3)
-            ok = [similar(_set(x), _set(y), percent) for x, y in zip(xs, ys, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
-
-    both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(fn, "a long, b long, linked boolean")
-
-
-def _enough(percent: int, overlap: Column, both: Column) -> Column:
-    """Whether an overlap of at most this can reach the threshold; both is the sum of the two sizes."""
-    return (100 + percent) * overlap >= percent * both
-
-
-def _may_link(percent: int) -> Column:
-    """Length and positional filters of two documents that meet in a shingle: before it, they can only
-    have shingles in common that prefixes share at all."""
-    n1, n2 = F.col("n1"), F.col("n2")
-    most = F.least("before1", "before2") + 1 + F.least(n1 - F.col("pos1") - 1, n2 - F.col("pos2") - 1)
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & _enough(percent, most, n1 + n2)
-
-
-_FIELDS = ("doc", "n", "pos", "before", "comp")
-
-
-def _side(rows: DataFrame, i: int) -> DataFrame:
-    return rows.select("h", *(F.col(c).alias(f"{c}{i}") for c in _FIELDS))
-
-
-def _starred(meet: DataFrame, percent: int, number: int) -> DataFrame:
-    """Pairs (a, b) of each shingle's pivot with the shingle's other documents, if they aren't connected yet.
-    The first pivot is the smallest id: an original comes before its copies; later ones are drawn."""
-    first = F.col("doc") if not number else F.xxhash64("doc", F.lit(number))
-    pivot = meet.groupBy("h").agg(F.min(F.struct(first.alias("key"), *_FIELDS)).alias("p")).select("h", *(F.col(f"p.{c}").alias(f"{c}2") for c in _FIELDS))
-    met = _side(meet, 1).join(pivot, "h").where((F.col("comp1") != F.col("comp2")) & _may_link(percent))
-    return met.select(F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")).distinct()
-
-
-def _crossed(meet: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) that meet, aren't connected and can reach the threshold. The shingles in common
-    are counted up to the last one; behind it no more can follow than the shorter rest."""
-    met = _side(meet, 1).join(_side(meet, 2), "h").where((F.col("doc1") < F.col("doc2")) & (F.col("comp1") != F.col("comp2")) & _may_link(percent))
-    pair = met.groupBy(F.col("doc1").alias("a"), F.col("doc2").alias("b"), "n1", "n2").agg(F.count("*").alias("c"), F.max("pos1").alias("i"), F.max("pos2").alias("j"))
-    most = F.col("c") + F.least(F.col("n1") - F.col("i") - 1, F.col("n2") - F.col("j") - 1)
-    return pair.where(_enough(percent, most, F.col("n1") + F.col("n2"))).select("a", "b").distinct()
-
-
-def _open_pairs(meet: DataFrame) -> float:
-    """Meetings of documents that aren't connected."""
-    per = meet.groupBy("h", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("h").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return per.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
-
-
-def _links(meet: DataFrame, docs: DataFrame, k: int, percent: int, scratch: Scratch, star_rounds: int) -> DataFrame | None:
-    """Links enough to make all components: every pair of documents that can link is verified, or its two are connected already."""
-    rows = meet.count()
-    if not rows:
-        return None
-    done: DataFrame | None = None
-    sets: DataFrame | None = None
-    now = meet.withColumn("comp", F.col("doc"))
-    for i in range(star_rounds + 1):
-        if i:
-            left = _open_pairs(now)
-            if not left:
-                break
-        last = i == star_rounds or (i > 0 and left <= rows)
-        pairs = _crossed(now, percent) if last else _starred(now, percent, i)
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = scratch.store(pairs, f"met{i}")
-        # sets are made for documents of a pair only, and once
-        need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        if sets is not None:
-            need = need.join(sets.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti")
-        more = scratch.store(_packed_sets(docs.join(need, "doc_id", "left_semi"), k), f"sets{i}")
-        sets = more if sets is None else sets.union(more)
-        new = scratch.store(_verified(pairs, sets, percent), f"pairs{i}")
-        scratch.drop(f"met{i}")
-        done = new if done is None else done.union(new)
-        if last:
-            break
-        comp = connected_components(done.where("linked")).select(F.col("id").alias("doc"), F.col("component").alias("comp"))
-        now = scratch.store(meet.join(comp, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), f"meet{i}")
-    return done.where("linked").select("a", "b")
+            raw = [np.frombuffer(x.as_buffer(), "<u8") for x in batch.column(5)]
+            d = np.array([len(x) for x in raw], np.int64)
+            a, b, n, m, linked = (np.repeat(np.asarray(batch.column(i).to_numpy(zero_copy_only=False)), d) for i in range(5))
+            e = np.concatenate([*raw, np.zeros(0, np.uint64)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b, a, n, m, np.repeat(d, d), linked.astype(bool), e)], ["p", "doc", "n", "m", "d", "linked", "e"])
+
+    return edited.mapInArrow(fn, "p long, doc long, n long, m long, d long, linked boolean, e long")
+
+
+def _sizes_fit(percent: int) -> Column:
+    return 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
+
+
+def _pair() -> tuple[Column, Column]:
+    return F.least("doc1", "doc2").alias("a"), F.greatest("doc1", "doc2").alias("b")
+
+
+def _side(rows: DataFrame, key: list[str], fields: tuple[str, ...], i: int) -> DataFrame:
+    return rows.select(*key, *(F.col(c).alias(f"{c}{i}") for c in fields))
+
+
+def _met_pairs(meet: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that meet and can reach the threshold.
+
+    The smaller set of a pair has to meet the other in a shorter prefix than the larger one (both orders by size break
+    ties alike). On each meeting act the length and the positional filter: before it, the two have at most what
+    several sets have. On each pair with all its meetings: behind the last one no more can follow than the shorter rest."""
+    fields = ("doc", "n", "pos", "before")
+    first = (F.col("n1") < F.col("n2")) | ((F.col("n1") == F.col("n2")) & (F.col("doc1") < F.col("doc2")))
+    rest = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+    both = F.col("n1") + F.col("n2")
+    met = _side(meet.where("short"), ["h"], fields, 1).join(_side(meet, ["h"], fields, 2), "h")
+    met = met.where(first & _sizes_fit(percent) & ((100 + percent) * (F.least("before1", "before2") + rest) >= percent * both))
+    pair = met.groupBy("doc1", "doc2", "n1", "n2").agg(F.count("*").alias("c"), F.max("pos1").alias("pos1"), F.max("pos2").alias("pos2"))
+    return pair.where((100 + percent) * (F.col("c") + rest - 1) >= percent * both).select(*_pair())
+
+
+def _edit_pairs(edits: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of sets around one pivot p, of which one at least does not link to p, that can link to each other.
+
+    With d edits each, two sets differ in d1 + d2 - 2 * (edits in common) shingles, and they link where that is at most
+    c * (n1 + n2), c = (100 - percent) / (100 + percent). A set beyond c * (n + m) of the pivot's m shingles thus needs
+    (d - c * (n + m)) / 2 edits in common with any other, and any other needs (d + c * (m - n)) / 2 with such a
+    set. That makes prefixes of the edits, rarest first; edits that only one set has are counted, not joined."""
+    up, down = 100 + percent, 100 - percent
+    times = edits.groupBy("p", "e").agg(F.count("*").alias("times")).where("times > 1")
+    ranked = W.partitionBy("p", "doc")
+    shared = edits.join(times, ["p", "e"]).select("*", (F.row_number().over(ranked.orderBy("times", "e")) - 1).alias("before"), F.count("*").over(ranked).alias("s"))
+    need_far = F.greatest(F.lit(1), F.ceil((up * F.col("d") - down * (F.col("n") + F.col("m"))) / F.lit(2 * up)))
+    need_any = F.greatest(F.lit(1), F.ceil((up * F.col("d") + down * (F.col("m") - F.col("n"))) / F.lit(2 * up)))
+    rows = shared.select("p", "e", "doc", "n", "d", "s", "before", ((F.col("before") <= F.col("s") - need_far) & ~F.col("linked")).alias("far"), (F.col("before") <= F.col("s") - need_any).alias("near"))
+    rows = scratch.store(rows.where("far or near"), "edits")
+    fields = ("doc", "n", "d", "s", "before")
+    most = F.least("before1", "before2") + F.least(F.col("s1") - F.col("before1"), F.col("s2") - F.col("before2"))
+    met = _side(rows.where("far"), ["p", "e"], fields, 1).join(_side(rows.where("near"), ["p", "e"], fields, 2), ["p", "e"])
+    met = met.where((F.col("doc1") != F.col("doc2")) & _sizes_fit(percent) & (2 * up * most >= up * (F.col("d1") + F.col("d2")) - down * (F.col("n1") + F.col("n2"))))
+    return met.select(*_pair()).distinct()
+
+
+def _links(meet: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, few: int) -> DataFrame:
+    """Links (a, b) enough to make all components: every two sets that meet and can link are verified, or both link to
+    one pivot. Shingles with up to `few` sets give pairs; of the others each set is compared with the shingle's pivot,
+    the one with the smallest id (an original comes before its copies), and its edits with those of the others."""
+    if meet.isEmpty():
+        return meet.sparkSession.createDataFrame([], "a long, b long")
+    small = scratch.store(_met_pairs(meet.where(F.col("sets") <= few), percent), "pairs")
+    links = scratch.store(_verified(small, sets, percent), "links")
+    crowd = meet.where(F.col("sets") > few)
+    if crowd.isEmpty():
+        return links
+    pivot = crowd.groupBy("h").agg(F.min(F.struct("id", "doc")).alias("p")).select("h", F.col("p.doc").alias("b"))
+    around = crowd.select("h", F.col("doc").alias("a")).join(pivot, "h").where("a <> b").select("a", "b").distinct()
+    edited = scratch.store(_edited(around, sets, percent), "edited")
+    far = scratch.store(_edit_pairs(_edits(edited), percent, scratch).join(small, ["a", "b"], "left_anti"), "edit_pairs")
+    more = scratch.store(_verified(far, sets, percent), "edit_links")
+    return links.union(edited.where("linked").select("a", "b")).union(more)
 
 
 def _prepared(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(rows of docs (doc_id, n, digest), those with an id and a set, classes (digest, rep), meetings of representatives)."""
-    spark: SparkSession = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
-    signed = scratch.store(_signatures(docs, k), "signatures")
-    sketch = spark.sparkContext.broadcast(_merged_sketch(signed, scratch))
-    rows = signed.where("part is null").select("doc_id", "n", "digest")
+    """(rows of docs (doc_id, n, digest), classes (digest, first, node), meetings with their number of sets, sets).
+    A node is the number of the row that stands for all rows with its set, first their smallest id."""
+    blocks = scratch.store(_blocks(docs, k), "blocks")
+    rows = scratch.store(_signatures(blocks), "signatures")
     named = rows.where("doc_id is not null and digest is not null")
-    classes = scratch.store(named.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = named.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "block")).alias("x")).select("digest", F.col("x.doc_id").alias("first"), F.col("x.row").alias("node"), F.col("x.block").alias("block"))
+    classes = scratch.store(classes, "classes")
     total = named.agg(F.sum("n")).first()[0]
-    blocks = scratch.store(_prefixes(docs, sketch, k, percent), "prefixes")
-    meet = _meetings(blocks, texts.blocks_for(total, 4 << 20), scratch).join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    meet = scratch.store(meet, "meet")
-    scratch.drop("prefixes", "shared")
-    return rows, named, classes, meet
+    nodes = classes.groupBy("block").agg(F.collect_list("node").alias("nodes"))
+    met = _meetings(blocks.select("block", "ids", "offsets", "body").join(nodes, "block"), k, percent, texts.blocks_for(total, 4 << 20), scratch)
+    scratch.drop("blocks", "frequencies")
+    meet = met.where("h is not null").drop("shingles")
+    several = meet.groupBy("h").agg(F.count("*").alias("sets"), F.max("short").alias("some")).where("sets > 1 and some").drop("some")
+    meet = scratch.store(meet.join(several, "h"), "meet")
+    return rows.select("doc_id", "n", "digest"), classes.drop("block"), meet, met.where("h is null").select("doc", "shingles")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, few: int = 64) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows, named, classes, meet = _prepared(docs, k, percent, scratch)
-    links = _links(meet, docs.withColumn("doc_id", F.col("doc_id").cast("long")), k, percent, scratch, star_rounds)
-    twice = named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("doc_id")
-    same = named.join(twice, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comp = connected_components(same if links is None else links.union(same))
-    found = classes.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    with settings(docs.sparkSession, _BATCHES):
+        rows, classes, meet, sets = _prepared(docs, k, percent, scratch)
+        links = _links(meet, sets, percent, scratch, few)
+    # rows of one id are one document: their sets are joined
+    own = rows.where("doc_id is not null and digest is not null").join(classes, "digest").select("doc_id", "node")
+    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
+    same = own.join(several, "doc_id").select("a", F.col("node").alias("b"))
+    comp = scratch.store(connected_components(links.union(same)).select(F.col("id").alias("node"), "component"), "components")
+    scratch.drop("met", "meet", "pairs", "links", "edited", "edits", "edit_pairs", "edit_links")
+    least = classes.join(comp, "node").groupBy("component").agg(F.min("first").alias("component_id"))
+    found = classes.join(comp.join(least, "component").select("node", "component_id"), "node", "left").select("digest", F.coalesce("component_id", "first").alias("component_id"))
     return rows.join(found, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def _set_links(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, members (doc_id, set), links (a, b) of different sets): sets are numbered, and every pair that meets
-    and passes the filters is verified."""
-    # a set's number is no id, so that the sets of an id that has several are told apart
-    numbered = docs.select(F.col("doc_id").cast("long").alias("id"), "text").withColumn("doc_id", F.when(F.col("id").isNotNull(), F.xxhash64("id", "text")))
-    numbered = scratch.store(numbered.dropDuplicates(["id", "doc_id"]), "numbered")
-    rows, named, classes, meet = _prepared(numbered.select("doc_id", "text"), k, percent, scratch)
-    members = numbered.select("id", "doc_id").join(named.select("doc_id", "digest"), "doc_id").join(classes, "digest").select(F.col("id").alias("doc_id"), F.col("rep").alias("set")).distinct()
+    """(rows, members (doc_id, set), links (a, b) of different sets): every pair that meets and passes the filters is verified."""
+    with settings(docs.sparkSession, _BATCHES):
+        rows, classes, meet, sets = _prepared(docs, k, percent, scratch)
+        pairs = scratch.store(_met_pairs(meet, percent), "all_pairs")
+        links = scratch.store(_verified(pairs, sets, percent), "all_links")
+    members = rows.where("doc_id is not null and digest is not null").join(classes, "digest").select("doc_id", F.col("node").alias("set")).distinct()
     members = scratch.store(members, "members")
-    pairs = scratch.store(_crossed(meet.withColumn("comp", F.col("doc")), percent), "all_pairs")
-    need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = scratch.store(_packed_sets(numbered.select("doc_id", "text").join(need, "doc_id", "left_semi"), k), "all_sets")
-    links = scratch.store(_verified(pairs, sets, percent).where("linked").select("a", "b"), "all_links")
-    scratch.drop("meet", "all_pairs", "all_sets")
-    return numbered.select(F.col("id").alias("doc_id")), members, links
+    scratch.drop("met", "meet", "all_pairs")
+    return rows, members, links
 
 
 def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -408,7 +398,7 @@ def link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     more = reach.join(multiple, "other").groupBy("several", "node").agg(F.countDistinct("id").alias("n"))
     total = counted.union(more).groupBy("several", "node").agg((F.sum("n") - 1).alias("n_links"))  # a node reaches itself
     found = members.select("doc_id", "several", "node").distinct().join(total, ["several", "node"]).select("doc_id", "n_links")
-    return rows.where("doc_id is not null").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return rows.where("doc_id is not null").select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,9 +53,32 @@ def shingles(t, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("k,percent,stars", [(4, 85, 2), (5, 80, 0), (3, 60, 1)])
-def test_jaccard_components(spark, k, percent, stars):
-    rows = texts_of(k, 90)
+def near_group(seed: int) -> list[tuple]:
+    """One large group of near copies around the threshold, by words replaced, left out, put in and moved, with a variant that has copies of its own."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(70)]
+    variant = base[:20] + [f"v{i}" for i in range(9)] + base[29:]
+    out = []
+    for i in range(260):
+        w = list(variant if i % 5 == 4 else base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            at = rng.randrange(len(w))
+            kind = rng.randrange(4)
+            if kind == 0:
+                w[at] = f"n{rng.randrange(5000)}"
+            elif kind == 1:
+                del w[at : at + rng.randrange(1, 6)]
+            elif kind == 2:
+                w.insert(at, f"n{rng.randrange(20)}")
+            else:
+                w = w[at:] + w[:at] if rng.random() < 0.2 else w[: max(40, len(w) - rng.randrange(12))]
+        out.append((1000 - i, " ".join(w)))
+    return [(i, t, None, None, len(t), 0.5, "k", 1) for i, t in out]
+
+
+@pytest.mark.parametrize("k,percent,few,seed", [(4, 85, 64, 0), (5, 80, 2, 0), (3, 60, 1, 0), (4, 85, 1, 1), (4, 85, 16, 2), (5, 80, 1, 3), (2, 90, 4, 4)])
+def test_jaccard_components(spark, k, percent, few, seed):
+    rows = texts_of(k, 90) + (near_group(seed) if seed else [])
     sets = {}
     for i, t, *_ in rows:
         if i is not None:
@@ -73,7 +96,7 @@ def test_jaccard_components(spark, k, percent, stars):
             if a < b and any(100 * len(x & y) >= percent * len(x | y) for x in sets[a] for y in sets[b] if x and y):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
-    got = ngram_join.jaccard_components(frame(spark, rows), k, percent, stars).collect()
+    got = ngram_join.jaccard_components(frame(spark, rows), k, percent, few).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id is not None) == sorted((i, len(shingles(t, k)), find(i)) for i, t, *_ in rows if i is not None)
     assert sum(r.doc_id is None and r.component_id is None for r in got) == 2
 
