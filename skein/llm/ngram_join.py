@@ -110,18 +110,25 @@ def _signatures(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", "ids", "known", "sizes", "digests").mapInArrow(fn, "doc_id long, n long, digest binary, row long, block long")
 
 
-def _chosen_sets(row: dict, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(numbers, ids, hashes, offsets) of the documents of a block that stand for their set."""
-    nodes = np.sort(np.array(row["nodes"], np.int64))
-    at, off, body = nodes - row["block"], np.frombuffer(row["offsets"], "<i8"), np.frombuffer(row["body"], np.uint8)
+def _different(row: dict) -> np.ndarray:
+    """Places in a block of the first document of each different set."""
+    ok = np.flatnonzero((np.frombuffer(row["known"], np.uint8) > 0) & (np.frombuffer(row["sizes"], "<i8") > 0))
+    digests = np.frombuffer(row["digests"], "V16")[ok]
+    return np.array(sorted(dict(zip(digests.tolist()[::-1], ok.tolist()[::-1], strict=True)).values()), np.int64)
+
+
+def _sets_at(row: dict, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, offsets) of the documents at the given places of a block."""
+    off, body = np.frombuffer(row["offsets"], "<i8"), np.frombuffer(row["body"], np.uint8)
     if len(at) < len(off) - 1:
-        body = np.concatenate([body[off[i] : off[i + 1]] for i in at])
+        body = np.concatenate([body[:0], *(body[off[i] : off[i + 1]] for i in at)])
         off = np.concatenate([[0], np.cumsum(off[at + 1] - off[at])])
-    return nodes, np.frombuffer(row["ids"], "<i8")[at], *shingle_sets(body, off, k)
+    return shingle_sets(body, off, k)
 
 
 def _frequencies(rows: list[dict]) -> list[bytes]:
-    """For each shingle of a block: a byte that grows with the number of sets that have it, 1 for one set."""
+    """For each shingle of a block: a byte that grows with the number of sets that have it, 1 for one set. A set counts
+    once in each block that has it, so copies may raise the number, by the same for all who see the shingle."""
     h = np.concatenate([widen(r["hashes"]) for r in rows])
     count = np.concatenate([np.frombuffer(r["extra"], np.uint8) for r in rows]).astype(np.int64)
     order = np.argsort(h, kind="stable")
@@ -135,7 +142,7 @@ def _frequencies(rows: list[dict]) -> list[bytes]:
     return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _meetings(blocks: DataFrame, k: int, percent: int, shards: int, scratch: Scratch) -> DataFrame:
+def _meetings(blocks: DataFrame, nodes: DataFrame, k: int, percent: int, shards: int, scratch: Scratch) -> DataFrame:
     """Two kinds of rows. For each prefix shingle that several sets have: h, doc (the set's number), id, n, pos, before
     (those before it that several sets have) and short (whether a set of its size or more can first meet it here). For
     each set with such a row: doc and its shingles."""
@@ -143,7 +150,7 @@ def _meetings(blocks: DataFrame, k: int, percent: int, shards: int, scratch: Scr
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                v, count = np.unique(_chosen_sets(row, k)[2], return_counts=True)
+                v, count = np.unique(_sets_at(row, _different(row), k)[0], return_counts=True)
                 count = np.minimum(count, 255).astype(np.uint8)
                 got = [(s, row["block"], narrow(v[a:b]), count[a:b].tobytes()) for s, a, b in slices(v, shards)]
                 if got:
@@ -154,7 +161,11 @@ def _meetings(blocks: DataFrame, k: int, percent: int, shards: int, scratch: Scr
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                nodes, ids, h, off = _chosen_sets(row, k)
+                places, digests, first = _different(row), np.frombuffer(row["digests"], "V16").tolist(), row["block"]
+                standing = {digests[x - first]: x for x in row["nodes"] or ()}
+                nodes = np.array([standing.get(digests[i], -1) for i in places], np.int64)
+                ids = np.frombuffer(row["ids"], "<i8")[np.maximum(nodes - first, 0)]
+                h, off = _sets_at(row, places, k)
                 v, at = np.unique(h, return_inverse=True)
                 by_shard = {a["shard"]: a["mask"] for a in row["answers"] or ()}
                 freq = np.frombuffer(b"".join(by_shard[s] for s, _, _ in slices(v, shards)), np.uint8)[at]
@@ -166,7 +177,7 @@ def _meetings(blocks: DataFrame, k: int, percent: int, shards: int, scratch: Scr
                 before = np.concatenate([[0], np.cumsum(shared)])
                 reach = n - -(-percent * n // 100) + 1
                 short = n - -(-2 * percent * n // (100 + percent)) + 1
-                keep = np.flatnonzero(shared & (pos < reach[d]))
+                keep = np.flatnonzero(shared & (pos < reach[d]) & (nodes >= 0)[d])
                 at, d = pos[keep], d[keep]
                 columns = [ranked[keep].view(np.int64), nodes[d], ids[d], n[d], at, before[keep] - before[off[d]], at < short[d]]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.nulls(len(keep), pa.binary())], schema=_MEETING)
@@ -174,7 +185,7 @@ def _meetings(blocks: DataFrame, k: int, percent: int, shards: int, scratch: Scr
                 own = {"doc": pa.array(nodes[d]), "shingles": pa.array([_packed_set(h[off[i] : off[i + 1]]) for i in d], pa.binary())}
                 yield pa.RecordBatch.from_arrays([own.get(f.name, pa.nulls(len(d), f.type)) for f in _MEETING], schema=_MEETING)
 
-    both = with_answers(blocks, answers, "answers").mapInArrow(meet, "h long, doc long, id long, n long, pos long, before long, short boolean, shingles binary")
+    both = with_answers(blocks, answers, "answers").join(nodes, "block").mapInArrow(meet, "h long, doc long, id long, n long, pos long, before long, short boolean, shingles binary")
     return scratch.store(both, "met")
 
 
@@ -337,7 +348,7 @@ def _prepared(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[
     classes = scratch.store(classes, "classes")
     total = named.agg(F.sum("n")).first()[0]
     nodes = classes.groupBy("block").agg(F.collect_list("node").alias("nodes"))
-    met = _meetings(blocks.select("block", "ids", "offsets", "body").join(nodes, "block"), k, percent, texts.blocks_for(total, 4 << 20), scratch)
+    met = _meetings(blocks, nodes, k, percent, texts.blocks_for(total, 4 << 20), scratch)
     scratch.drop("blocks", "frequencies")
     meet = met.where("h is not null").drop("shingles")
     several = meet.groupBy("h").agg(F.count("*").alias("sets"), F.max("short").alias("some")).where("sets > 1 and some").drop("some")
