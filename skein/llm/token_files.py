@@ -15,7 +15,8 @@ Index. Keys are (doc_id, occurrence), so rows that repeat an id stay apart. Keys
 some thousands; each bucket has a minimal perfect hash function of cascaded bit arrays: a key is
 settled on the first level where it is alone, and its slot is the rank of its bit. A slot stores a
 32-bit fingerprint with partition, shard, offset and length; a key outside the index is told by its
-fingerprint. A lookup costs a few hashes, whatever the number of documents.
+fingerprint and, in the file, by its key. A lookup costs a few hashes, whatever the number of documents, and
+opens the files that it needs, whose places a manifest holds.
 
 Defined cases: a null or empty text has its end id alone; a null id is a key of its own and comes
 first; other columns are ignored; an empty table writes no shard and gives an empty result.
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ MAGIC = b"IDSHARD1"
 _HEAD = struct.Struct("<8s5q")
 _ENCODERS: dict[str, tokens.IdEncoder] = {}
 BUCKET_KEYS = 4096
+#: Files that are opened by name; if more are hit, Spark lists the folder.
+FEW_FILES = 1000
 ENTRY = np.dtype([("fingerprint", "<u4"), ("part", "<i4"), ("shard", "<i4"), ("length", "<i8"), ("offset", "<i8")])
 
 
@@ -103,24 +106,43 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int, shard_ids
         rows.mapInArrow(fn, "raw binary").select(F.col("raw").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
 
-def shard_records(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """What the files hold, per document: part, shard, offset, before, key, occurrence, n_tokens, ids_crc32 (and ids)."""
+def _slices(s: Shard) -> list[bytes]:
+    """Each document's ids as 32-bit integers."""
+    wide, at = s.ids.astype("<u4"), s.offsets.tolist()
+    return [wide[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)]
+
+
+def _opened(spark: SparkSession, paths: str | list[str], fields: dict[str, pa.DataType], values: Callable[[Shard], list], types: str) -> DataFrame:
+    """Rows of the documents in shard files: path, part, shard, before (ids of the partition before the shard), offset,
+    n_tokens, key, occurrence, and what values() adds."""
+    names = ["path", "part", "shard", "before", "offset", "n_tokens", "key", "occurrence", *fields]
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cell in batch.column(0):
+            for path, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = Shard(cell.as_buffer())
                 n = len(s.keys)
-                wide = s.ids.astype("<u4")
-                docs = [wide[a:b].tobytes() for a, b in zip(s.offsets[:-1], s.offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([s.part] * n, pa.int32()), pa.array([s.shard] * n, pa.int32()), pa.array(s.offsets[:-1]), pa.array([s.before] * n, pa.int64()), pa.array(s.keys[:, 0], mask=s.keys[:, 2] == 1), pa.array(np.ascontiguousarray(s.keys[:, 1])), pa.array(np.diff(s.offsets)), pa.array([zlib.crc32(d) for d in docs], pa.int64()), pa.array(docs if with_ids else [None] * n, pa.binary())],
-                    ["part", "shard", "offset", "before", "key", "occurrence", "n_tokens", "ids_crc32", "ids"],
-                )
+                same = [pa.array([x] * n, t) for x, t in ((path, pa.string()), (s.part, pa.int32()), (s.shard, pa.int32()), (s.before, pa.int64()))]
+                own = [pa.array(s.offsets[:-1]), pa.array(np.diff(s.offsets)), pa.array(s.keys[:, 0], mask=s.keys[:, 2] == 1), pa.array(np.ascontiguousarray(s.keys[:, 1]))]
+                yield pa.RecordBatch.from_arrays([*same, *own, *(pa.array(x, t) for x, t in zip(values(s), fields.values(), strict=True))], names)
+
+    files = spark.read.format("binaryFile").load(paths).where("length > 0").select("path", "content")
+    return files.mapInArrow(fn, f"path string, part int, shard int, before long, offset long, n_tokens long, key long, occurrence long{types}")
+
+
+def shard_headers(spark: SparkSession, path: str) -> DataFrame:
+    """What the files say of each document, without its ids."""
+    return _opened(spark, path, {}, lambda s: [], "")
 
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    out = files.mapInArrow(fn, "part int, shard int, offset long, before long, key long, occurrence long, n_tokens long, ids_crc32 long, ids binary")
-    return out if with_ids else out.drop("ids")
+
+def shard_records(spark: SparkSession, paths: str | list[str], with_ids: bool = False) -> DataFrame:
+    """shard_headers with each document's ids_crc32 (and ids)."""
+
+    def values(s: Shard) -> list:
+        docs = _slices(s)
+        return [[zlib.crc32(x) for x in docs], *([docs] if with_ids else [])]
+
+    return _opened(spark, paths, {"ids_crc32": pa.int64()} | ({"ids": pa.binary()} if with_ids else {}), values, ", ids_crc32 long" + ", ids binary" * with_ids)
 
 
 # --- index ---------------------------------------------------------------------------------------
@@ -184,10 +206,18 @@ def _hashed(keys: DataFrame, buckets: int) -> DataFrame:
     return keys.mapInArrow(fn, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.schema.fields) + ", h long, bucket long")
 
 
-def write_index(records: DataFrame, path: str, buckets: int) -> None:
-    rows = _hashed(records.select("key", "occurrence", "part", "shard", "offset", "n_tokens"), buckets)
-    with shuffles_dropped(records.sparkSession):
-        rows.groupBy("bucket").applyInArrow(_build_bucket, "bucket long, sizes array<int>, bits binary, entries binary").write.mode("overwrite").parquet(path)
+def write_index(spark: SparkSession, shards: str, index: str, buckets: int) -> None:
+    """Reads the shards' headers once and writes index/keys (the hash functions with their entries) and index/manifest
+    (path, part, shard, start: ids of all documents before the shard)."""
+    scratch = Scratch(spark, "headers")
+    headers = scratch.store(shard_headers(spark, shards), "headers")
+    files = headers.groupBy("path", "part", "shard", "before").agg(F.sum("n_tokens").alias("n"))
+    bases = files.groupBy("part").agg(F.sum("n").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
+    rows = _hashed(headers.select("key", "occurrence", "part", "shard", "offset", "n_tokens"), buckets)
+    with shuffles_dropped(spark):
+        files.join(bases, "part").select("path", "part", "shard", (F.col("base") + F.col("before")).alias("start")).write.mode("overwrite").parquet(f"{index}/manifest")
+        rows.groupBy("bucket").applyInArrow(_build_bucket, "bucket long, sizes array<int>, bits binary, entries binary").write.mode("overwrite").parquet(f"{index}/keys")
+    scratch.drop()
 
 
 def lookup(keys: DataFrame, index: str, buckets: int) -> DataFrame:
@@ -207,17 +237,27 @@ def lookup(keys: DataFrame, index: str, buckets: int) -> DataFrame:
         kept = left.filter(pa.array(found))
         return pa.table({"key": kept["key"], "occurrence": kept["occurrence"], **{c: pa.array(np.ascontiguousarray(e[c])) for c in ("part", "shard", "offset", "length")}})
 
-    rows = _hashed(keys, buckets).groupBy("bucket").cogroup(keys.sparkSession.read.parquet(index).groupBy("bucket"))
+    rows = _hashed(keys, buckets).groupBy("bucket").cogroup(keys.sparkSession.read.parquet(f"{index}/keys").groupBy("bucket"))
     return rows.applyInArrow(fn, "key long, occurrence long, part int, shard int, offset long, length long")
 
 
 def fetch(keys: DataFrame, shards: str, index: str, buckets: int, with_ids: bool = True) -> DataFrame:
-    """The documents of the given keys, by way of the index: key, occurrence, start, n_tokens, ids_crc32 (and ids)."""
+    """The documents of the given keys, by way of the index: key, occurrence, start, n_tokens, ids_crc32 (and ids).
+
+    The index says which shard, and where in it, a key's ids lie. Where the keys fall into few files, these alone are
+    opened; else the folder is read as a whole. A shard's own key decides in the end, so a key that the index
+    lacks is not found, even if its fingerprint is another's."""
     spark = keys.sparkSession
-    records = shard_records(spark, shards, with_ids)
-    totals = records.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
-    out = lookup(keys, index, buckets).join(records.drop("key", "occurrence"), ["part", "shard", "offset"]).where("length = n_tokens").join(totals, "part")
-    return out.select("key", "occurrence", (F.col("base") + F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+    hits = Scratch(spark, "hits").store(lookup(keys, index, buckets), "hits")
+    manifest = spark.read.parquet(f"{index}/manifest")
+    paths = [r["path"] for r in manifest.join(hits.select("part", "shard").distinct(), ["part", "shard"], "left_semi").select("path").limit(FEW_FILES + 1).collect()]
+    if not paths:
+        records = shard_records(spark, shards, with_ids).where("false")
+    else:
+        records = shard_records(spark, paths if len(paths) <= FEW_FILES else shards, with_ids)
+    records = records.select("part", "shard", "offset", F.col("key").alias("own"), F.col("occurrence").alias("times"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
+    out = hits.join(records, ["part", "shard", "offset"]).where("length = n_tokens and key <=> own and occurrence = times").join(manifest.drop("path"), ["part", "shard"])
+    return out.select("key", "occurrence", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def numbered_keys(docs: DataFrame) -> DataFrame:
@@ -231,5 +271,5 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards, index = scratch.path("shards"), scratch.path("index")
     write_shards(docs, shards, "byte_bpe_50k.json", 0)
     buckets = texts.blocks_for(docs.count(), BUCKET_KEYS)
-    write_index(shard_records(spark, shards), index, buckets)
+    write_index(spark, shards, index, buckets)
     return fetch(numbered_keys(docs), shards, index, buckets, False).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -19,9 +19,19 @@ _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
-#: Known units beyond which a worker starts again: about 60 MB in arrays, or in a dictionary.
-UNITS = 2_000_000
+_STOP = np.zeros(256, bool)
+_STOP[[0x2C, 0x2E]] = True
+#: Bytes that begin what could make units depend on each other: control characters, "<" of "<|", first bytes of other white space.
+_SUSPECT = np.zeros(256, bool)
+_SUSPECT[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x3C, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Places for known units, 32 MB; a unit that falls to another's place takes it over.
+SLOTS = 1 << 22
+#: Ids of known units beyond which a worker starts again.
+POOL_IDS = 1 << 24
+#: Known units in a dictionary beyond which a worker starts again.
 CACHE_UNITS = 300_000
+#: Units that the library gets at a time.
+_TOGETHER = 100
 
 
 def vocabulary(name: str) -> str:
@@ -61,8 +71,8 @@ def _split_pieces(text: str) -> list[str] | None:
 class IdEncoder:
     """encode(bytes, offsets of texts) -> (ids, offsets of ids), as the library gives them for each whole text.
 
-    Units are byte ranges, found and hashed for a whole batch at once. Known units are three arrays:
-    sorted hashes, and where the ids of each begin and end in one array of ids; some 30 bytes a unit.
+    Units are byte ranges, found and hashed for a whole batch at once. Known units have a place by their
+    hash, which says where in one array their ids begin and how many they are.
 
     For a tokenizer that drops white space (word_*), units are words. For byte-level BPE behind a
     pattern that gives a word the one space before it, they tile the text: a word with its one space,
@@ -78,82 +88,128 @@ class IdEncoder:
         self.tok = Tokenizer.from_file(vocabulary(name))
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.words_only = name.startswith("word_")
+        #: What stands between units that are encoded together: byte-level patterns make a line end a token
+        #: of its own; where white space is dropped, a control character between spaces does.
+        self.between = b" \x01 " if self.words_only else b"\n"
+        (self.mark,) = self.tok.encode(self.between.decode(), add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.begin, self.end, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.keys, self.begin, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, self.kind), 0
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         from skein.llm import texts
 
-        starts, ends = self._units(data, offsets)
+        starts, ends, whole = self._units(data, offsets)
         if not len(starts):
             return np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
         h = texts.word_hashes(data, starts, ends, False)
-        distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        inner = at < len(self.keys)
-        known[inner] = self.keys[at[inner]] == distinct[inner]
-        new = np.flatnonzero(~known)
-        got, size = self._encoded(data, starts[first[new]], ends[first[new]])
-        begin, end = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
-        begin[known], end[known] = self.begin[at[known]], self.end[at[known]]
-        end[new] = len(self.ids) + np.cumsum(size)
-        begin[new] = end[new] - size
-        pool = np.concatenate([self.ids, got])
-        a, n = begin[inverse], (end - begin)[inverse]
+        h[h == 0] = 1
+        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        new = np.flatnonzero(self.keys[slot] != h)
+        begin, n = self.begin[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        if len(new):
+            distinct, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            a, b = starts[new[first]], ends[new[first]]
+            alone = whole[np.searchsorted(offsets, a, "right") - 1]
+            if not self.words_only:
+                alone |= data[a] == 0x0A
+            elif (marks := data == 0x01).any():
+                before = np.concatenate([[0], np.cumsum(marks)])
+                alone |= before[b] > before[a]
+            got, size = self._encoded(data, a, b, alone)
+            if self.used + len(got) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(self.used + len(got), self.kind)])
+            self.pool[self.used : self.used + len(got)] = got
+            at = self.used + np.cumsum(size) - size
+            self.used += len(got)
+            begin[new], n[new] = at[inverse], size[inverse]
+            to = slot[new[first]]
+            self.keys[to], self.begin[to], self.size[to] = distinct, at, size
         to = np.concatenate([[0], np.cumsum(n)])
-        out = pool[np.arange(to[-1]) + np.repeat(a - to[:-1], n)]
-        if len(self.keys) + len(new) > UNITS:
+        out = self.pool[np.arange(to[-1]) + np.repeat(begin - to[:-1], n)]
+        if self.used > POOL_IDS:
             self._forget()
-        elif len(new):
-            self.keys, self.begin, self.end, self.ids = np.insert(self.keys, at[new], distinct[new]), np.insert(self.begin, at[new], begin[new]), np.insert(self.end, at[new], end[new]), pool
         return out, to[np.searchsorted(starts, offsets)]
 
-    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        units = [data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        lists = [e.ids for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
-        return np.array([i for x in lists for i in x], self.kind), np.array([len(x) for x in lists], np.int64)
-
-    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each unit's ids). Units that aren't marked alone go to the library some at a time,
+        parted by white space that the tokenizer splits at and that gives, or holds, one id of its own."""
+        size = np.empty(len(starts), np.int64)
+        ids, apart = [], np.flatnonzero(~alone)
+        for i in range(0, len(apart), _TOGETHER * 100):
+            part = apart[i : i + _TOGETHER * 100]
+            n = ends[part] - starts[part] + len(self.between)
+            to = np.concatenate([[0], np.cumsum(n)])
+            text = data[np.minimum(np.arange(to[-1]) + np.repeat(starts[part] - to[:-1], n), len(data) - 1)]
+            for j, byte in enumerate(self.between):
+                text[to[1:] - len(self.between) + j] = byte
+            cuts = to[::_TOGETHER].tolist() if (len(to) - 1) % _TOGETHER == 0 else [*to[::_TOGETHER].tolist(), int(to[-1])]
+            found = self.tok.encode_batch_fast([text[a:b].tobytes().decode() for a, b in zip(cuts, cuts[1:], strict=False)], add_special_tokens=False)
+            got = np.concatenate([np.array(e.ids, self.kind) for e in found])
+            mark = got == self.mark
+            at = np.flatnonzero(mark)
+            if len(at) != len(part):
+                raise ValueError("a unit's ids can't be told from the next one's")
+            size[part] = np.diff(at, prepend=-1) - 1
+            ids.append(got[~mark])
+        rest = np.flatnonzero(alone)
+        lists = [e.ids for e in self.tok.encode_batch_fast([data[a:b].tobytes().decode() for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)], add_special_tokens=False)]
+        size[rest] = [len(x) for x in lists]
+        ids.append(np.array([i for x in lists for i in x], self.kind))
+        # ids stand in the order of apart, then rest; back to the order of the units
+        order = np.concatenate([apart, rest])
+        begin = np.empty(len(starts), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        to = np.cumsum(size) - size
+        return np.concatenate(ids)[np.arange(size.sum()) + np.repeat(begin - to, size)], size
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, for each text whether it is one unit)."""
         n = len(data)
         if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        after = np.append(data[1:], np.uint8(0))
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         space = _ASCII_SPACE[data]
-        next_space = np.append(space[1:], True) | edge[1:]
-        letter = _LETTER[data]
-        stop = np.zeros(n, bool)
-        stop[1:] = ((data[1:] == 0x2E) | (data[1:] == 0x2C)) & letter[:-1] & next_space[1:] & ~edge[1:n]
-        odd = (data == 0x3C) & (after == 0x7C)
+        next_space = edge[1:].copy()
+        next_space[:-1] |= space[1:]
+        whole = np.zeros(len(offsets) - 1, bool)
+        at = np.flatnonzero(_SUSPECT[data])
+        byte, after, third = data[at], data[np.minimum(at + 1, n - 1)], data[np.minimum(at + 2, n - 1)]
+        after[at == n - 1] = 0
+        odd = (byte == 0x3C) & (after == 0x7C)
         if not self.words_only:
-            odd |= (space & (next_space | edge[:-1])) | (space & (data != 0x20) & (data != 0x0A)) | ((data >= 0x1C) & (data <= 0x1F))
-            third = np.append(after[1:], np.uint8(0))
-            odd |= (data == 0xC2) & ((after == 0x85) | (after == 0xA0))
-            odd |= ((data == 0xE1) & ((after == 0x9A) | (after == 0xA0))) | ((data == 0xE3) & (after == 0x80) & (third == 0x80))
-            odd |= (data == 0xE2) & (((after == 0x80) & ((third <= 0x8B) | ((third >= 0xA8) & (third <= 0xAF)))) | (after == 0x81))
-        bad = np.concatenate([[0], np.cumsum(odd)])
-        whole = bad[offsets[1:]] > bad[offsets[:-1]]
+            odd |= byte < 0x20
+            odd |= (byte == 0xC2) & ((after == 0x85) | (after == 0xA0))
+            odd |= ((byte == 0xE1) & ((after == 0x9A) | (after == 0xA0))) | ((byte == 0xE3) & (after == 0x80) & (third == 0x80))
+            odd |= (byte == 0xE2) & (((after == 0x80) & ((third <= 0x8B) | ((third >= 0xA8) & (third <= 0xAF)))) | (after == 0x81))
+            gaps = np.flatnonzero(space & (next_space | edge[:-1]))
+            whole[np.searchsorted(offsets, gaps, "right") - 1] = True
+        whole[np.searchsorted(offsets, at[odd], "right") - 1] = True
+        stop = np.flatnonzero(_STOP[data])
+        stop = stop[(stop > 0) & _LETTER[data[stop - 1]] & next_space[stop] & ~edge[stop]]
         if whole.any():
-            inner = np.repeat(whole, np.diff(offsets))
-            stop &= ~inner
-            space = space & ~inner
-        begins = stop
+            stop = stop[~whole[np.searchsorted(offsets, stop, "right") - 1]]
+            for i in np.flatnonzero(whole):
+                space[offsets[i] : offsets[i + 1]] = False
+        begins = np.zeros(n, bool)
+        begins[stop] = True
         if self.words_only:
             begins[1:] |= ~space[1:] & (space[:-1] | edge[1:n])
             begins[0] |= not space[0]
             starts = np.flatnonzero(begins)
             closes = ~space
-            closes[:-1] &= space[1:] | edge[1:n] | stop[1:]
-            return starts, np.flatnonzero(closes) + 1
-        line = space & (data == 0x0A)
-        begins |= space | edge[:n]
-        begins[1:] |= line[:-1]
+            closes[:-1] &= space[1:] | edge[1:n]
+            closes[stop - 1] = True
+            return starts, np.flatnonzero(closes) + 1, whole
+        begins |= space
+        begins |= edge[:n]
+        line = np.flatnonzero(space & (data == 0x0A)) + 1
+        begins[line[line < n]] = True
         starts = np.flatnonzero(begins)
-        return starts, np.append(starts[1:], n)
+        return starts, np.append(starts[1:], n), whole
 
 
 def count_units(name: str) -> Units:

@@ -1,7 +1,9 @@
 import hashlib
 import itertools
+import pathlib
 import random
 import re
+import urllib.parse
 import zlib
 
 import numpy as np
@@ -202,7 +204,7 @@ def test_token_files_round_trip(spark, tmp_path):
     docs = frame(spark, rows)
     shards, index = str(tmp_path / "shards"), str(tmp_path / "index")
     token_files.write_shards(docs, shards, "byte_bpe_50k.json", 0, shard_ids=500)
-    token_files.write_index(token_files.shard_records(spark, shards), index, 5)
+    token_files.write_index(spark, shards, index, 5)
     got = token_files.fetch(token_files.numbered_keys(docs), shards, index, 5).collect()
     from tokenizers import Tokenizer
 
@@ -214,7 +216,23 @@ def test_token_files_round_trip(spark, tmp_path):
         start += len(ids) // 4
     assert sorted((str(r.key), r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
     other = spark.createDataFrame([(k, 0) for k in range(10_000, 12_000)], "key long, occurrence long")
-    assert token_files.lookup(other, index, 5).count() == 0
+    assert token_files.lookup(other, index, 5).count() == 0 and token_files.fetch(other, shards, index, 5).count() == 0
+    # a keyed fetch needs the files of its keys only
+    few = spark.createDataFrame([(7, 0), (40, 0)], "key long, occurrence long")
+    places = spark.read.parquet(f"{index}/manifest")
+    hit = {r.path for r in token_files.lookup(few, index, 5).join(places, ["part", "shard"]).collect()}
+    files = {r.path: pathlib.Path(urllib.parse.urlparse(r.path).path) for r in places.collect()}
+    assert 1 <= len(hit) <= 2 < len(files)
+    for place in files.keys() - hit:
+        files[place].unlink()
+    assert sorted((str(r.key), r.start, r.n_tokens, r.ids_crc32) for r in token_files.fetch(few, shards, index, 5).collect()) == sorted(w for w in want if w[0] in ("7", "40"))
+
+
+def test_token_files_of_an_empty_table(spark, tmp_path):
+    shards, index = str(tmp_path / "shards"), str(tmp_path / "index")
+    token_files.write_shards(frame(spark, []), shards, "byte_bpe_50k.json", 0)
+    token_files.write_index(spark, shards, index, 1)
+    assert token_files.fetch(token_files.numbered_keys(frame(spark, [])), shards, index, 1).count() == 0
 
 
 def test_perfect_hash_is_minimal():
