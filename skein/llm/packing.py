@@ -23,7 +23,6 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from skein.llm import texts, tokens
 from skein.session import Scratch
 
-_ENCODERS: dict[str, tokens.IdEncoder] = {}
 PIECES = "part int, size int, rank long, doc_id long, start long, ids_crc32 long, doc_tokens long, ids binary"
 
 
@@ -41,9 +40,7 @@ def _pieces(tokenizer: str, end: int, capacity: int, with_ids: bool):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = tokens.IdEncoder(tokenizer)
-        encode = _ENCODERS[tokenizer]
+        encode = tokens.encoder(tokenizer)
         part, ranks = TaskContext.get().partitionId(), {}
         last = np.array([end], "<u4").tobytes()
         for batch in batches:

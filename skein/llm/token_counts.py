@@ -19,15 +19,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skein.llm import texts, tokens
 from skein.session import Scratch, shuffles_dropped
 
-_UNITS: dict[str, tokens.Units] = {}
 CACHE = "key binary, n_tokens long, version string"
 
 
 def _counts(name: str):
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _UNITS:
-            _UNITS[name] = tokens.count_units(name)
-        units = _UNITS[name]
+        units = tokens.counter(name)
         for batch in batches:
             _, offsets = texts.buffers(batch.column(1))
             for lo, hi in texts.pieces(batch.num_rows, offsets, 1 << 20):

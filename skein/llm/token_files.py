@@ -38,7 +38,6 @@ from skein.session import Scratch, shuffles_dropped
 
 MAGIC = b"IDSHARD1"
 _HEAD = struct.Struct("<8s5q")
-_ENCODERS: dict[str, tokens.IdEncoder] = {}
 BUCKET_KEYS = 4096
 #: Files that are opened by name; if more are hit, Spark lists the folder.
 FEW_FILES = 1000
@@ -68,9 +67,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int, shard_ids
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = tokens.IdEncoder(tokenizer)
-        encode = _ENCODERS[tokenizer]
+        encode = tokens.encoder(tokenizer)
         width = np.dtype(encode.kind).itemsize
         last = np.array([end], encode.kind).tobytes()
         part, shard, before, previous, count = TaskContext.get().partitionId(), 0, 0, object(), 0

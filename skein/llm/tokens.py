@@ -8,6 +8,7 @@ units depend on each other is given to the library whole; both ways give the lib
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable, Iterator
 
@@ -227,6 +228,19 @@ def count_units(name: str) -> Units:
     return Units(_split_pieces, values, lambda t: len(sp.encode(t, num_threads=1)))
 
 
+@functools.cache
+def encoder(name: str) -> IdEncoder:
+    """This process's encoder. Tasks call it by the module's name, so that a worker keeps it for its next task; a
+    table in a module of the task's own function would be sent along with each task, empty."""
+    return IdEncoder(name)
+
+
+@functools.cache
+def counter(name: str) -> Units:
+    """This process's count_units(name)."""
+    return count_units(name)
+
+
 def version(name: str) -> str:
     """Digest of a tokenizer: its file and its library's version."""
     import hashlib
