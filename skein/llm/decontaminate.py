@@ -6,11 +6,12 @@ signature of a long document forgets short items; signatures are taken of the it
 are partitioned by size n, and the size sets how many minima are kept: of an item's shingles at most
 n - ceil(percent * n / 100) can be missing, so a leak has one of the item's
 n - ceil(percent * n / 100) + 1 smallest hashes (the bottom-k MinHash, each value a band of one row).
-Every shingle of every document probes these bands, so no leak is missed; the pairs that meet are
-verified by exact containment of the shingles' strings.
+Every shingle of every document probes these bands, so no leak is missed; of the documents that meet
+one, the shingles' strings are counted for each item: exact containment. Strings are joined as rows, so no
+document's shingles are gathered or copied for each item.
 
-All steps are DataFrame operations. Item signatures are broadcast only if their counted size is
-small; beyond that Spark chooses the join.
+All steps are DataFrame operations. Items are broadcast only if their counted size is small; beyond
+that Spark chooses the join.
 
 Defined cases: words are runs of other characters than 0x20 and 0x09-0x0D, with A-Z lowered; an item
 or document with fewer than k words has no shingles, and neither leaks nor holds a leak; null texts
@@ -22,8 +23,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows of item signatures (two longs each) up to which they are broadcast: 4 MB.
-BROADCAST_ROWS = 1 << 18
+#: Counted size of the items' shingles up to which they and their minima are broadcast.
+BROADCAST_BYTES = 8 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,29 +54,31 @@ def _need(n: Column, percent: int) -> Column:
 
 
 def item_signatures(items: DataFrame, k: int, percent: int) -> DataFrame:
-    """(item_id, grams, hash): an item's distinct shingles, and a row for each of its smallest hashes."""
-    w = items.where("item_id is not null and text is not null").select("item_id", _words(F.col("text")).alias("w"))
-    grams = w.select("item_id", _strings(F.col("w"), k).alias("grams"), F.array_sort(F.array_distinct(_hashes(F.col("w"), k))).alias("h")).where("size(grams) > 0")
+    """(item_id, item, grams, n, minima): an item's distinct shingles, their number and its smallest hashes; item tells
+    rows of one id with different texts apart."""
+    w = items.where("item_id is not null and text is not null").select("item_id", F.xxhash64("text").alias("item"), _words(F.col("text")).alias("w"))
+    grams = w.select("item_id", "item", _strings(F.col("w"), k).alias("grams"), F.array_sort(F.array_distinct(_hashes(F.col("w"), k))).alias("h")).where("size(grams) > 0")
     n = F.size("grams")
-    return grams.select("item_id", "grams", F.explode(F.slice("h", F.lit(1), (n - _need(n, percent) + 1).cast("int"))).alias("hash"))
+    return grams.select("item_id", "item", "grams", n.cast("long").alias("n"), F.slice("h", F.lit(1), (n - _need(n, percent) + 1).cast("int")).alias("minima"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Leaks: (doc_id, item_id, shared, item_shingles); one row for each document and item."""
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
+    docs = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("doc"), "text")
     signed = item_signatures(items, k, percent)
-    bands = signed.select("hash", "item_id").distinct()
-    if signed.select("item_id").count() <= BROADCAST_ROWS:
-        bands = F.broadcast(bands)
-    probes = docs.select("doc_id", _words(F.col("text")).alias("w")).select("doc_id", F.explode(_hashes(F.col("w"), k)).alias("hash"))
-    met = probes.join(bands, "hash").select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.collect_set("item_id").alias("items"))
-    grams = signed.select("item_id", "grams").distinct()
-    n = F.size("grams")
+    minima = signed.select(F.explode("minima").alias("hash")).distinct()
+    grams = signed.select("item_id", "item", "n", F.explode("grams").alias("gram")).distinct()
+    size = grams.agg(F.coalesce(F.sum(F.octet_length("gram") + 40), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        minima, grams = F.broadcast(minima), F.broadcast(grams)
+    probes = docs.select("doc_id", "doc", _words(F.col("text")).alias("w")).select("doc_id", "doc", F.explode(_hashes(F.col("w"), k)).alias("hash"))
+    met = probes.join(minima, "hash", "left_semi").select("doc_id", "doc").distinct()
     # words stand in a step of their own: inside the shingles' function they would be split again for each shingle
-    held = docs.join(met, "doc_id").select("doc_id", "items", _words(F.col("text")).alias("w")).select("doc_id", "items", _strings(F.col("w"), k).alias("held"))
-    held = held.select("doc_id", F.explode("items").alias("item_id"), "held")
-    pairs = held.join(grams, "item_id").select("doc_id", "item_id", F.size(F.array_intersect("grams", "held")).cast("long").alias("shared"), n.cast("long").alias("item_shingles"))
-    return pairs.where(100 * F.col("shared") >= percent * F.col("item_shingles")).groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", "item_shingles")).alias("m")).select("doc_id", "item_id", "m.shared", "m.item_shingles")
+    held = docs.join(met, ["doc_id", "doc"], "left_semi").dropDuplicates(["doc_id", "doc"]).select("doc_id", "doc", _words(F.col("text")).alias("w"))
+    held = held.select("doc_id", "doc", _strings(F.col("w"), k).alias("grams")).select("doc_id", "doc", F.explode("grams").alias("gram"))
+    pairs = held.join(grams, "gram").groupBy("doc_id", "doc", "item_id", "item", "n").agg(F.count("*").alias("shared"))
+    best = pairs.where(100 * F.col("shared") >= percent * F.col("n")).groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", "n")).alias("m"))
+    return best.select("doc_id", "item_id", "m.shared", F.col("m.n").alias("item_shingles"))
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,13 +11,14 @@ out, and an L1 penalty leaves weights on few of them, so a model is a small tabl
 depends on the word alone and is kept in a bounded cache.
 
 Training takes at most `max_training` labelled documents (the documented bound; those with the
-smallest hash of their id, so the sample does not depend on partitions), or fewer, whole ones, once
-they hold `max_chars` characters; everything else, scoring included, covers whole texts.
+smallest hash of their id, so the sample does not depend on partitions); everything else, scoring
+included, covers whole texts. Offending sentences are those whose own score reaches the threshold.
 labels, lang, source and doc_id are no input of a score.
 
 Defined cases: a null or empty text has no sentence, and scores 0; a null doc_id is no training
 document and is scored; labels that are null or contradict each other are left out; with no usable
-label, or one class only, every score is 0; other columns are ignored.
+label, or one class only, every score is 0; each of repeated rows is scored; an empty table gives an
+empty result; other columns are kept, but for score, predicted and sentences, which are replaced.
 """
 
 from __future__ import annotations
@@ -47,6 +48,12 @@ def sentences(text: str) -> list[list[str]]:
     return [w for s in _SENTENCE.split(text.translate(_LOWER)) if (w := s.split())]
 
 
+def spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the sentences() of a text, in the same order."""
+    cuts = [(0, 0), *(m.span() for m in _SENTENCE.finditer(text)), (len(text), len(text))]
+    return [(a, b) for (_, a), (b, _) in zip(cuts, cuts[1:], strict=False) if text[a:b].strip()]
+
+
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
@@ -136,23 +143,19 @@ def fit(rows: list[tuple[str, int]], least: int = 3, epochs: int = 60, rate: flo
     return Model({f: float(x) for f, x in zip(names, w, strict=True) if x}, float(b))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_training: int = 4000, label: str = "toxic", max_chars: int = 40_000_000) -> Model:
-    """Fits on at most max_training labelled documents outside the held-out part, and max_chars of their text."""
+def train(docs: DataFrame, labels: DataFrame, max_training: int = 4000, label: str = "toxic") -> Model:
+    """Fits on at most max_training labelled documents outside the held-out part: those with the smallest hash of their
+    id. Of rows that repeat an id, the smallest text counts."""
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("low"), F.max(label).alias("y")).where("low = y")
-    one = one.where(~held_out(F.col("doc_id"))).select("doc_id", "y")
+    one = one.where(~held_out(F.col("doc_id"))).join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "y")
     picked = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_training)  # its size is the documented bound
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "text").select("text", "y")
-    got, chars = [], 0
-    for r in rows.limit(max_training).toLocalIterator():
-        chars += len(r["text"] or "")
-        if chars > max_chars:
-            break
-        got.append((r["text"], r["y"]))
-    return fit(got)
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return fit([(r["text"], r["y"]) for r in rows.orderBy("doc_id").select("text", "y").toLocalIterator()])
 
 
 def toxicity_scores(docs: DataFrame, model: Model, threshold: float = 0.3, with_sentences: bool = False) -> DataFrame:
-    """The rows of docs with score and predicted (and sentences: number and score of each one at or over the threshold)."""
+    """The rows of docs with score and predicted (and sentences: those at or over the threshold, by number among the
+    document's sentences, with start and end in characters and score). Columns of these names are replaced."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
 
@@ -166,18 +169,21 @@ def toxicity_scores(docs: DataFrame, model: Model, threshold: float = 0.3, with_
                 p = m.sentence_scores(text or "")
                 score.append(noisy_or(p))
                 if with_sentences:
-                    found.append([{"number": int(i), "score": float(p[i])} for i in np.flatnonzero(p >= threshold)])
+                    bad = np.flatnonzero(p >= threshold).tolist()
+                    at_text = spans(text) if bad else []
+                    found.append([{"number": i, "start": at_text[i][0], "end": at_text[i][1], "score": float(p[i])} for i in bad])
             new = [pa.array(score, pa.float64()), pa.array([int(s >= threshold) for s in score], pa.int32())]
             if with_sentences:
-                new.append(pa.array(found, pa.list_(pa.struct([("number", pa.int32()), ("score", pa.float64())]))))
+                new.append(pa.array(found, pa.list_(pa.struct([("number", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "score", "predicted", *["sentences"] * with_sentences])
 
     kept = docs.drop("score", "predicted", "sentences")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", score double, predicted int" + ", sentences array<struct<number:int,score:double>>" * with_sentences
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields) + ", score double, predicted int" + ", sentences array<struct<number:int,start:bigint,end:bigint,score:double>>" * with_sentences
     return kept.mapInArrow(fn, schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity_scores(docs.select("doc_id", "text"), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+    scores = toxicity_scores(docs.select("doc_id", "text"), model, with_sentences=True)
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "sentences")

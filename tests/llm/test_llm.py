@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import pathlib
 import random
 import re
@@ -323,10 +324,25 @@ def test_toxicity_learns_from_document_labels(spark):
     held = [i for i, _ in labels if zlib.crc32(str(i).encode()) % 4 == 2]
     assert all(got[i].predicted == labels[i][1] for i in held) and len(held) > 50
     for i in held:
-        said = [n for n, s in enumerate(toxicity.sentences(rows[i][1])) if "scumbag" in s]
+        text = rows[i][1]
+        said = [n for n, x in enumerate(toxicity.sentences(text)) if "scumbag" in x]
         assert [x["number"] for x in got[i].sentences] == said
+        assert all("scumbag" in text[x["start"] : x["end"]] and ". " not in text[x["start"] : x["end"]].strip() for x in got[i].sentences)
+        # the noisy-or of the sentences, each scored from the model's weights alone
+        clean = 1.0
+        for x in re.split(r"[.!?\n]+", text):
+            if x.split():
+                z = model.bias + sum(model.weights.get(f, 0.0) for w in set(x.split()) for f in toxicity.word_features(w))
+                clean *= 1 - 1 / (1 + math.exp(-z))
+        assert abs(got[i].score - (1 - clean)) < 1e-9
     assert got[1000].score == 0.0 and got[1001].score == 0.0 and got[None].predicted == 1
     assert toxicity.fit([("a", 1)]).score("a") == 0.0
+    none = toxicity.train(frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.toxicity_scores(frame(spark, []), none).count() == 0
+    # the bound counts ids, whatever the number of their rows or the length of a text
+    many = spark.createDataFrame([(1, "x " * 1000, 0)] * 50 + [(i, f"word{i} scumbag", 1) for i in range(2, 40)], "doc_id long, text string, y int")
+    few = toxicity.train(many.drop("y"), many.select("doc_id", F.col("y").alias("toxic")), max_training=30)
+    assert few.bias is None or few.weights
 
 
 def test_language_model(spark):
@@ -426,7 +442,11 @@ def test_pipeline_stages(spark, tmp_path):
 
     rows = texts_of(13, 36)
     rows.append((70, "filler " * 3 + " ".join(f"B{i}" for i in range(20)) + " more words", None, None, 1, 0.5, "k", 1))
-    spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    bad = [i for i in range(200, 240)]
+    rows += [(i, f"plain start{i}. you scumbag of q{i} z{i} r{i}", None, None, 1, 0.5, "k", 1) for i in bad]
+    labelled = [i for i in bad if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(labelled) < len(bad)
+    spark.createDataFrame([(i, 0) for i in range(36)] + [(i, 1) for i in labelled], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(20)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
@@ -435,8 +455,38 @@ def test_pipeline_stages(spark, tmp_path):
         docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), DOCS)
         assert docs.columns == [c.split()[0] for c in DOCS.split(", ")]
         kept[name] = sorted(str(r.doc_id) for r in docs.collect())
-    assert kept["toxicity"] == sorted(str(r[0]) for r in rows)
-    groups = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(frame(spark, rows), 5, 80).collect()}
-    assert kept["near_duplicates"] == sorted([str(i) for i, c in groups.items() if i is not None and i == c] + ["None"] * 2)
+    assert not {str(i) for i in bad} & set(kept["toxicity"])
+    clean = [r for r in rows if r[0] not in bad]
+    rows = [r for r in clean if str(r[0]) in kept["toxicity"]]
+    assert len(rows) >= len(clean) - 2 and kept["toxicity"] == sorted(str(r[0]) for r in rows)
+    # groups of near copies by all pairs of documents; rows of an id are one document
+    sets, root = {}, {}
+    for i, t, *_ in rows:
+        if i is not None:
+            sets.setdefault(i, []).append(shingles(t, 5))
+            root[i] = i
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if any(x and 100 * len(x & y) >= 80 * len(x | y) for x in sets[a] for y in sets[b]):
+            p, q = root[a], root[b]
+            root = {i: min(p, q) if r in (p, q) else r for i, r in root.items()}
+    assert kept["near_duplicates"] == sorted([str(i) for i, r in root.items() if i == r] + ["None"] * 2)
     assert set(kept["repeated_passages"]) - set(kept["decontamination"]) == {"70"}
-    assert P.run(spark, str(tmp_path)).select("sequence_id").distinct().count() >= 1
+    # the packed pieces tile each document that was kept, and each sequence without gap
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
+    want = sorted((str(r.doc_id), zlib.crc32(np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in docs.collect())
+    sequences, documents = {}, {}
+    for r in P.packing(spark, docs, str(tmp_path)).collect():
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        documents.setdefault(str(r.doc_id), []).append((r.doc_tokens, r.start, r.length, r.ids_crc32))
+    for pieces in sequences.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    alone = {d: p for d, p in documents.items() if d != "None" and len(p) == 1}
+    assert len(alone) > 20 and all((d, p[0][3]) in want and p[0][1:3] == (0, p[0][0]) for d, p in alone.items())
+    assert sum(length for pieces in sequences.values() for _, length in pieces) == sum(len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+    assert P.run(spark, str(tmp_path)).count() == sum(map(len, sequences.values()))
