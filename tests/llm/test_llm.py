@@ -475,18 +475,21 @@ def test_pipeline_stages(spark, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
-    want = sorted((str(r.doc_id), zlib.crc32(np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for r in docs.collect())
+    want = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.collect() if r.doc_id is not None}
     sequences, documents = {}, {}
     for r in P.packing(spark, docs, str(tmp_path)).collect():
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
-        documents.setdefault(str(r.doc_id), []).append((r.doc_tokens, r.start, r.length, r.ids_crc32))
+        if r.doc_id is not None:
+            documents.setdefault(r.doc_id, []).append((r.start, r.length))
+            assert r.doc_tokens == len(want[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(want[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
     for pieces in sequences.values():
         at = 0
         for offset, length in sorted(pieces):
             assert offset == at
             at += length
         assert at <= 2048
-    alone = {d: p for d, p in documents.items() if d != "None" and len(p) == 1}
-    assert len(alone) > 20 and all((d, p[0][3]) in want and p[0][1:3] == (0, p[0][0]) for d, p in alone.items())
+    assert documents.keys() == want.keys()
+    for doc, pieces in documents.items():
+        assert [x for start, length in sorted(pieces) for x in range(start, start + length)] == list(range(len(want[doc])))
     assert sum(length for pieces in sequences.values() for _, length in pieces) == sum(len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
     assert P.run(spark, str(tmp_path)).count() == sum(map(len, sequences.values()))
