@@ -81,27 +81,30 @@ def benjamini_hochberg(df: DataFrame, p: str, tie: str, q: float, m: Column | in
 def near_pairs(left: DataFrame, right: DataFrame, metres: float, days: int | None = None) -> DataFrame:
     """Pairs (a_*, b_*) within `metres`, and `days` of each other, of rows (id, lat, lon, day).
 
-    Rows fall into cells at least `metres` wide; the right side is copied to the 3 x 3 cells around
-    its own, so the join has equal keys; cells of longitude widen with latitude bands of one degree.
-    Days add a third key. The exact distance is checked last.
+    Cells are twice as wide as the radius, in latitude, longitude and days, so the right side reaches into two
+    cells at most of each, and the join has equal keys. Longitude is counted by the width of the
+    latitude band of one degree; a row reaches a second band at a band's edge only. The exact distance is
+    checked last.
     """
     step = metres / 111_000.0
-    band = F.floor(F.col("lat"))
-    narrow = F.cos(F.radians(F.least(F.abs(band) + 2, F.lit(89.0))))
-
-    def cells(df: DataFrame, p: str) -> DataFrame:
-        out = df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "lat", "lon", "day")), F.floor(F.col("lat") / step).alias("y"), band.alias("band"), F.floor(F.col("lon") * narrow / step).alias("x"))
-        return out.withColumn("t", F.floor(F.datediff(f"{p}_day", F.lit("1970-01-01")) / days) if days else F.lit(0))
-
-    a, b = cells(left, "a"), cells(right, "b")
-    around = F.array(*(F.lit(i) for i in (-1, 0, 1)))
-    # a neighbour may lie in the band above or below, where columns are counted with another width
-    b = b.withColumn("band", F.explode(F.transform(around, lambda i: F.col("band") + i)))
-    wide = F.cos(F.radians(F.least(F.abs(F.col("band")) + 2, F.lit(89.0))))
-    b = b.withColumn("x", F.floor(F.col("b_lon") * wide / step))
-    b = b.withColumn("x", F.explode(F.transform(around, lambda i: F.col("x") + i))).withColumn("y", F.explode(F.transform(around, lambda i: F.col("y") + i)))
-    if days:
-        b = b.withColumn("t", F.explode(F.transform(around, lambda i: F.col("t") + i)))
+
+    def width(band: Column) -> Column:
+        return F.cos(F.radians(F.least(F.abs(band) + 2, F.lit(89.0))))
+
+    def fields(df: DataFrame, p: str) -> DataFrame:
+        u = F.datediff("day", F.lit("1970-01-01")) / F.lit(float(days or 1))
+        return df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "lat", "lon", "day")), (F.col("lat") / step).alias("v"), (u if days else F.lit(0.5)).alias("u"))
+
+    def reached(x: Column) -> Column:
+        """The cells, two units wide, within one unit of x."""
+        return F.explode(F.sequence(F.floor((x - 1) / 2), F.floor((x + 1) / 2)))
+
+    a = fields(left, "a").withColumn("band", F.floor("a_lat"))
+    a = a.select("*", F.floor(F.col("a_lon") * width(F.col("band")) / step / 2).alias("x"), F.floor(F.col("v") / 2).alias("y"), F.floor(F.col("u") / 2).alias("t")).drop("u", "v")
+    b = fields(right, "b").where("b_lat is not null and b_lon is not null")
+    b = b.withColumn("band", F.explode(F.sequence(F.floor(F.col("b_lat") - step), F.floor(F.col("b_lat") + step))))
+    b = b.withColumn("x", reached(F.col("b_lon") * width(F.col("band")) / step)).withColumn("y", reached(F.col("v")))
+    b = b.where("u is not null").withColumn("t", reached(F.col("u")) if days else F.lit(0).cast("long")).drop("u", "v")
     d = haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     out = a.join(b, ["band", "x", "y", "t"]).where(F.col("a_id") != F.col("b_id")).withColumn("metres", d).where(F.col("metres") <= metres)
     if days:

@@ -113,6 +113,38 @@ def tag_trends(tags: DataFrame, kind: str, top: int = 5, support: int = 8) -> Da
     return c.withColumn("rank", F.row_number().over(W.partitionBy(kind).orderBy(F.desc("n"), "tag"))).where((F.col("rank") <= top) & (F.col("n") >= support))
 
 
+def similar_by_behaviour(tags: DataFrame, least: float = 0.5, top: int = 10) -> DataFrame:
+    """Per case the `top` cases whose tags (rows case_id, tag) are at least so similar: (case_id, peer, rank,
+    similarity, shared, differing), ties to the smaller id. Cases are compared by their distinct sets of tags, of which
+    a lexicon of fixed size has few, not pair by pair; of each set's cases only the first top + 1 can be among the best."""
+    own = tags.where("tag is not null").groupBy("case_id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
+    sets = own.select("tags").distinct()
+    items = sets.select("tags", F.explode("tags").alias("item"))
+    met = items.join(items.select(F.col("tags").alias("other"), "item"), "item").groupBy("tags", "other").agg(F.count("*").alias("c"))
+    j = F.col("c") / (F.size("tags") + F.size("other") - F.col("c"))
+    near = met.withColumn("similarity", F.round(j, 6)).where(j >= least).select("tags", "other", "similarity")
+    first = own.withColumn("_n", F.row_number().over(W.partitionBy("tags").orderBy("case_id"))).where(F.col("_n") <= top + 1)
+    order = W.partitionBy("tags").orderBy(F.desc("similarity"), "peer")
+    # one more than `top` for each set, as a case is no peer of its own
+    best = near.join(first.select(F.col("tags").alias("other"), F.col("case_id").alias("peer")), "other").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top + 1)
+    out = own.join(best.drop("_n"), "tags").where("case_id <> peer")
+    out = out.withColumn("rank", F.row_number().over(W.partitionBy("case_id").orderBy(F.desc("similarity"), "peer"))).where(F.col("rank") <= top)
+    return out.select("case_id", "peer", "rank", "similarity", F.array_intersect("tags", "other").alias("shared"), F.array_sort(F.array_union(F.array_except("tags", "other"), F.array_except("other", "tags"))).alias("differing"))
+
+
+def indicator_correlations(cases: DataFrame, indicators: DataFrame, least_cases: int = 20, least_districts: int = 3, least_rho: float = 0.6) -> DataFrame:
+    """(crime, indicator, n, rho, direction) of crimes' shares of their district's cases against external
+    indicators (district, indicator, value), joined on the district's name; crimes of few cases or districts, and weak
+    correlations, are left out. A handful of districts proves nothing: n belongs in every report."""
+    known = cases.join(indicators.select("district").distinct(), "district", "left_semi")
+    total = known.groupBy("district").agg(F.count("*").alias("total"))
+    often = cases.groupBy("crime").agg(F.count("*").alias("all")).where(F.col("all") >= least_cases).select("crime")
+    rates = known.groupBy("crime", "district").agg(F.count("*").alias("c")).join(total, "district").join(often, "crime").select("crime", "district", (100.0 * F.col("c") / F.col("total")).alias("rate"))
+    rho = stats.spearman(rates.join(indicators, "district"), "value", "rate", "district", ["crime", "indicator"])
+    strong = rho.where((F.col("n") >= least_districts) & (F.abs("rho") >= least_rho))
+    return strong.withColumn("direction", F.when(F.col("rho") > 0, "rises with").otherwise("falls as"))
+
+
 def multi_case_accounts(own: DataFrame, least: int = 2) -> DataFrame:
     """(account, n_cases, cases) of accounts in several cases."""
     e = own.where("entity like 'FinancialAccount:%'").groupBy("entity").agg(F.array_sort(F.collect_set("case_id")).alias("cases"))

@@ -106,29 +106,90 @@ def timeline(cases: DataFrame, accused: DataFrame, arrests: DataFrame, groups: D
     return events.withColumn("position", F.row_number().over(W.partitionBy("case_id").orderBy(F.to_date("at"), place, "at", "what")))
 
 
-def protected_rates(identities: DataFrame, complainants: DataFrame, attribute: str) -> DataFrame:
-    """(value, band) of the complainants in an identity's cases: a channel of proxies, never an input of the score."""
-    return identities.select("identity", "band", F.explode("cases").alias("case_id")).join(complainants.select("case_id", F.col(attribute).alias("value")), "case_id").select("identity", "band", "value").distinct()
+def proxy_values(identities: DataFrame, complainants: DataFrame, attribute: str) -> DataFrame:
+    """(identity, flagged, value): an attribute of the complainants in an identity's cases, as a channel of proxies and never
+    an input of the score; identities (identity, band, cases) of the bands HIGH and MEDIUM are flagged."""
+    held = identities.select("identity", F.col("band").isin("HIGH", "MEDIUM").alias("flagged"), F.explode("cases").alias("case_id"))
+    return held.join(complainants.select("case_id", F.col(attribute).alias("value")), "case_id").where("value is not null").select("identity", "flagged", "value").distinct()
 
 
-def masked_table(df: DataFrame, columns: list[str], names: DataFrame, batch: int = 200) -> DataFrame:
-    """T20 with a table of names: names of a row's own text only are looked up, whatever the number of names."""
+def fairness(identities: DataFrame, complainants: DataFrame, attribute: str, least: float = 0.8, warn: float = 0.35) -> DataFrame:
+    """One row per value of an attribute: n, flagged, rate, ratio of the lowest to the highest rate, the verdict by the
+    four-fifths rule, the distance of the values' shares on both sides of the flag, and whether that is a warning."""
+    from skein.operators import analytics
+
+    rows = proxy_values(identities, complainants, attribute)
+    rates = analytics.selection_rates(rows, "value", F.col("flagged"))
+    distance = analytics.total_variation(rows, F.col("flagged"), "value", warn)  # one row
+    verdict = F.when(F.col("ratio").isNull(), "insufficient").when(F.col("ratio") >= least, "pass").otherwise("adverse impact")
+    return rates.crossJoin(F.broadcast(distance)).withColumn("verdict", verdict)
+
+
+#: The fields of an audit entry that are hashed, besides prev_hash.
+AUDIT_FIELDS = ["access_decision", "cases_touched", "intent", "query", "response_chars", "role", "seq", "timestamp", "user"]
+
+
+def _entry_hash(values: tuple, prev: str) -> str:
+    """sha256 of the hash before and a JSON of AUDIT_FIELDS and prev_hash in alphabetical order."""
+    import hashlib
+    import json
+
+    entry = dict(zip(AUDIT_FIELDS, (v.tolist() if hasattr(v, "tolist") else v for v in values), strict=True)) | {"prev_hash": prev}
+    return hashlib.sha256((prev + json.dumps(entry, sort_keys=True)).encode()).hexdigest()
+
+
+def audited(entries: DataFrame, chain: str, seq: str = "seq") -> DataFrame:
+    """Entries of AUDIT_FIELDS with prev_hash and entry_hash, by chain in the order of seq, as chained()."""
+    fields = entries.schema.simpleString()[7:-1]
+
+    def walk(batches):
+        last, prev = object(), GENESIS
+        for pdf in batches:
+            before, after = [], []
+            for c, *values in zip(pdf[chain], *(pdf[f] for f in AUDIT_FIELDS), strict=True):
+                if c != last:
+                    last, prev = c, GENESIS
+                before.append(prev)
+                prev = _entry_hash(tuple(values), prev)
+                after.append(prev)
+            yield pdf.assign(prev_hash=before, entry_hash=after)
+
+    return entries.repartition(chain).sortWithinPartitions(chain, seq).mapInPandas(walk, f"{fields},prev_hash:string,entry_hash:string")
+
+
+def tampered(entries: DataFrame, chain: str, seq: str = "seq") -> DataFrame:
+    """The first entry of each chain whose fields or place were changed; each entry is hashed again by itself."""
+
+    @F.pandas_udf("string")
+    def again(*columns: pd.Series) -> pd.Series:
+        *values, prev = columns
+        return pd.Series([_entry_hash(tuple(v), p) for p, *v in zip(prev, *values, strict=True)])
+
+    before = F.coalesce(F.lag("entry_hash").over(W.partitionBy(chain).orderBy(seq)), F.lit(GENESIS))
+    rows = entries.withColumn("_again", again(*AUDIT_FIELDS, "prev_hash")).withColumn("_before", before)
+    return rows.where("_again <> entry_hash or _before <> prev_hash").groupBy(chain).agg(F.min(seq).alias("first_bad"))
+
+
+def masked_table(df: DataFrame, columns: list[str], names: DataFrame) -> DataFrame:
+    """T20 with a table of names: any known name, wherever it stands in a text, by one way for any number of names.
+
+    Names are found by their first three characters among those that stand anywhere in a text, so a row only meets
+    names that it may hold; the longest goes first. A row without any is left as it is, but for its numbers."""
     import re
 
     from skein.functions.text import masked
 
-    small = [r["name"] for r in names.limit(batch + 1).collect()]
-    if len(small) <= batch:
-        return df.withColumns({c: masked(F.col(c), small) for c in columns})
-    parts = names.where("length(name) > 2").select(F.element_at(F.split("name", r"\s+"), 1).alias("head"), "name")
-    out = df.withColumn("_id", F.xxhash64(*columns))
+    known = names.where("length(name) > 2").select("name").distinct().withColumn("head", F.substring("name", 1, 3))
+    out = df
     for c in columns:
-        words = out.select("_id", F.explode(F.array_distinct(F.split(c, r"[\s,.;:!?()\"]+"))).alias("head"))
-        hits = words.join(parts, "head").groupBy("_id").agg(F.collect_set("name").alias("_names"))
+        texts = out.where(F.length(c) > 2).select(c).distinct()
+        heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))
+        hits = texts.select(c, F.explode(heads).alias("head")).join(known, "head").where(F.contains(F.col(c), F.col("name")))
+        found = hits.groupBy(c).agg(F.collect_set("name").alias("_names"))
 
         @F.pandas_udf("string")
-        def hide(text: pd.Series, found: pd.Series) -> pd.Series:
-            return pd.Series([t if t is None or f is None or not len(f) else re.sub("|".join(map(re.escape, sorted(f, key=lambda n: (-len(n), n)))), "[NAME-MASKED]", t) for t, f in zip(text, found, strict=True)])
+        def hide(text: pd.Series, held: pd.Series) -> pd.Series:
+            return pd.Series([t if t is None or f is None or not len(f) else re.sub("|".join(map(re.escape, sorted(f, key=lambda n: (-len(n), n)))), "[NAME-MASKED]", t) for t, f in zip(text, held, strict=True)])
 
-        out = out.join(hits, "_id", "left").withColumn(c, hide(masked(F.col(c)), F.col("_names"))).drop("_names")
-    return out.drop("_id")
+        out = out.join(found, c, "left").withColumn(c, hide(masked(F.col(c)), F.col("_names"))).drop("_names")
+    return out.select(*df.columns)

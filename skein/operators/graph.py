@@ -10,8 +10,8 @@ from skein.functions import names, stats, text as T
 from skein.operators.components import connected_components
 
 # The labels and relations that a graph may have.
-LABELS = "FIR Person Victim Complainant Station District Section CrimeType Phone Vehicle FinancialAccount".split()
-RELATIONS = "ACCUSED_IN VICTIM_IN COMPLAINANT_IN REGISTERED_AT LOCATED_IN CHARGED_UNDER OF_TYPE MENTIONS_PHONE INVOLVES_VEHICLE INVOLVES_ACCOUNT PERSON_USED_PHONE OWNS_VEHICLE CO_ACCUSED_WITH SAME_MO_AS".split()
+LABELS = ["FIR", "Person", "Location", "PoliceStation", "District", "Section", "Victim", "Complainant", "Phone", "Vehicle", "FinancialAccount"]
+RELATIONS = ["ACCUSED_IN", "VICTIM_IN", "COMPLAINANT_IN", "REGISTERED_AT", "OCCURRED_AT", "CHARGED_UNDER", "IN_DISTRICT", "USED_PHONE", "PERSON_USED_PHONE", "VEHICLE_SEEN", "OWNS_VEHICLE", "TRANSACTED_VIA", "CO_ACCUSED_WITH", "SAME_MO_AS"]
 NODE_OF = {"phone": "Phone", "vehicle": "Vehicle", "upi": "FinancialAccount"}
 #: Thresholds of the pair decision.
 NAME_SIMILAR, NAME_WEAK, AGE_TOLERANCE, BLOCK_CAP = 0.80, 0.70, 2, 60
@@ -33,25 +33,28 @@ def evidence(cases: DataFrame) -> DataFrame:
     return cases.select("case_id", F.explode(T.mention_values(F.col("facts"))).alias("m")).select("case_id", F.concat_ws(":", kind, F.col("m.value")).alias("entity")).distinct()
 
 
-def build_graph(cases: DataFrame, accused: DataFrame, complainants: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges). An accused row is a person of its own; every accused of a case
-    gets the case's phones and vehicles, but no accounts. A repeated edge keeps its last span."""
-    fir = T.node_id("FIR", F.col("case_id"))
-    person = T.node_id("Person", F.col("accused_id"))
+def build_graph(cases: DataFrame, accused: DataFrame, complainants: DataFrame | None = None, victims: DataFrame | None = None, sections: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes (id, label, props), edges (src, dst, rel, source_case_id, source_span, span_start, span_end)).
+
+    An accused row is a person of its own; every accused of a case gets the case's phones and vehicles, but no accounts.
+    victims (victim_id, case_id, name), sections (case_id, act, section). A repeated edge keeps its last span.
+    """
+    fir, person, place = T.node_id("FIR", F.col("case_id")), T.node_id("Person", F.col("accused_id")), T.node_id("Location", F.col("case_id"))
+    station, district = T.node_id("Station", F.col("station_id")), T.node_id("District", F.col("district"))
 
     def nodes_of(df: DataFrame, node: Column, label: str, props: list[str]) -> DataFrame:
         pairs = [x for p in props for x in (F.lit(p), F.col(p).cast("string"))]
-        return df.select(node.alias("id"), F.lit(label).alias("label"), (F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")).alias("props"))
+        return df.select(node.alias("id"), F.lit(label).alias("label"), F.create_map(*pairs).cast("map<string,string>").alias("props")).dropDuplicates(["id"])
 
     said = mentions(cases)
     kind = F.element_at(F.create_map(*(F.lit(x) for kv in NODE_OF.items() for x in kv)), F.col("type"))
     entity = F.concat_ws(":", kind, "value")
     nodes = [
-        nodes_of(cases, fir, "FIR", ["crime", "district", "registered"]),
-        nodes_of(accused, person, "Person", ["name", "age", "gender"]),
-        nodes_of(cases.select("district").distinct(), T.node_id("District", F.col("district")), "District", []),
-        nodes_of(cases.select("station_id").distinct(), T.node_id("Station", F.col("station_id")), "Station", []),
-        nodes_of(cases.select("crime").distinct(), T.node_id("CrimeType", F.col("crime")), "CrimeType", []),
+        nodes_of(cases, fir, "FIR", ["case_id", "crime", "district", "registered", "status"]),
+        nodes_of(cases, place, "Location", ["case_id", "lat", "lon"]),
+        nodes_of(cases.where("station_id is not null").select("station_id", "district").distinct(), station, "PoliceStation", ["station_id", "district"]),
+        nodes_of(cases.where("district is not null").select("district").distinct(), district, "District", ["district"]),
+        nodes_of(accused, person, "Person", ["accused_id", "name", "age", "gender", "case_id"]),
         said.select(entity.alias("id"), kind.alias("label"), F.create_map(F.lit("value"), F.col("value")).alias("props")).dropDuplicates(["id"]),
     ]
 
@@ -59,25 +62,67 @@ def build_graph(cases: DataFrame, accused: DataFrame, complainants: DataFrame |
         cite = [F.col(c).alias(a) if c in df.columns else F.lit(None).cast(t).alias(a) for c, a, t in (("span", "source_span", "string"), ("start", "span_start", "int"), ("end", "span_end", "int"))]
         return df.select(src.alias("src"), dst.alias("dst"), (F.lit(rel) if isinstance(rel, str) else rel).alias("rel"), F.col("case_id").alias("source_case_id"), *cite)
 
-    by_type = F.when(F.col("type") == "phone", "MENTIONS_PHONE").when(F.col("type") == "vehicle", "INVOLVES_VEHICLE").otherwise("INVOLVES_ACCOUNT")
+    by_type = F.when(F.col("type") == "phone", "USED_PHONE").when(F.col("type") == "vehicle", "VEHICLE_SEEN").otherwise("TRANSACTED_VIA")
     owned = accused.join(said.where("type <> 'upi'"), "case_id")
     edges = [
+        edges_of(cases, fir, place, "OCCURRED_AT"),
+        edges_of(cases.where("station_id is not null"), fir, station, "REGISTERED_AT"),
+        edges_of(cases.where("station_id is not null and district is not null"), station, district, "IN_DISTRICT"),
         edges_of(accused, person, fir, "ACCUSED_IN"),
-        edges_of(cases, fir, T.node_id("Station", F.col("station_id")), "REGISTERED_AT"),
-        edges_of(cases, T.node_id("Station", F.col("station_id")), T.node_id("District", F.col("district")), "LOCATED_IN"),
-        edges_of(cases, fir, T.node_id("CrimeType", F.col("crime")), "OF_TYPE"),
         edges_of(said, fir, entity, by_type),
         edges_of(owned, person, entity, F.when(F.col("type") == "phone", "PERSON_USED_PHONE").otherwise("OWNS_VEHICLE")),
     ]
+    if victims is not None:
+        node = T.node_id("Victim", F.col("victim_id"))
+        nodes.append(nodes_of(victims, node, "Victim", ["victim_id", "name"]))
+        edges.append(edges_of(victims, node, fir, "VICTIM_IN"))
     if complainants is not None:
         node = T.node_id("Complainant", F.col("complainant_id"))
-        nodes.append(nodes_of(complainants, node, "Complainant", ["name"]))
+        nodes.append(nodes_of(complainants, node, "Complainant", ["complainant_id", "name"]))
         edges.append(edges_of(complainants, node, fir, "COMPLAINANT_IN"))
+    if sections is not None:
+        node = F.concat(F.lit("Section:"), F.concat_ws("-", "act", "section"))
+        nodes.append(nodes_of(sections, node, "Section", ["act", "section"]))
+        edges.append(edges_of(sections, fir, node, "CHARGED_UNDER"))
     last = F.max_by(F.struct("source_case_id", "source_span", "span_start", "span_end"), F.struct("source_case_id", F.coalesce("span_start", F.lit(-1)))).alias("e")
     merged = reduce(DataFrame.unionByName, edges).groupBy("src", "dst", "rel").agg(last).select("src", "dst", "rel", "e.*")
     return checked(reduce(DataFrame.unionByName, nodes), "label", LABELS), checked(merged, "rel", RELATIONS)
 
 
+def find_nodes(nodes: DataFrame, label: str, **filters: object) -> DataFrame:
+    """Nodes of a label whose properties equal the given values."""
+    return nodes.where(reduce(Column.__and__, (F.col("props")[k] == str(v) for k, v in filters.items()), F.col("label") == label))
+
+
+def of_cases(ids: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+    """The rows of each table (accused, victims, complainants, arrests, sections) that belong to the given cases."""
+    wanted = ids.select("case_id").distinct()
+    return {name: rows.join(wanted, "case_id", "left_semi") for name, rows in tables.items()}
+
+
+def network(cases: DataFrame, accused: DataFrame, edges: DataFrame) -> DataFrame:
+    """For every case in `cases` the paths case -> accused -> evidence -> other case: (case_id, accused_id,
+    evidence, other_case), with nulls where a path ends early.
+
+    An accused's evidence are the phones, vehicles and accounts of its person's edges; another case is linked where
+    one of its accused has the same evidence. Each person's distinct evidence is joined once with the cases behind it."""
+    who = accused.select("case_id", "accused_id", T.node_id("Person", F.col("accused_id")).alias("person"))
+    own = edges.where("dst like 'Phone:%' or dst like 'Vehicle:%' or dst like 'FinancialAccount:%'").select(F.col("src").alias("person"), F.col("dst").alias("evidence")).distinct()
+    held = who.join(own, "person")
+    behind = held.select("evidence", F.col("case_id").alias("other_case")).distinct()
+    several = behind.groupBy("evidence").agg(F.count("*").alias("n")).where("n > 1").select("evidence")
+    links = behind.join(several, "evidence", "left_semi")
+    roots = who.join(cases.select("case_id").distinct(), "case_id", "left_semi").join(own, "person", "left")
+    reached = roots.select("case_id", "accused_id", "evidence").join(links, "evidence", "left")
+    mine = F.col("other_case") == F.col("case_id")
+    return reached.select("case_id", "accused_id", "evidence", F.when(~mine, F.col("other_case")).alias("other_case")).distinct()
+
+
+def network_summary(paths: DataFrame) -> DataFrame:
+    """Q06: per case the number of its accused, evidence and linked cases, and these in order."""
+    return paths.groupBy("case_id").agg(F.countDistinct("accused_id").alias("accused"), F.countDistinct("evidence").alias("evidence"), F.countDistinct("other_case").alias("linked"), F.array_sort(F.collect_set("other_case")).alias("cases"))
+
+
 def neighbours(edges: DataFrame, ids: DataFrame, rel: str | None = None) -> DataFrame:
     """(id, neighbour, rel, direction) of the given ids."""
     e = edges.where(F.col("rel") == rel) if rel else edges
@@ -207,7 +252,7 @@ def linked_cases(own: DataFrame) -> DataFrame:
 
 
 def reasoning_graph(accused: DataFrame, own: DataFrame, groups: DataFrame) -> DataFrame:
-    """Per identity its evidence, corroborated where at least two members' cases have it."""
+    """Per identity its evidence, corroborated where at least two members' cases have it."""
     members = groups.withColumnRenamed("id", "accused_id").join(accused.select("accused_id", "case_id"), "accused_id")
     e = members.join(own, "case_id").groupBy("component", "entity").agg(F.countDistinct("accused_id").alias("members"), F.array_sort(F.collect_set("case_id")).alias("cases"))
     return e.withColumn("corroborated", F.col("members") >= 2)

@@ -71,11 +71,12 @@ def located(df: DataFrame, lat: str, lon: str, tie: str, limit: int = 60) -> Dat
     return df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).orderBy(tie).limit(limit)
 
 
-def boxed(df: DataFrame, x: str, low: float = 8.0, high: float = 92.0) -> Column:
-    """X scaled into low..high over all rows; the middle where all are equal."""
-    w = W.partitionBy()
-    a, b = F.min(x).over(w), F.max(x).over(w)
-    return F.coalesce(low + (high - low) * F.try_divide(F.col(x) - a, F.when(b > a, b - a)), F.lit((low + high) / 2))
+def boxed(df: DataFrame, x: str, name: str, low: float = 8.0, high: float = 92.0) -> DataFrame:
+    """Df with x scaled into low..high over all rows as `name`; the middle where all are equal."""
+    ends = df.agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
+    width = F.when(F.col("_high") > F.col("_low"), F.col("_high") - F.col("_low"))
+    scaled = F.coalesce(low + (high - low) * F.try_divide(F.col(x) - F.col("_low"), width), F.lit((low + high) / 2))
+    return df.crossJoin(F.broadcast(ends)).withColumn(name, scaled).drop("_low", "_high")  # ends is one row
 
 
 def histogram(df: DataFrame, ts: str, part: str) -> DataFrame:

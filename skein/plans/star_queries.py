@@ -497,7 +497,7 @@ def w09(t):
 
 @query("m13_boxed", "SELECT c_custkey, round(coalesce(8 + 84 * (c_acctbal - min(c_acctbal) OVER ()) / nullif(max(c_acctbal) OVER () - min(c_acctbal) OVER (), 0), 50), 6) AS x FROM customer")
 def m13(t):
-    return t.customer.select("c_custkey", F.round(R.boxed(t.customer, "c_acctbal"), 6).alias("x"))
+    return R.boxed(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal", "x").select("c_custkey", F.round("x", 6).alias("x"))
 
 
 @query("t32_crime_number", "SELECT o_orderkey, printf('%d%04d%04d%04d%05d', 1, o_custkey % 10000, o_orderkey % 10000, year(o_orderdate), o_orderkey % 100000) AS number FROM orders")
@@ -510,3 +510,155 @@ def t32(t):
 @query("r01_sliding_counts", "WITH w AS (SELECT ts, event_type, unnest(range(0, 7)) AS k FROM events) SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS start, event_type, count(*) AS n FROM w GROUP BY 1, 2")
 def r01(t):
     return t.events.groupBy(F.window("ts", "7 days", "1 day"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+# --- incidents told in texts: an order is a case, its customer the accused; the SQL knows what was written ------------
+
+CALLED = "CASE WHEN o_custkey % 3 > 0 THEN 'Phone +91' || CAST(9000000000 + o_custkey % 400 AS VARCHAR) || '. ' ELSE '' END"
+SPACED = "CASE WHEN o_orderkey % 4 = 1 THEN 'Also 987 ' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || ' 1234. ' ELSE '' END"
+SEEN = "CASE WHEN o_orderkey % 5 < 2 THEN 'Vehicle KA-' || lpad(CAST(o_custkey % 70 + 1 AS VARCHAR), 2, '0') || '-AB-' || lpad(CAST(o_custkey % 9000 AS VARCHAR), 4, '0') || '. ' ELSE '' END"
+PAID = "CASE WHEN o_orderkey % 7 < 3 THEN 'Paid to User' || CAST(o_custkey AS VARCHAR) || '@ybl. Mail a' || CAST(o_custkey AS VARCHAR) || '@ybl.in, ' ELSE '' END"
+NATIVE = "CASE WHEN o_orderkey % 6 = 0 THEN 'ಈ ಪ್ರಕರಣ' WHEN o_orderkey % 6 = 1 THEN '' ELSE 'done' END"
+FACTS = f"concat({CALLED}, {SPACED}, {SEEN}, {PAID}, {NATIVE})"
+MENTIONS = f"""
+ f AS (SELECT o_orderkey AS case_id, o_custkey, {FACTS} AS facts FROM orders),
+ m AS (SELECT case_id, 'phone' AS type, '+91' || CAST(9000000000 + o_custkey % 400 AS VARCHAR) AS value, '+91' || CAST(9000000000 + o_custkey % 400 AS VARCHAR) AS span, facts FROM f WHERE o_custkey % 3 > 0
+  UNION ALL SELECT case_id, 'phone', '+91987' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || '1234', '987 ' || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') || ' 1234', facts FROM f WHERE case_id % 4 = 1
+  UNION ALL SELECT case_id, 'vehicle', 'KA-' || lpad(CAST(o_custkey % 70 + 1 AS VARCHAR), 2, '0') || '-AB-' || lpad(CAST(o_custkey % 9000 AS VARCHAR), 4, '0'), 'KA-' || lpad(CAST(o_custkey % 70 + 1 AS VARCHAR), 2, '0') || '-AB-' || lpad(CAST(o_custkey % 9000 AS VARCHAR), 4, '0'), facts FROM f WHERE case_id % 5 < 2
+  UNION ALL SELECT case_id, 'upi', 'user' || CAST(o_custkey AS VARCHAR) || '@ybl', 'User' || CAST(o_custkey AS VARCHAR) || '@ybl', facts FROM f WHERE case_id % 7 < 3)
+"""
+
+
+def incidents(t: Tables) -> DataFrame:
+    """cases with the text FACTS, which means the same in both dialects."""
+    return cases(t).join(t.orders.select(F.col("o_orderkey").alias("case_id"), F.expr(FACTS.replace("VARCHAR", "STRING")).alias("facts")), "case_id")
+
+
+@query("t01_t05_incident_mentions", f"WITH {MENTIONS} SELECT case_id, type, value, span, CAST(strpos(facts, span) - 1 AS INTEGER) AS start, CAST(strpos(facts, span) - 1 + length(span) AS INTEGER) AS \"end\" FROM m")
+def t01_t05(t):
+    return graph.mentions(incidents(t))
+
+
+@query("t01_t04_incident_values", f"WITH {MENTIONS} SELECT case_id, type, value FROM m")
+def t01_t04(t):
+    from skein.functions.text import mention_values
+
+    return incidents(t).select("case_id", F.explode(mention_values(F.col("facts"))).alias("m")).select("case_id", "m.*")
+
+
+@query("t08_t09_incident_language", f"SELECT o_orderkey AS case_id, o_orderkey % 6 = 0 AS kannada, CASE WHEN o_orderkey % 6 <> 0 THEN 'en' WHEN regexp_matches({FACTS}, '[A-Za-z]{{2,}}') THEN 'code-mixed' ELSE 'kn' END AS language FROM orders")
+def t08(t):
+    from skein.functions.text import is_kannada, language
+
+    return incidents(t).select("case_id", is_kannada(F.col("facts")).alias("kannada"), language(F.col("facts")).alias("language"))
+
+
+@query("t20_masked_names", "SELECT o_orderkey AS case_id, concat('Mr-[NAME-MASKED]fled. ', CASE WHEN o_custkey % 3 > 0 THEN 'Phone [PHONE-MASKED]. ' ELSE '' END, CASE WHEN o_orderkey % 4 = 1 THEN 'Also [PHONE-MASKED]. ' ELSE '' END) AS told FROM orders")
+def t20n(t):
+    told = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("case_id"), F.expr(f"concat('Mr-', c_name, 'fled. ', {CALLED}, {SPACED})".replace("VARCHAR", "STRING")).alias("told"))
+    return governance.masked_table(told, ["told"], t.customer.select(F.col("c_name").alias("name")))
+
+
+def _graph(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Customers' rows of orders as accused, suppliers of lines as victims, return flags and modes as sections."""
+    who = t.orders.select(F.col("o_orderkey").alias("accused_id"), F.col("o_orderkey").alias("case_id"), F.col("o_custkey").cast("string").alias("name"), F.lit(None).cast("int").alias("age"), F.lit(1).alias("gender"))
+    victims = t.lineitem.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("victim_id"), F.col("l_orderkey").alias("case_id"), F.col("l_suppkey").cast("string").alias("name"))
+    sections = t.lineitem.select(F.col("l_orderkey").alias("case_id"), F.col("l_returnflag").alias("act"), F.col("l_linestatus").alias("section"))
+    c = incidents(t).withColumns({"lat": F.lit(0.0), "lon": F.lit(0.0), "registered": F.col("day")})
+    return graph.build_graph(c, who, None, victims, sections)
+
+
+@query("g02_j04_graph_nodes", f"WITH c AS ({CASES}), {MENTIONS} SELECT 'FIR' AS label, count(*) AS n FROM c UNION ALL SELECT 'Location', count(*) FROM c UNION ALL SELECT 'Person', count(*) FROM c UNION ALL SELECT 'PoliceStation', count(DISTINCT station_id) FROM c UNION ALL SELECT 'District', count(DISTINCT district) FROM c UNION ALL SELECT 'Victim', count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem UNION ALL SELECT 'Section', count(DISTINCT (l_returnflag, l_linestatus)) FROM lineitem UNION ALL SELECT CASE type WHEN 'phone' THEN 'Phone' WHEN 'vehicle' THEN 'Vehicle' ELSE 'FinancialAccount' END, count(DISTINCT value) FROM m GROUP BY type")
+def g02n(t):
+    return _graph(t)[0].groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("g03_j05_graph_edges", f"WITH c AS ({CASES}), {MENTIONS}, e AS (SELECT DISTINCT case_id, type, value FROM m) SELECT unnest(['OCCURRED_AT', 'REGISTERED_AT', 'ACCUSED_IN']) AS rel, (SELECT count(*) FROM c) AS n UNION ALL SELECT 'IN_DISTRICT', count(DISTINCT (station_id, district)) FROM c UNION ALL SELECT 'VICTIM_IN', count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem UNION ALL SELECT 'CHARGED_UNDER', count(DISTINCT (l_orderkey, l_returnflag, l_linestatus)) FROM lineitem UNION ALL SELECT CASE type WHEN 'phone' THEN 'USED_PHONE' WHEN 'vehicle' THEN 'VEHICLE_SEEN' ELSE 'TRANSACTED_VIA' END, count(*) FROM e GROUP BY type UNION ALL SELECT CASE type WHEN 'phone' THEN 'PERSON_USED_PHONE' ELSE 'OWNS_VEHICLE' END, count(*) FROM e WHERE type <> 'upi' GROUP BY type")
+def g03n(t):
+    return _graph(t)[1].groupBy("rel").agg(F.count("*").alias("n"))
+
+
+@query("p06_find_nodes", f"SELECT 'FIR:' || case_id AS id FROM ({CASES}) WHERE district = 'NATION_3' AND status = 'F'")
+def p06(t):
+    return graph.find_nodes(_graph(t)[0], "FIR", district="NATION_3", status="F").select("id")
+
+
+@query("p03_rows_of_cases", "SELECT 'lines' AS \"table\", count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_orderstatus = 'P'")
+def p03(t):
+    from functools import reduce
+
+    some = graph.of_cases(cases(t).where("status = 'P'"), lines=t.lineitem.withColumnRenamed("l_orderkey", "case_id"), orders=t.orders.withColumnRenamed("o_orderkey", "case_id"))
+    return reduce(DataFrame.union, [rows.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, rows in some.items()])
+
+
+@query("j17_q06_networks", f"""
+WITH {MENTIONS}, e AS (SELECT DISTINCT case_id, type || value AS v FROM m WHERE type <> 'upi'),
+ n AS (SELECT x.case_id, count(DISTINCT y.case_id) AS linked, CAST(sum(DISTINCT y.case_id) AS BIGINT) AS checksum FROM e x JOIN e y ON x.v = y.v AND x.case_id <> y.case_id GROUP BY 1)
+SELECT f.case_id, CAST(1 AS BIGINT) AS accused, (SELECT count(*) FROM e WHERE e.case_id = f.case_id) AS evidence, coalesce(linked, 0) AS linked, coalesce(checksum, 0) AS checksum FROM f LEFT JOIN n ON n.case_id = f.case_id""")
+def j17(t):
+    who = t.orders.select(F.col("o_orderkey").alias("accused_id"), F.col("o_orderkey").alias("case_id"))
+    s = graph.network_summary(graph.network(cases(t), who, _graph(t)[1]))
+    return s.select("case_id", "accused", "evidence", "linked", F.aggregate("cases", F.lit(0).cast("long"), lambda a, x: a + x).alias("checksum"))
+
+
+@query("k08_q10_similar_by_behaviour", """
+WITH t AS (SELECT DISTINCT o_custkey AS id, o_orderpriority || o_orderstatus AS tag FROM orders), n AS (SELECT id, count(*) AS n FROM t GROUP BY 1),
+ c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM t x JOIN t y ON x.tag = y.tag AND x.id <> y.id GROUP BY 1, 2),
+ s AS (SELECT a, b, round(c / (p.n + q.n - c), 6) AS similarity, c, p.n + q.n - 2 * c AS differing FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE c / (p.n + q.n - c) >= 0.5),
+ r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rank FROM s)
+SELECT a AS case_id, b AS peer, CAST(rank AS INTEGER) AS rank, similarity, CAST(c AS INTEGER) AS shared, CAST(differing AS INTEGER) AS differing FROM r WHERE rank <= 10""")
+def k08(t):
+    tags = t.orders.select(F.col("o_custkey").alias("case_id"), F.concat("o_orderpriority", "o_orderstatus").alias("tag"))
+    return analytics.similar_by_behaviour(tags).withColumns({"shared": F.size("shared"), "differing": F.size("differing")})
+
+
+@query("j14_w02_indicator_correlations", f"""
+WITH c AS ({CASES}), i AS (SELECT n_name AS district, unnest(['literacy', 'income']) AS indicator, unnest([n_nationkey * 7 % 25, n_nationkey * n_nationkey % 23]) AS value FROM nation),
+ k AS (SELECT c.* FROM c WHERE district IN (SELECT district FROM i)), t AS (SELECT district, count(*) AS total FROM k GROUP BY 1), o AS (SELECT crime FROM c GROUP BY 1 HAVING count(*) >= 20),
+ r AS (SELECT crime, district, 100.0 * count(*) / any_value(total) AS rate FROM k JOIN t USING (district) JOIN o USING (crime) GROUP BY 1, 2),
+ d AS (SELECT crime, indicator, row_number() OVER (PARTITION BY crime, indicator ORDER BY value, district) - row_number() OVER (PARTITION BY crime, indicator ORDER BY rate, district) AS d FROM r JOIN i USING (district)),
+ s AS (SELECT crime, indicator, count(*) AS n, round(1 - 6 * sum(d * d) / (count(*) * (count(*) * count(*) - 1)), 6) AS rho FROM d GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT crime, indicator, n, rho, CASE WHEN rho > 0 THEN 'rises with' ELSE 'falls as' END AS direction FROM s WHERE abs(rho) >= 0.05""")
+def j14(t):
+    k = F.col("n_nationkey")
+    rows = t.nation.select(F.col("n_name").alias("district"), F.explode(F.array(F.struct(F.lit("literacy").alias("indicator"), (k * 7 % 25).alias("value")), F.struct(F.lit("income").alias("indicator"), (k * k % 23).alias("value")))).alias("i")).select("district", "i.*")
+    # 25 districts without any real relation: the bound is low, so that some rows come out
+    return analytics.indicator_correlations(cases(t), rows, least_rho=0.05)
+
+
+@query("v07_fairness", """
+WITH i AS (SELECT c_custkey AS identity, c_acctbal > 4000 AS flagged, r_name AS value FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ g AS (SELECT value, count(*) AS n, count(*) FILTER (WHERE flagged) AS flagged, count(*) FILTER (WHERE NOT flagged) AS others FROM i GROUP BY 1),
+ s AS (SELECT *, round(flagged / n, 6) AS rate, round(min(flagged / n) OVER () / max(flagged / n) OVER (), 6) AS ratio, flagged / sum(flagged) OVER () - others / sum(others) OVER () AS d FROM g)
+SELECT value, n, flagged, rate, ratio, (SELECT round(0.5 * sum(abs(d)), 6) FROM s) AS tvd, (SELECT 0.5 * sum(abs(d)) > 0.35 FROM s) AS warn, CASE WHEN ratio >= 0.8 THEN 'pass' ELSE 'adverse impact' END AS verdict FROM s""")
+def v07(t):
+    band = F.when(F.col("c_acctbal") > 8000, "HIGH").when(F.col("c_acctbal") > 4000, "MEDIUM").otherwise("LOW")
+    identities = t.customer.select(F.col("c_custkey").alias("identity"), band.alias("band"), F.array("c_nationkey").alias("cases"))
+    complainants = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("case_id"), F.col("r_name").alias("religion"))
+    return governance.fairness(identities, complainants, "religion")
+
+
+def _entries(t: Tables) -> DataFrame:
+    e = t.events
+    return e.select("user_id", F.col("event_id").alias("seq"), F.lit("granted").alias("access_decision"), F.array("user_id", "event_id").alias("cases_touched"), F.col("event_type").alias("intent"), F.concat(F.lit("about "), F.col("event_id").cast("string")).alias("query"), F.length("event_type").alias("response_chars"), F.lit("analyst").alias("role"), F.lit("2026-01-01T00:00:00").alias("timestamp"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"))
+
+
+AUDIT_JSON = """'{"access_decision": "granted", "cases_touched": [' || user_id || ', ' || event_id || '], "intent": "' || event_type || '", "prev_hash": "@", "query": "about ' || event_id || '", "response_chars": ' || length(event_type) || ', "role": "analyst", "seq": ' || event_id || ', "timestamp": "2026-01-01T00:00:00", "user": "u' || user_id || '"}'"""
+
+
+@query("w08_v05_audit_entries", f"WITH l AS (SELECT user_id, list({AUDIT_JSON} ORDER BY event_id) AS p FROM events GROUP BY 1) SELECT user_id, CAST(len(p) AS BIGINT) AS n, list_reduce(list_prepend('GENESIS', p), lambda h, x: sha256(h || replace(x, '@', h))) AS head FROM l")
+def w08v(t):
+    return governance.audited(_entries(t), "user_id").groupBy("user_id").agg(F.count("*").alias("n"), F.max_by("entry_hash", "seq").alias("head"))
+
+
+@query("w09_v05_tampered_entries", "SELECT user_id, min(event_id) AS first_bad FROM events WHERE event_id % 89 = 7 GROUP BY 1")
+def w09v(t):
+    changed = governance.audited(_entries(t), "user_id").withColumn("role", F.when(F.col("seq") % 89 == 7, "intruder").otherwise(F.col("role")))
+    return governance.tampered(changed, "user_id")
+
+
+@query("r01_recent_counts", "WITH w AS (SELECT ts, event_type, user_id % 10 AS g, unnest(range(0, 30)) AS k FROM events) SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS start, g, event_type, count(*) AS n FROM w GROUP BY 1, 2, 3")
+def r01c(t):
+    from skein.streaming.windows import recent_counts
+
+    return recent_counts(t.events.withColumn("g", F.col("user_id") % 10), "ts", "g", "event_type")

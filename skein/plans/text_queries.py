@@ -159,7 +159,7 @@ def t06(t):
     return m.select("doc_id", T.context(F.col("text"), start, start + F.length("m")).alias("context"))
 
 
-@query("t25_t26_number_guards", "SELECT conv_id, turn, len(list_filter(regexp_extract_all(text, '\\d+'), lambda x: NOT list_contains(regexp_extract_all(coalesce(nxt, ''), '\\d+'), x))) = 0 AS survive FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)")
+@query("t26_number_guard", "SELECT conv_id, turn, len(list_filter(regexp_extract_all(text, '\\d+'), lambda x: NOT list_contains(regexp_extract_all(coalesce(nxt, ''), '\\d+'), x))) = 0 AS survive FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations)")
 def t25(t):
     c = t.conversations.withColumn("nxt", F.coalesce(F.lead("text").over(W.partitionBy("conv_id").orderBy("turn")), F.lit("")))
     return c.select("conv_id", "turn", T.numbers_survive(F.col("text"), F.col("nxt")).alias("survive"))
@@ -219,13 +219,13 @@ def s04(t):
 @query("g02_graph_nodes")
 def g02(t):
     c = _corpus(t)
-    return graph.build_graph(c["cases"], c["accused"], c["complainants"])[0].groupBy("label").agg(F.count("*").alias("n"))
+    return graph.build_graph(c["cases"], c["accused"], c["complainants"], c["victims"], c["sections"])[0].groupBy("label").agg(F.count("*").alias("n"))
 
 
 @query("g03_graph_edges")
 def g03(t):
     c = _corpus(t)
-    return graph.build_graph(c["cases"], c["accused"], c["complainants"])[1].groupBy("rel").agg(F.count("*").alias("n"))
+    return graph.build_graph(c["cases"], c["accused"], c["complainants"], c["victims"], c["sections"])[1].groupBy("rel").agg(F.count("*").alias("n"))
 
 
 @query("g05_resolved_identities")
@@ -296,7 +296,7 @@ def q14(t):
     return brief.ranked_offenders(analytics.risk(o, degrees), o, scope_of(c["cases"], "district_sp", district="Bengaluru Urban"))
 
 
-@query("q20_v07_money_and_fairness")
+@query("q20_report_drafts")
 def q20(t):
     c, _, groups = _resolved(t)
     return brief.str_drafts(analytics.money_trails(graph.evidence(c["cases"]), c["cases"], c["accused"], groups))

@@ -35,8 +35,12 @@ def _pick(values: list, at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
 
 
+#: Section codes, two for each kind of crime.
+SECTIONS = ["457", "380", "379", "411", "420", "406", "392", "397", "324", "326"]
+
+
 def corpus(spark: SparkSession, n_cases: int = 500, seed: int = 7) -> dict[str, DataFrame]:
-    """cases, accused, truth (true_person, accused_id), outcomes, arrests, complainants."""
+    """cases, accused, truth (true_person, accused_id), outcomes, arrests, complainants, victims, sections."""
     ids = spark.range(1, n_cases + 1).withColumnRenamed("id", "case_id")
     edges, kind = 1, F.lit("background")
     for name, size in SET_SIZES.items():
@@ -101,4 +105,7 @@ def corpus(spark: SparkSession, n_cases: int = 500, seed: int = 7) -> dict[str,
     kind_of = F.when(roll < 6, "B").when(roll < 6 + odds, "A").when(roll < 90, "C")
     outcomes = c.select("case_id", kind_of.alias("cstype")).where("cstype is not null")
     complainants = c.select((F.col("case_id")).alias("complainant_id"), "case_id", F.concat(F.lit("Citizen "), F.col("case_id").cast("string")).alias("name"), (18 + _draw(seed, "c age", F.col("case_id")) % 60).cast("int").alias("age"), (1 + _draw(seed, "c gender", F.col("case_id")) % 2).cast("int").alias("gender"), _pick(["Farmer", "Teacher", "Trader", "Student", "Driver", "Engineer", "Homemaker", "Retired"], _draw(seed, "job", F.col("case_id"))).alias("occupation"))
-    return {"cases": cases, "accused": people.drop("true_person"), "truth": people.select("true_person", "accused_id"), "outcomes": outcomes, "arrests": arrested.drop("d"), "complainants": complainants}
+    victims = c.select((3 * F.col("case_id")).alias("victim_id"), "case_id", F.concat(F.lit("Victim "), F.col("case_id").cast("string")).alias("name"), (18 + _draw(seed, "v age", F.col("case_id")) % 60).cast("int").alias("age"), (1 + _draw(seed, "v gender", F.col("case_id")) % 2).cast("int").alias("gender"))
+    charged = F.array(*map(F.lit, SECTIONS))
+    sections = c.select("case_id", F.lit("IPC").alias("act"), F.explode(F.slice(charged, F.col("crime") * 2 + 1, F.when(has("second section", 30), 2).otherwise(1))).alias("section"))
+    return {"victims": victims, "sections": sections, "cases": cases, "accused": people.drop("true_person"), "truth": people.select("true_person", "accused_id"), "outcomes": outcomes, "arrests": arrested.drop("d"), "complainants": complainants}

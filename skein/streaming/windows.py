@@ -53,27 +53,40 @@ class IncrementalResolver:
 SESSION = "session string, turn long, case_id long"
 
 
-def session_context(turns: DataFrame, timeout_ms: int = 3_600_000, keep: int = 100) -> DataFrame:
-    """Rows (session, turn, case_id): each turn with its own case or the session's last; idle sessions
-    are forgotten after the timeout, and after `keep` turns a session starts anew."""
+def session_context(turns: DataFrame, idle: str = "1 hour", keep: int = 100) -> DataFrame:
+    """From rows (session, turn, case_id, ts): (session, turn, case_id), each turn with its own case or the session's last.
+
+    A session that is idle for so long in event time is forgotten, and after `keep` turns it starts anew. Timeouts follow
+    the watermark and not the clock, so a stream without new rows has nothing to do and a run can be repeated; a turn that
+    comes before its session's timeout ran is held against the session's last one itself.
+    latest_sessions() bounds the number of stored sessions."""
+    pause_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last, n = state.get if state.exists else (None, 0)
-        for pdf in batches:
-            out = []
-            for turn, case in sorted(zip(pdf["turn"], pdf["case_id"], strict=True)):
-                if n >= keep:
-                    last, n = None, 0
-                last, n = (int(case) if case is not None and not pd.isna(case) else last), n + 1
-                out.append((key[0], int(turn), last))
-            yield pd.DataFrame(out, columns=["session", "turn", "case_id"]).astype({"case_id": "Int64"})
-        state.update((last, n))
-        state.setTimeoutDuration(timeout_ms)
-
-    return turns.groupBy("session").applyInPandasWithState(step, SESSION, "last long, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        last, n, seen = state.get if state.exists else (None, 0, None)
+        # a session's turns of one micro-batch may come in several Arrow batches
+        pdf = pd.concat([x.convert_dtypes() for x in batches]).sort_values(["turn", "ts"])
+        out = []
+        for turn, case, ts in zip(pdf["turn"], pdf["case_id"], pdf["ts"], strict=True):
+            now = int(ts.timestamp() * 1000)
+            if n >= keep or (seen is not None and now - seen > pause_ms):
+                last, n = None, 0
+            last, n, seen = (last if pd.isna(case) else int(case)), n + 1, max(now, seen or now)
+            out.append((key[0], int(turn), last))
+        state.update((last, n, seen))
+        state.setTimeoutTimestamp(max(seen + pause_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["session", "turn", "case_id"]).astype({"case_id": "Int64"})
+
+    return turns.withWatermark("ts", idle).groupBy("session").applyInPandasWithState(step, SESSION, "last long, n long, seen long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def latest_sessions(turns: DataFrame, most: int = 500) -> DataFrame:
+    """The turns of the `most` sessions that began last; older ones are evicted first in, first out."""
+    began = turns.groupBy("session").agg(F.min("ts").alias("began")).orderBy(F.desc("began"), "session").limit(most)
+    return turns.join(began.select("session"), "session", "left_semi")
 
 
 def audit_sink(path: str):

@@ -162,15 +162,98 @@ def test_incremental_identities_equal_batch(spark, tmp_path):
     assert sorted(sink.groups(spark).collect()) == sorted(batch.collect())
 
 
+def ended(query, seconds=120):
+    """Waits for a stream that has no more to do; one that never ends fails the test."""
+    done = query.awaitTermination(seconds)
+    query.stop()
+    assert done, "the stream did not end"
+
+
 def test_session_context_stream(spark, tmp_path):
-    from skein.streaming.windows import session_context
-
-    spark.createDataFrame([("s", 1, 5), ("s", 2, None), ("t", 1, None), ("s", 3, 8), ("s", 4, None)], "session string, turn long, case_id long").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("session string, turn long, case_id long").parquet(str(tmp_path / "in"))
-    q = session_context(stream).writeStream.format("memory").queryName("ctx").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted((r.session, r.turn, r.case_id) for r in spark.table("ctx").collect() if r.session == "s") == [("s", 1, 5), ("s", 2, 5), ("s", 3, 8), ("s", 4, 8)]
+    import datetime
+
+    from skein.streaming.windows import latest_sessions, session_context
+
+    def at(minute):
+        return datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=minute)
+
+    schema = "session string, turn long, case_id long, ts timestamp"
+    batches = [
+        [("s", 1, 5, at(0)), ("s", 2, None, at(1)), ("t", 1, None, at(2)), ("s", 3, 8, at(3)), ("s", 4, None, at(4))],
+        [("s", 5, None, at(10)), ("u", 1, 7, at(300))],
+        [("s", 6, None, at(400)), ("u", 2, None, at(301))],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ended(session_context(stream).writeStream.format("memory").queryName("ctx").outputMode("append").trigger(availableNow=True).start())
+    got = {(r.session, r.turn): r.case_id for r in spark.table("ctx").collect()}
+    assert [got["s", i] for i in range(1, 6)] == [5, 5, 8, 8, 8] and got["t", 1] is None and (got["u", 1], got["u", 2]) == (7, 7)
+    assert got["s", 6] is None  # idle for longer than an hour: forgotten
+    turns = spark.createDataFrame([r for b in batches for r in b], schema)
+    assert {r.session for r in latest_sessions(turns, 2).collect()} == {"t", "u"}
+
+
+def test_streams_of_windows_pairs_and_audit(spark, tmp_path):
+    import datetime
+
+    from skein.operators import governance
+    from skein.streaming.windows import audit_sink, near_repeat_stream, recent_counts
+
+    day = datetime.timedelta(days=1)
+    start = datetime.datetime(2026, 1, 1)
+    rows = [(i, f"c{i % 3}", start + i * day, "d", "theft") for i in range(100)]
+    schema = "id long, cell string, ts timestamp, district string, crime string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "events"))
+
+    def stream():
+        return spark.readStream.schema(schema).parquet(str(tmp_path / "events"))
+
+    counts = recent_counts(stream(), "ts", "district", "crime", "10 days", "10 days")
+    ended(counts.writeStream.format("memory").queryName("recent").outputMode("complete").trigger(availableNow=True).start())
+    batch = recent_counts(spark.read.parquet(str(tmp_path / "events")), "ts", "district", "crime", "10 days", "10 days")
+    assert sorted(map(tuple, spark.table("recent").collect())) == sorted(map(tuple, batch.collect())) and batch.agg({"n": "sum"}).first()[0] == 100
+
+    pairs = near_repeat_stream(stream(), stream(), 5)
+    ended(pairs.writeStream.format("memory").queryName("near").outputMode("append").trigger(availableNow=True).start())
+    assert {(r.a, r.b) for r in spark.table("near").collect()} == {(i, j) for i in range(100) for j in range(100) if i != j and i % 3 == j % 3 and abs(i - j) <= 5}
+
+    entries = spark.createDataFrame([(i, f"p{i}") for i in range(30)], "seq long, payload string")
+    sink = audit_sink(str(tmp_path / "audit"))
+    sink(entries.where("seq < 20"), 0)
+    sink(entries.where("seq >= 20"), 1)
+    sink(entries.where("seq >= 20"), 1)  # written again, it replaces itself
+    kept = spark.read.parquet(str(tmp_path / "audit"))
+    assert kept.count() == 30 and governance.broken(kept, "chain", "seq", "payload").count() == 0
+
+
+def test_fixed_keywords_and_letters():
+    from skein.functions import names
+    from skein.operators import conversation, graph
+
+    counts = {name: (len(en), len(kn)) for name, (en, kn) in conversation.INTENTS.items()}
+    assert counts == {"network": (7, 8), "identity_history": (7, 7), "similar_cases": (6, 5), "risk": (6, 5), "money_trail": (7, 9), "trend": (10, 6), "accused": (6, 5), "victim": (4, 4), "summary": (9, 3), "status": (4, 4), "timeline": (5, 4)}
+    joined = [w for _, kn in conversation.INTENTS.values() for w in kn if "\u200c" in w]
+    assert len(joined) == 4 and len(conversation.REFERRING["case"]) == 6
+    assert names.roman_forms("ಕಮಲ್") == ["kml"] and len(graph.LABELS) == 11 and len(graph.RELATIONS) == 14
+
+
+@pytest.mark.parametrize("n", [1, 200, 201, 450])
+def test_names_are_masked_whatever_their_number(spark, n):
+    from skein.operators import governance
+
+    names = spark.createDataFrame([("Prakash Rao",), ("Rao",)][: min(n, 2)] + [(f"Other{i} Name{i}",) for i in range(n - 2)], "name string")
+    rows = spark.createDataFrame([(1, "Mr-Prakash Rao fled", "x"), (2, None, "Prakash Rao"), (3, "call +919876543210", ""), (4, "Mr-Prakash Rao fled", None), (5, "no one", "ab")], "id long, told string, more string")
+    got = {r.id: (r.told, r.more) for r in governance.masked_table(rows, ["told", "more"], names).collect()}
+    assert got == {1: ("Mr-[NAME-MASKED] fled", "x"), 2: (None, "[NAME-MASKED]"), 3: ("call [PHONE-MASKED]", ""), 4: ("Mr-[NAME-MASKED] fled", None), 5: ("no one", "ab")}
+
+
+def test_wrapped_report_keeps_escapes_whole():
+    from skein.operators import conversation
+
+    body = conversation.pdf(["(" * 300 + ")" * 300]).decode("latin-1")
+    shown = "".join(x.removesuffix(") Tj T*")[1:] for x in body.split("\n") if x.endswith(") Tj T*"))
+    assert shown == r"\(" * 300 + r"\)" * 300
 
 
 def test_nothing_outside_imports_the_subpackage():
