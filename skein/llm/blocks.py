@@ -27,7 +27,8 @@ def packed(docs: DataFrame, scratch: Scratch, each: int = BLOCK_BYTES, id_col: s
     """(blocks, their number); a null text counts as empty, `known` is 0 where the id is null."""
     n = texts.blocks_for(docs.agg(F.sum(F.octet_length(text_col))).first()[0], each)
     rows = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col), F.octet_length(text_col), F.substring(text_col, 1, 40)), F.lit(n)).alias("block"),
+        # by the row's place too, so that rows that repeat an id, or have none, are spread
+        F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(n)).alias("block"),
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("binary").alias("text"),
         F.xxhash64(text_col).alias("tag"),

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.llm import texts
 from skein.llm.blocks import BLOCK_BYTES, slices
-from skein.session import Scratch, shuffles_dropped
+from skein.session import Scratch, settings, shuffles_dropped
 
 #: The end token's place among word hashes.
 END = np.uint64(0xE4D0E4D0E4D0E4D0)
@@ -389,11 +389,15 @@ def scores(docs: DataFrame, n_base: int | None = None, share: float = 2e-5, roun
     n_base counts the classes with the end token's, and follows the vocabulary if not given; weight is the
     class model's part in the mixture.
     """
+    scratch = Scratch(docs.sparkSession, "brown")
+    with settings(docs.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20)}):
+        return scratch.store(_scores(docs, n_base, share, rounds, weight, block_bytes, sweeps, scratch), "scores")
+
+
+def _scores(docs: DataFrame, n_base: int | None, share: float, rounds: int, weight: float, block_bytes: int, sweeps: int, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
-    scratch = Scratch(spark, "brown")
     n = texts.blocks_for(docs.agg(F.sum(F.octet_length("text"))).first()[0], block_bytes)
-    rows = docs.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.substring("text", 1, 40)), F.lit(n)).alias("block"), F.col("doc_id").cast("long").alias("id"), "held", F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n)).alias("block"), F.col("doc_id").cast("long").alias("id"), "held", F.col("text").cast("binary").alias("text"))
     blocks = scratch.store(rows.repartition(max(n, spark.sparkContext.defaultParallelism), "block").groupBy("block").applyInArrow(_stream, STREAMS), "blocks")
     total = blocks.agg(F.sum("trained")).first()[0] or 0
 

@@ -2,11 +2,11 @@
 
 Rows are hashed into shards of a bounded number of vectors. Each shard is a KD-tree: a node splits
 at the median of its box's widest side, down to leaves, and keeps the tight bounding box of its
-vectors and its smallest id. The trees are written as one row a shard.
+vectors and its smallest id. The trees are written with all their nodes as one row a shard.
 
 A search meets blocks of queries with shards. For a query, a box bounds the inner product from above
-by the sum over components of the larger of query * low and query * high. Leaves are visited in the
-order of their bounds, and the search of a shard ends at the first leaf that can't beat the k-th
+by the sum over components of the larger of query * low and query * high. Nodes are taken from a queue
+in the order of their bounds, from the root; the search of a shard ends at the first node that can't beat the k-th
 score so far (with equal scores: whose smallest id is no smaller than the k-th id). The k-th score is
 propagated: every query first searches the one shard it is hashed to, and that result is the bar
 with which it enters all other shards.
@@ -23,6 +23,7 @@ no candidate; other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from skein.llm.texts import blocks_for
-from skein.session import Scratch
+from skein.session import Scratch, settings
 
 SHARD_ROWS = 1 << 14
 QUERY_ROWS = 1 << 10
@@ -39,32 +40,36 @@ FOUND = "query_id long, vec_id long, score long"
 
 
 class Tree:
-    """Leaves of a KD-tree over the rows of `v`, as slices of the reordered rows."""
+    """A KD-tree over the rows of `v`, reordered so that each leaf is a slice. Nodes stand level by level: `kids` is the
+    first of a node's two children, or -1 for a leaf, whose rows are begin..end; low and high are the tight boxes."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, leaf: int = LEAF_ROWS):
         order = np.lexsort((*v.T[::-1], ids)) if v.shape[1] else np.argsort(ids, kind="stable")
         ids, v = ids[order], v[order]
         new = np.r_[True, (ids[1:] != ids[:-1]) | (v[1:] != v[:-1]).any(1)] if len(ids) else np.zeros(0, bool)
         ids, v = ids[new], v[new]
-        leaves, todo = [], [np.arange(len(ids))] if len(ids) else []
-        while todo:
-            rows = todo.pop()
+        nodes, kids = [np.arange(len(ids))] if len(ids) else [], []
+        while len(kids) < len(nodes):
+            rows = nodes[len(kids)]
             if len(rows) <= leaf:
-                leaves.append(rows)
+                kids.append(-1)
                 continue
+            kids.append(len(nodes))
             part = v[rows]
             side = int(np.argmax(part.max(0) - part.min(0)))
             half = len(rows) // 2
             # stable, and rows stand in the order of ids: equal vectors stay in that order
             split = rows[np.argsort(part[:, side], kind="stable")]
-            todo += [np.sort(split[half:]), np.sort(split[:half])]
-        leaves.sort(key=lambda r: r[0])
-        rows = np.concatenate(leaves) if leaves else np.zeros(0, int)
+            nodes += [np.sort(split[:half]), np.sort(split[half:])]
+        self.kids = np.array(kids, np.int64)
+        size = np.array([len(r) if k < 0 else 0 for r, k in zip(nodes, kids, strict=True)], np.int64)
+        self.end = np.cumsum(size)
+        self.begin = self.end - size
+        rows = np.concatenate([r for r, k in zip(nodes, kids, strict=True) if k < 0]) if nodes else np.zeros(0, int)
         self.ids, self.v = ids[rows], v[rows]
-        self.at = np.cumsum([0, *map(len, leaves)])
-        self.low = np.array([v[r].min(0) for r in leaves]).reshape(len(leaves), v.shape[1])
-        self.high = np.array([v[r].max(0) for r in leaves]).reshape(len(leaves), v.shape[1])
-        self.least = np.array([ids[r].min() for r in leaves], np.int64)
+        self.low = np.array([v[r].min(0) for r in nodes]).reshape(len(nodes), v.shape[1])
+        self.high = np.array([v[r].max(0) for r in nodes]).reshape(len(nodes), v.shape[1])
+        self.least = np.array([ids[r].min() for r in nodes], np.int64)
 
 
 def _exact(q: np.ndarray, v: np.ndarray) -> type:
@@ -78,37 +83,62 @@ def search(qids: np.ndarray, q: np.ndarray, bar: np.ndarray, bar_id: np.ndarray,
     overall result: bar is the query's k-th score so far and bar_id that row's id."""
     kind = _exact(q, tree.v)
     qx, v = q.astype(kind), tree.v.astype(kind)
-    up, down = np.maximum(qx, 0), np.minimum(qx, 0)
-    bounds = up @ tree.high.astype(kind).T + down @ tree.low.astype(kind).T
+    bounds = _bounds(qx, bar, bar_id, tree, kind)
+    kids, begin, end, least = tree.kids.tolist(), tree.begin.tolist(), tree.end.tolist(), tree.least.tolist()
     out = []
     for i in range(len(q)):
-        # leaves that can't enter at all are left out before they are ordered
-        bound = bounds[i]
-        leaves = np.flatnonzero((bound > bar[i]) | ((bound == bar[i]) & (tree.least < bar_id[i])))
-        leaves = leaves[np.lexsort((tree.least[leaves], -bound[leaves]))]
+        bound = bounds[i].tolist()
         ids, scores = np.zeros(0, np.int64), np.zeros(0, kind)
-        kth, kth_id = bar[i], bar_id[i]
-        step = 1
-        while len(leaves):
-            now, leaves = leaves[:step], leaves[step:]
+        kth, kth_id = bar[i].item(), bar_id[i].item()
+        heap = [(-bound[0], least[0], 0)] if bound else []
+        step = 1  # leaves that are scored at a time
+        while heap:
+            now: list[int] = []
+            while heap and len(now) < step:
+                b, first, node = heapq.heappop(heap)
+                if -b < kth or (-b == kth and first >= kth_id):
+                    heap.clear()  # nor can any node behind it
+                    break
+                if kids[node] < 0:
+                    now.append(node)
+                    continue
+                for x in (kids[node], kids[node] + 1):
+                    if bound[x] > kth or (bound[x] == kth and least[x] < kth_id):
+                        heapq.heappush(heap, (-bound[x], least[x], x))
             step = min(4 * step, 64)
-            rows = np.concatenate([np.arange(tree.at[j], tree.at[j + 1]) for j in now])
+            if not now:
+                break
+            rows = np.concatenate([np.arange(begin[j], end[j]) for j in now])
             rows = rows[tree.ids[rows] != qids[i]]
             ids, scores = np.r_[ids, tree.ids[rows]], np.r_[scores, v[rows] @ qx[i]]
             best = np.lexsort((ids, -scores))
             ids, scores = ids[best], scores[best]
-            _, first = np.unique(ids, return_index=True)  # an id counts with its best score
-            first.sort()
-            ids, scores = ids[first][:k], scores[first][:k]
+            _, once = np.unique(ids, return_index=True)  # an id counts with its best score
+            once.sort()
+            ids, scores = ids[once][:k], scores[once][:k]
             if len(ids) == k and (scores[-1] > kth or (scores[-1] == kth and ids[-1] < kth_id)):
-                kth, kth_id = scores[-1], ids[-1]
-            b = bound[leaves]
-            leaves = leaves[(b > kth) | ((b == kth) & (tree.least[leaves] < kth_id))]
+                kth, kth_id = scores[-1].item(), ids[-1].item()
         ok = (scores > bar[i]) | ((scores == bar[i]) & (ids < bar_id[i]))
         out += [(int(qids[i]), int(a), int(s)) for a, s in zip(ids[ok], scores[ok], strict=True)]
     return out
 
 
+def _bounds(q: np.ndarray, bar: np.ndarray, bar_id: np.ndarray, tree: Tree, kind: type) -> np.ndarray:
+    """For each query and node the most that an inner product can be in the node's box. Levels are worked out from the root,
+    for all queries at once; nothing below a node that no query can enter is looked at."""
+    low, high, up, down = tree.low.astype(kind), tree.high.astype(kind), np.maximum(q, 0), np.minimum(q, 0)
+    out = np.full((len(q), len(tree.kids)), NO_SCORE, kind)
+    nodes = np.arange(min(1, len(tree.kids)))
+    while len(nodes):
+        b = up @ high[nodes].T + down @ low[nodes].T
+        out[:, nodes] = b
+        enter = ((b > bar[:, None]) | ((b == bar[:, None]) & (tree.least[nodes] < bar_id[:, None]))).any(0)
+        inner = tree.kids[nodes[enter]]
+        inner = inner[inner >= 0]
+        nodes = np.sort(np.r_[inner, inner + 1])
+    return out
+
+
 def _valid(vector: Column) -> Column:
     return (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
@@ -120,14 +150,14 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 def _group_tree(table: pa.Table) -> pa.Table:
     dim = table["dim"][0].as_py()
     tree = Tree(np.asarray(table["vec_id"]), _matrix(table["v"], dim))
-    cells = {"ids": tree.ids.astype("<i8"), "v": tree.v.astype("<i8"), "at": tree.at.astype("<i8"), "low": tree.low.astype("<i8"), "high": tree.high.astype("<i8"), "least": tree.least.astype("<i8")}
+    cells = {"ids": tree.ids.astype("<i8"), "v": tree.v.astype("<i8"), "kids": tree.kids.astype("<i8"), "begin": tree.begin.astype("<i8"), "end": tree.end.astype("<i8"), "low": tree.low.astype("<i8"), "high": tree.high.astype("<i8"), "least": tree.least.astype("<i8")}
     return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([table["shard"][0].as_py()], pa.int64()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in cells.items()}})
 
 
 def _read_tree(row: dict) -> Tree:
     tree = object.__new__(Tree)
     dim = row["dim"]
-    for c in ("ids", "at", "least"):
+    for c in ("ids", "kids", "begin", "end", "least"):
         setattr(tree, c, np.frombuffer(row[c], "<i8"))
     for c in ("v", "low", "high"):
         setattr(tree, c, np.frombuffer(row[c], "<i8").reshape(-1, dim))
@@ -140,7 +170,7 @@ def _group_queries(table: pa.Table) -> pa.Table:
     return pa.table({"dim": pa.array([dim], pa.int32()), "home": pa.array([table["home"][0].as_py()], pa.int64()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in cells.items()}})
 
 
-TREES = "dim int, shard long, ids binary, v binary, at binary, low binary, high binary, least binary"
+TREES = "dim int, shard long, ids binary, v binary, kids binary, begin binary, end binary, low binary, high binary, least binary"
 QUERIES = "dim int, home long, qids binary, q binary, bar binary, bar_id binary"
 #: Below every score, with an id above every id: what enters an unfilled result.
 NO_SCORE, NO_ID = -(2**63) + 1, 2**63 - 1
@@ -170,7 +200,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
     Both inputs have vec_id (long) and v (array of long).
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     scratch = Scratch(spark, "kd-search")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.size("v").alias("dim"))
     n = blocks_for(rows.count(), shard_rows)
@@ -185,12 +214,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int =
 
     asked_rows = asked.count()
     first = blocks(asked.withColumn("bar", F.lit(NO_SCORE)).withColumn("bar_id", F.lit(NO_ID)))
-    home = scratch.store(_ranked(_searched(first.join(trees, (first.dim == trees.dim) & (first.home == trees.shard)).drop(trees.dim), k), k), "home")
-    bars = home.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bar"), F.col("vec_id").alias("bar_id"))
-    barred = asked.join(bars, "vec_id", "left").select("vec_id", "v", "dim", "home", F.coalesce("bar", F.lit(NO_SCORE)).alias("bar"), F.coalesce("bar_id", F.lit(NO_ID)).alias("bar_id"))
-    # each block of queries visits the other shards: their numbers are known, so this is an equi-join
-    rest = blocks(barred).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).where("shard <> home")
-    found = _searched(rest.join(trees, ["dim", "shard"]), k)
+    with settings(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}):
+        home = scratch.store(_ranked(_searched(first.join(trees, (first.dim == trees.dim) & (first.home == trees.shard)).drop(trees.dim), k), k), "home")
+        bars = home.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bar"), F.col("vec_id").alias("bar_id"))
+        barred = asked.join(bars, "vec_id", "left").select("vec_id", "v", "dim", "home", F.coalesce("bar", F.lit(NO_SCORE)).alias("bar"), F.coalesce("bar_id", F.lit(NO_ID)).alias("bar_id"))
+        # each block of queries visits the other shards: their numbers are known, so this is an equi-join
+        rest = blocks(barred).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))).where("shard <> home")
+        found = scratch.store(_searched(rest.join(trees, ["dim", "shard"]), k), "found")
+    scratch.drop("trees")
     return _ranked(home.select("query_id", "vec_id", "score").union(found), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -280,8 +280,27 @@ def test_kd_search_is_exact(spark):
     for q in [*range(0, 500, 20)]:
         s = sorted((-int(v[q] @ v[i]), i) for i in range(500) if i != q)[:5]
         want |= {(q, r, i, -x) for r, (x, i) in enumerate(s, 1)}
-    want |= {(900, 1, 901, 6)}
-    assert {tuple(r) for r in got.collect()} == want | {(901, 1, 900, 6)} - {(901, 1, 900, 6)}.difference({tuple(r) for r in got.collect()})
+    want |= {(900, 1, 901, 6), (901, 1, 900, 6)}
+    assert {tuple(r) for r in got.collect()} == want
+    more = df.select("*", F.lit(1).alias("shard"), F.lit(2).alias("score"), F.lit(3).alias("home"))
+    assert {tuple(r) for r in kd_search.top_k(more, more.where("vec_id % 20 = 0 or vec_id >= 900"), 5, shard_rows=100).collect()} == want
+    assert kd_search.top_k(df.limit(0), df.limit(0)).count() == 0 and kd_search.top_k(df, df.limit(0)).count() == 0
+
+
+def test_kd_tree_leaves_out_what_can_not_enter():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-2000, 2000, (40, 8))
+    v = np.concatenate([c + rng.integers(-5, 6, (100, 8)) for c in centres])
+    tree = kd_search.Tree(np.arange(len(v)), v)
+    q = v[::500]
+    bar = np.sort(q @ v.T, axis=1)[:, -6]
+    bounds = kd_search._bounds(q, bar, np.full(len(q), kd_search.NO_ID), tree, np.int64)
+    assert (bounds == kd_search.NO_SCORE).any()  # subtrees that no query enters are not looked at
+    leaves = tree.kids < 0
+    assert (bounds[:, leaves] >= bar[:, None]).mean() < 0.25
+    for node in np.flatnonzero(~leaves):
+        for kid in (tree.kids[node], tree.kids[node] + 1):
+            assert (tree.low[kid] >= tree.low[node]).all() and (tree.high[kid] <= tree.high[node]).all()
 
 
 def test_kd_query_leaves_out_what_is_not_finite(spark, tmp_path):
@@ -364,6 +383,47 @@ def test_language_model(spark):
     assert brown_lm.scores(df.limit(0)).count() == 0
 
 
+def test_language_model_scores_by_brute_force(spark):
+    """With one class of words and one of ends, exchange has no choice, and every probability can be worked out by hand."""
+    from collections import Counter
+
+    rows = [(i, t) for i, t, *_ in texts_of(12)]
+    held = [i is not None and i % 5 == 2 for i, _ in rows]
+    df = spark.createDataFrame([(i, t, h) for (i, t), h in zip(rows, held, strict=True)], "doc_id long, text string, held boolean").repartition(3)
+    toks = [[*words(t), None] for _, t in rows]
+    c = Counter(x for w, h in zip(toks, held, strict=True) if not h for x in w)
+    n, v, ends = sum(c.values()), len(c), c[None]
+    once, twice = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+    d = min(0.95, max(0.05, once / (once + 2 * twice)))
+    moves = Counter()  # kind of what precedes (word, end, rare for a word seen once) -> kind of the token
+    for w, h in zip(toks, held, strict=True):
+        if not h:
+            for left, x in zip([None, *w], w, strict=False):
+                moves["end" if left is None else "word", x is None] += 1
+                moves["rare", x is None] += left is not None and c[left] == 1 or left is None and ends == 1
+
+    def move(left, is_end):
+        part = (ends if is_end else n - ends) / n
+        return (moves[left, is_end] + 5 * part) / (moves[left, True] + moves[left, False] + 5)
+
+    want = []
+    for (i, _), w in zip(rows, toks, strict=True):
+        total = 0.0
+        for left, x in zip([None, *w], w, strict=False):
+            kind = "end" if left is None else "word" if c[left] else "rare"
+            if x is None:
+                p = move(kind, True)
+            elif c[x]:
+                p = move(kind, False) * (c[x] - d) / (n - ends)
+            else:
+                p = move(kind, False) * d * (v - 1) / (n - ends)
+            total += math.log10(0.95 * p + 0.05 * (c[x] + 1) / (n + v + 1))
+        want.append((str(i), round(total, 6)))
+    for share in (0.002, 0):
+        got = brown_lm.scores(df, n_base=2, share=share, rounds=2, block_bytes=6000)
+        assert sorted((str(r.doc_id), round(r.score, 6)) for r in got.collect()) == sorted(want)
+
+
 def test_model_sums_to_one():
     rng = np.random.default_rng(1)
     k = 5  # two exchange classes with the end's, two of other words, one without votes
