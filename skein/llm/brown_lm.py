@@ -61,15 +61,16 @@ def _stream(table: pa.Table) -> pa.Table:
     ids = table["id"].combine_chunks()
     held = np.asarray(table["held"].combine_chunks().cast(pa.uint8()))
     counts = np.bincount(stream[np.repeat(held == 0, size + 1)], minlength=len(lexicon))
-    cells = {"ids": np.asarray(ids.fill_null(0)).astype("<i8"), "known": np.asarray(ids.is_valid()).astype(np.uint8), "held": held, "first": first.astype("<i8"), "lexicon": lexicon.astype("<u8"), "counts": counts.astype("<i8"), "stream": stream.astype("<i4")}
+    cells = {"ids": np.asarray(ids.fill_null(0)).astype("<i8"), "known": np.asarray(ids.is_valid()).astype(np.uint8), "held": held, "first": first.astype("<i8"), "lexicon": lexicon.astype("<u8"), "counts": counts.astype("<u4"), "stream": stream.astype("<i4")}
     return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in cells.items()}, "trained": pa.array([int(counts.sum())], pa.int64())})
 
 
 class Stream:
     def __init__(self, row: dict):
         self.number = row["block"]
-        for c, t in (("ids", "<i8"), ("known", np.uint8), ("held", np.uint8), ("first", "<i8"), ("lexicon", "<u8"), ("counts", "<i8"), ("stream", "<i4")):
+        for c, t in (("ids", "<i8"), ("known", np.uint8), ("held", np.uint8), ("first", "<i8"), ("lexicon", "<u8"), ("counts", "<u4"), ("stream", "<i4")):
             setattr(self, c, np.frombuffer(row[c], t))
+        self.counts = self.counts.astype(np.int64)
         size = np.diff(self.first)
         self.train = np.repeat(self.held == 0, size)
         #: Lexicon number of the token on the left; before a text stands the end token.
@@ -226,7 +227,8 @@ def exchange_round(classes: np.ndarray, counts: np.ndarray, right: np.ndarray, l
 
 #: Up to this count, what a count adds to each cell of the class table is looked up.
 _LOOKED_UP = 8
-_CHUNK = 1 << 19
+_FEW_KEYS = 6
+_CHUNK = 1 << 20
 
 
 def best_classes(now: np.ndarray, draw: np.ndarray, key: np.ndarray, n: np.ndarray, table: np.ndarray, movable: int) -> np.ndarray:
@@ -242,7 +244,7 @@ def best_classes(now: np.ndarray, draw: np.ndarray, key: np.ndarray, n: np.ndarr
     sides = [np.ascontiguousarray(table.T), table]  # [side][neighbour, class]
     logs = [_xlogx(x) for x in sides]
     sums = [table.sum(1), table.sum(0)]
-    seen = [np.stack([_xlogx(x + i) - l for i in range(_LOOKED_UP + 1)]) for x, l in zip(sides, logs, strict=True)]
+    seen = [np.concatenate([_xlogx(x + i) - l for i in range(_LOOKED_UP + 1)]) for x, l in zip(sides, logs, strict=True)]  # row count * k + neighbour
     step = max(1, _CHUNK // (2 * k * k))  # no word has more than 2 k keys
     cuts = [0]
     first = np.searchsorted(key, np.arange(len(now) + 1) * 2 * k)
@@ -257,16 +259,30 @@ def best_classes(now: np.ndarray, draw: np.ndarray, key: np.ndarray, n: np.ndarr
         for s in (0, 1):
             on = side == s
             w, c, m = word[on], j[on], x[on]
-            cells = seen[s][np.minimum(m, _LOOKED_UP), c]
-            more = np.flatnonzero(m > _LOOKED_UP)
-            cells[more] = _xlogx(sides[s][c[more]] + m[more, None]) - logs[s][c[more]]
-            # what a word adds to its own class is already in the table
-            at = np.flatnonzero(own[w] >= 0)
-            mine = own[w[at]]
-            cells[at, mine] = logs[s][c[at], mine] - _xlogx(np.maximum(sides[s][c[at], mine] - m[at], 0))
             begin = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, int)
-            if len(w):
-                gain[w[begin]] += np.add.reduceat(cells, begin)
+            size = np.diff(np.r_[begin, len(w)])
+
+            def cells(at: np.ndarray) -> np.ndarray:
+                """What the given keys add to each class."""
+                out = seen[s].take(np.minimum(m[at], _LOOKED_UP) * k + c[at], 0)
+                more = np.flatnonzero(m[at] > _LOOKED_UP)
+                if len(more):
+                    out[more] = _xlogx(sides[s][c[at[more]]] + m[at[more], None]) - logs[s][c[at[more]]]
+                # what a word adds to its own class is already in the table
+                held = np.flatnonzero(own[w[at]] >= 0)
+                keys, mine = at[held], own[w[at[held]]]
+                out[held, mine] = logs[s][c[keys], mine] - _xlogx(np.maximum(sides[s][c[keys], mine] - m[keys], 0))
+                return out
+
+            # most words have few keys: all first ones at once, then all second ones; the other words' keys are summed up
+            few = size <= _FEW_KEYS
+            for r in range(_FEW_KEYS):
+                at = begin[few & (size > r)] + r
+                if len(at):
+                    gain[w[at]] += cells(at)
+            if not few.all():
+                at = np.flatnonzero(np.repeat(~few, size))
+                gain[w[begin[~few]]] += np.add.reduceat(cells(at), np.r_[0, np.cumsum(size[~few])[:-1]])
             added = np.bincount(w, m, hi - lo)
             some, which = np.unique(added, return_inverse=True)
             less = (_xlogx(sums[s] + some[:, None]) - _xlogx(sums[s]))[which]
@@ -274,9 +290,13 @@ def best_classes(now: np.ndarray, draw: np.ndarray, key: np.ndarray, n: np.ndarr
             total = sums[s][own[at]]
             less[at, own[at]] = _xlogx(total) - _xlogx(np.maximum(total - added[at], 0))
             gain -= less
-        ties = np.cumsum(gain[:, :movable] >= gain[:, :movable].max(1, keepdims=True) - 1e-9, 1)
-        best = np.argmax(ties > (draw[lo:hi] % ties[:, -1].astype(np.uint64)).astype(np.int64)[:, None], 1)
         rows = np.arange(hi - lo)
+        best = np.argmax(gain[:, :movable], 1)
+        ties = gain[:, :movable] >= gain[rows, best][:, None] - 1e-9
+        several = np.flatnonzero(ties.sum(1) > 1)
+        if len(several):
+            order = np.cumsum(ties[several], 1)
+            best[several] = np.argmax(order > (draw[lo:hi][several] % order[:, -1].astype(np.uint64)).astype(np.int64)[:, None], 1)
         stay = (own >= 0) & ((own >= movable) | (gain[rows, best] <= gain[rows, own] + 1e-9))
         out[lo:hi] = np.where(stay, own, best)
     return out
@@ -327,11 +347,12 @@ def _exchanged(blocks: DataFrame, words, classes, table, shards: int, n_classes:
         seen = n > 0
         stats = np.concatenate([[seen.sum(), (n == 1).sum(), (n == 2).sum()], np.bincount(cls[seen], n[seen], n_classes), np.bincount(cls[seen], minlength=n_classes)]).astype("<i8")
         parts = [inverse[a:b] for a, b in zip(base[:-1], base[1:], strict=True)]
+        kind = "<u4" if n.max(initial=0) < 1 << 32 else "<i8"
         return pa.table(
             {
                 "block": pa.array([*(r["block"] for r in rows), -1], pa.int64()),
                 "shard": pa.array([*(r["shard"] for r in rows), rows[0]["shard"]], pa.int64()),
-                "n": pa.array([*(n[p].astype("<i8").tobytes() for p in parts), stats.tobytes()], pa.binary()),
+                "n": pa.array([*(n[p].astype(kind).tobytes() for p in parts), stats.tobytes()], pa.binary()),
                 "cls": pa.array([*(cls[p].astype("<u2").tobytes() for p in parts), None], pa.binary()),
             }
         )
@@ -359,9 +380,10 @@ def likelihood(table: np.ndarray) -> float:
 
 
 def _informed(s: Stream, row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(count, class) of each lexicon entry: the shards' slices, in order."""
+    """(count, class) of each lexicon entry: the shards' slices, in order. A shard writes counts in 4 bytes where they fit, else in 8."""
     info = row["info"]
-    return np.concatenate([np.frombuffer(i["n"], "<i8") for i in info]), np.concatenate([np.frombuffer(i["cls"], "<u2") for i in info]).astype(np.int64)
+    counts = [np.frombuffer(i["n"], "<u4" if len(i["n"]) == 2 * len(i["cls"]) else "<i8") for i in info]  # cls has 2 bytes each
+    return np.concatenate([c.astype(np.int64) for c in counts]), np.concatenate([np.frombuffer(i["cls"], "<u2") for i in info]).astype(np.int64)
 
 
 def _transitions(informed: DataFrame, n_classes: int) -> np.ndarray:
