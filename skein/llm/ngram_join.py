@@ -130,11 +130,11 @@ def _frequencies(rows: list[dict]) -> list[bytes]:
     """For each shingle of a block: a byte that grows with the number of sets that have it, 1 for one set. A set counts
     once in each block that has it, so copies may raise the number, by the same for all who see the shingle."""
     h = np.concatenate([widen(r["hashes"]) for r in rows])
-    count = np.concatenate([np.frombuffer(r["extra"], np.uint8) for r in rows]).astype(np.int64)
+    count = np.concatenate([np.frombuffer(r["extra"], np.uint8) for r in rows])
     order = np.argsort(h, kind="stable")
     s = h[order]
     begin = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    total = np.add.reduceat(count[order], begin)
+    total = np.add.reduceat(count[order], begin, dtype=np.int64)
     code = np.where(total <= 64, total, 64 + np.minimum(191, 8 * np.log2(total / 64))).astype(np.uint8)
     out = np.empty(len(h), np.uint8)
     out[order] = np.repeat(code, np.diff(np.r_[begin, len(s)]))
@@ -348,7 +348,7 @@ def _prepared(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[
     classes = scratch.store(classes, "classes")
     total = named.agg(F.sum("n")).first()[0]
     nodes = classes.groupBy("block").agg(F.collect_list("node").alias("nodes"))
-    met = _meetings(blocks, nodes, k, percent, texts.blocks_for(total, 4 << 20), scratch)
+    met = _meetings(blocks, nodes, k, percent, texts.blocks_for(total, 2 << 20), scratch)
     scratch.drop("blocks", "frequencies")
     meet = met.where("h is not null").drop("shingles")
     several = meet.groupBy("h").agg(F.count("*").alias("sets"), F.max("short").alias("some")).where("sets > 1 and some").drop("some")

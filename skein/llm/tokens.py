@@ -26,9 +26,9 @@ _STOP[[0x2C, 0x2E]] = True
 _SUSPECT = np.zeros(256, bool)
 _SUSPECT[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x3C, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Places for known units, 32 MB; a unit that falls to another's place takes it over.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 #: Ids of known units beyond which a worker starts again.
-POOL_IDS = 1 << 24
+POOL_IDS = 1 << 23
 #: Known units in a dictionary beyond which a worker starts again.
 CACHE_UNITS = 300_000
 #: Units that the library gets at a time.
