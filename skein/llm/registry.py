@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from skein.llm import brown_lm, chat_format, decontaminate, kd_search, ngram_join, packing, substring_dedup, token_counts, token_files, toxicity
+from skein.llm import brown_lm, chat_format, decontaminate, fill_middle, kd_search, ngram_join, packing, prefix_trie, substring_dedup, token_counts, token_files, toxicity, vector_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat_format.op8_chat_format,
         "op9_substring_dedup": substring_dedup.op9_substring_dedup,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_vector_packing": vector_packing.op11_vector_packing,
+        "op12_fill_middle": fill_middle.op12_fill_middle,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -34,4 +37,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
         "op8_chat_format": chat_format.OP8_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
+        "op12_fill_middle": fill_middle.OP12_SQL,
+        "op13_prefix_trie": prefix_trie.OP13_SQL,
     }
