@@ -78,33 +78,53 @@ def benjamini_hochberg(df: DataFrame, p: str, tie: str, q: float, m: Column | in
     return ranked.withColumn("accepted", F.coalesce(F.col("_i") <= cut, F.lit(False))).drop("_i")
 
 
+def _width(band: Column) -> Column:
+    """Degrees of latitude that one of longitude is worth at the poleward edge of a band; 0 near the poles, where all share one cell."""
+    edge = F.abs(band) + 2
+    return F.when(edge < 89, F.cos(F.radians(edge))).otherwise(0.0)
+
+
+def _reached(x: Column) -> Column:
+    """The cells, two units wide, within one unit of x."""
+    return F.sequence(F.floor((x - 1) / 2), F.floor((x + 1) / 2))
+
+
+def place_cell(lat: Column, lon: Column, metres: float) -> Column:
+    """struct<band,x,y>: the cell of a place, two units of `metres` wide. Longitude is counted by the width of the latitude
+    band of one degree."""
+    step, band = metres / 111_000.0, F.floor(lat)
+    return F.struct(band.alias("band"), F.floor(lon * _width(band) / step / 2).alias("x"), F.floor(lat / step / 2).alias("y"))
+
+
+def cells_around(lat: Column, lon: Column, metres: float) -> Column:
+    """array<struct<band,x,y>>: the cells of all places within `metres`: two at most of each direction, but at the edge of a
+    band and at 180 degrees, where a place is reached from the other side too."""
+    step = metres / 111_000.0
+
+    def of_band(band: Column) -> Column:
+        width = _width(band)
+        degrees = F.when(width > 0, step / width).otherwise(0.0)
+        beyond = F.filter(F.array(lon, lon - 360, lon + 360), lambda v: F.abs(v) <= 180 + degrees)
+        columns = F.array_distinct(F.flatten(F.transform(beyond, lambda v: _reached(v * width / step))))
+        return F.flatten(F.transform(columns, lambda x: F.transform(_reached(lat / step), lambda y: F.struct(band.alias("band"), x.alias("x"), y.alias("y")))))
+
+    return F.flatten(F.transform(F.sequence(F.floor(lat - step), F.floor(lat + step)), of_band))
+
+
 def near_pairs(left: DataFrame, right: DataFrame, metres: float, days: int | None = None) -> DataFrame:
     """Pairs (a_*, b_*) within `metres`, and `days` of each other, of rows (id, lat, lon, day).
 
-    Cells are twice as wide as the radius, in latitude, longitude and days, so the right side reaches into two
-    cells at most of each, and the join has equal keys. Longitude is counted by the width of the
-    latitude band of one degree; a row reaches a second band at a band's edge only. The exact distance is
-    checked last.
+    Cells are twice as wide as the radius, in place and days, so the right side reaches into two cells at most of each,
+    and the join has equal keys. The exact distance is checked last.
     """
-    step = metres / 111_000.0
-
-    def width(band: Column) -> Column:
-        return F.cos(F.radians(F.least(F.abs(band) + 2, F.lit(89.0))))
 
     def fields(df: DataFrame, p: str) -> DataFrame:
         u = F.datediff("day", F.lit("1970-01-01")) / F.lit(float(days or 1))
-        return df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "lat", "lon", "day")), (F.col("lat") / step).alias("v"), (u if days else F.lit(0.5)).alias("u"))
-
-    def reached(x: Column) -> Column:
-        """The cells, two units wide, within one unit of x."""
-        return F.explode(F.sequence(F.floor((x - 1) / 2), F.floor((x + 1) / 2)))
-
-    a = fields(left, "a").withColumn("band", F.floor("a_lat"))
-    a = a.select("*", F.floor(F.col("a_lon") * width(F.col("band")) / step / 2).alias("x"), F.floor(F.col("v") / 2).alias("y"), F.floor(F.col("u") / 2).alias("t")).drop("u", "v")
-    b = fields(right, "b").where("b_lat is not null and b_lon is not null")
-    b = b.withColumn("band", F.explode(F.sequence(F.floor(F.col("b_lat") - step), F.floor(F.col("b_lat") + step))))
-    b = b.withColumn("x", reached(F.col("b_lon") * width(F.col("band")) / step)).withColumn("y", reached(F.col("v")))
-    b = b.where("u is not null").withColumn("t", reached(F.col("u")) if days else F.lit(0).cast("long")).drop("u", "v")
+        return df.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "lat", "lon", "day")), (u if days else F.lit(0.5)).alias("u"))
+
+    a = fields(left, "a").withColumn("cell", place_cell(F.col("a_lat"), F.col("a_lon"), metres)).withColumn("t", F.floor(F.col("u") / 2)).select("*", "cell.*").drop("u", "cell")
+    b = fields(right, "b").where("b_lat is not null and b_lon is not null and u is not null")
+    b = b.withColumn("cell", F.explode(cells_around(F.col("b_lat"), F.col("b_lon"), metres))).withColumn("t", F.explode(_reached(F.col("u"))) if days else F.lit(0).cast("long")).select("*", "cell.*").drop("u", "cell")
     d = haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
     out = a.join(b, ["band", "x", "y", "t"]).where(F.col("a_id") != F.col("b_id")).withColumn("metres", d).where(F.col("metres") <= metres)
     if days:

@@ -175,13 +175,17 @@ def decide(pairs: DataFrame) -> DataFrame:
 def candidate_decisions(people: DataFrame, entities: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b) with both people's fields, their shared entities and the decision.
 
-    people (id, case_id, name, age, gender), entities (id, entity). Similarity is taken once for each distinct pair of names.
+    people (id, case_id, name, age, gender), entities (id, entity).
     """
     shared = shared_pairs(entities, "id", "entity")
     p = pairs.join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<string>")))
     for side in "ab":
         p = p.join(people.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("case_id", "name", "age", "gender"))), side)
-    p = p.withColumnsRenamed({"case_id_a": "case_a", "case_id_b": "case_b"})
+    return scored(p.withColumnsRenamed({"case_id_a": "case_a", "case_id_b": "case_b"}))
+
+
+def scored(p: DataFrame) -> DataFrame:
+    """decide() of pairs that have all but name_sim (name_a, name_b); similarity is taken once for each distinct pair of names."""
     sims = p.select("name_a", "name_b").distinct().withColumn("name_sim", names.name_similarity("name_a", "name_b"))
     p = p.join(sims, p.name_a.eqNullSafe(sims.name_a) & p.name_b.eqNullSafe(sims.name_b)).drop(sims.name_a).drop(sims.name_b)
     return decide(p.withColumn("name_sim", F.coalesce("name_sim", F.lit(0.0))))

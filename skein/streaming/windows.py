@@ -1,4 +1,4 @@
-"""Structured Streaming forms."""
+"""Windows, sessions and audit as streams."""
 
 from __future__ import annotations
 
@@ -8,48 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from skein.operators.components import connected_components
-
 
 def recent_counts(events: DataFrame, ts: str, group: str, kind: str, window: str = "30 days", slide: str = "1 day", late: str = "2 days") -> DataFrame:
     """Counts of (group, kind) in sliding windows, with late rows up to `late`."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, window, slide), group, kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), group, kind, "n")
 
 
-def near_repeat_stream(left: DataFrame, right: DataFrame, days: int = 42) -> DataFrame:
-    """Pairs of rows (id, cell, ts) of two streams in one cell and `days` of each other; state ends with the watermark."""
-    a = left.withWatermark("ts", f"{days} days").select(F.col("id").alias("a"), F.col("cell").alias("cell_a"), F.col("ts").alias("ts_a"))
-    b = right.withWatermark("ts", f"{days} days").select(F.col("id").alias("b"), F.col("cell").alias("cell_b"), F.col("ts").alias("ts_b"))
-    span = F.expr(f"interval {days} days")
-    return a.join(b, (F.col("cell_a") == F.col("cell_b")) & (F.col("a") != F.col("b")) & (F.col("ts_b") >= F.col("ts_a") - span) & (F.col("ts_b") <= F.col("ts_a") + span))
-
-
-class IncrementalResolver:
-    """New people are compared with stored blocks only, as a foreachBatch sink.
-
-    Tables of the folder, each appended once for a batch: keys (id, key), merges (a, b). A batch that
-    is written again replaces its own part, so a restart changes nothing. groups() gives the same
-    identities as a run over all people at once, as only shared evidence merges.
-    """
-
-    def __init__(self, folder: str, entities, decide):
-        """entities(people) -> (id, entity); decide(pairs) -> merges (a, b) of the given pairs."""
-        self.folder, self.entities, self.decide = folder, entities, decide
-
-    def __call__(self, people: DataFrame, batch: int) -> None:
-        spark = people.sparkSession
-        new = self.entities(people).select("id", "entity").distinct()
-        new.write.mode("overwrite").parquet(f"{self.folder}/keys/batch={batch}")
-        known = spark.read.parquet(f"{self.folder}/keys").where(F.col("batch") <= batch)
-        written = known.where(F.col("batch") == batch)
-        pairs = written.select("entity", F.col("id").alias("x")).join(known.select("entity", F.col("id").alias("y")), "entity").where("x <> y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        self.decide(pairs).select("a", "b").write.mode("overwrite").parquet(f"{self.folder}/merges/batch={batch}")
-
-    def groups(self, spark) -> DataFrame:
-        return connected_components(spark.read.parquet(f"{self.folder}/merges"))
-
-
 SESSION = "session string, turn long, case_id long"
 
 

@@ -150,18 +150,6 @@ def test_pdf_and_tokens():
     assert conversation.verify_token(t, b"k", 5)["user"] == "u" and conversation.verify_token(t, b"k", 11) is None and conversation.verify_token(t + "0", b"k", 5) is None
 
 
-def test_incremental_identities_equal_batch(spark, tmp_path):
-    from skein.streaming.windows import IncrementalResolver
-
-    rows = [(i, f"e{(i * 7) % 9}") for i in range(24)]
-    people = spark.createDataFrame(rows, "id long, entity string")
-    sink = IncrementalResolver(str(tmp_path / "er"), lambda p: p, lambda pairs: pairs)
-    for b in (0, 1, 1, 2):  # a batch that is replayed changes nothing
-        sink(people.where(F.col("id") % 3 == b), b)
-    batch = connected_components(graph.shared_pairs(people, "id", "entity"))
-    assert sorted(sink.groups(spark).collect()) == sorted(batch.collect())
-
-
 def ended(query, seconds=120):
     """Waits for a stream that has no more to do; one that never ends fails the test."""
     done = query.awaitTermination(seconds)
@@ -198,7 +186,7 @@ def test_streams_of_windows_pairs_and_audit(spark, tmp_path):
     import datetime
 
     from skein.operators import governance
-    from skein.streaming.windows import audit_sink, near_repeat_stream, recent_counts
+    from skein.streaming.windows import audit_sink, recent_counts
 
     day = datetime.timedelta(days=1)
     start = datetime.datetime(2026, 1, 1)
@@ -214,10 +202,6 @@ def test_streams_of_windows_pairs_and_audit(spark, tmp_path):
     batch = recent_counts(spark.read.parquet(str(tmp_path / "events")), "ts", "district", "crime", "10 days", "10 days")
     assert sorted(map(tuple, spark.table("recent").collect())) == sorted(map(tuple, batch.collect())) and batch.agg({"n": "sum"}).first()[0] == 100
 
-    pairs = near_repeat_stream(stream(), stream(), 5)
-    ended(pairs.writeStream.format("memory").queryName("near").outputMode("append").trigger(availableNow=True).start())
-    assert {(r.a, r.b) for r in spark.table("near").collect()} == {(i, j) for i in range(100) for j in range(100) if i != j and i % 3 == j % 3 and abs(i - j) <= 5}
-
     entries = spark.createDataFrame([(i, f"p{i}") for i in range(30)], "seq long, payload string")
     sink = audit_sink(str(tmp_path / "audit"))
     sink(entries.where("seq < 20"), 0)
