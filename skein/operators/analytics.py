@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skein.functions import stats
-from skein.operators.components import connected_components
+from skein.operators import greedy
 
 
 def emerging(rows: DataFrame, group: str, kind: str, day: str, window_days: int = 30, q: float = 0.10) -> DataFrame:
@@ -36,68 +35,31 @@ def near_repeats(cases: DataFrame, metres: float = 400, days: int = 42) -> DataF
     return pairs.select(F.col("a_id").alias("case_id"), F.col("b_id").alias("other"), F.round("metres", 2).alias("metres"), F.abs(F.datediff("a_day", "b_day")).alias("days"))
 
 
-def _greedy(order: list, linked: dict, least: int, accept) -> list[list]:
-    """Seeds in order take their unused neighbours; a group that accept() refuses leaves all unused."""
-    used, out = set(), []
-    for seed in order:
-        if seed in used:
-            continue
-        members = [seed] + [b for b in linked.get(seed, ()) if b not in used]
-        if len(members) >= least and accept(members):
-            used.update(members)
-            out.append(members)
-    return out
-
-
-def near_repeat_clusters(cases: DataFrame, metres: float = 400, days: int = 42, least: int = 3) -> DataFrame:
-    """Greedy clusters around the newest unused burglary; (cluster, size, lat, lon, first, last, until, status, cases).
-
-    A seed only takes burglaries near itself, so components of the near-pair graph are independent:
-    each is clustered in one task.
-    """
+def near_repeat_clusters(cases: DataFrame, metres: float = 400, days: int = 42, least: int = 3, small: int = greedy.SMALL_EDGES) -> DataFrame:
+    """Greedy clusters around the newest unused burglary; (cluster, size, lat, lon, first, last, until, status, cases)."""
     b = cases.where(F.lower("crime").contains("burglary"))
-    pairs = near_repeats(b, metres, days).where("case_id <> other")
-    comp = connected_components(pairs, "case_id", "other")
+    rows = b.select(F.col("case_id").alias("id"), "lat", "lon", F.to_date("registered").alias("day"))
+    pairs = near_repeats(b, metres, days).select(F.col("case_id").alias("a"), F.col("other").alias("b"))
+    newest = rows.select("id", (-F.datediff("day", F.lit("1970-01-01"))).alias("rank"))
+    members = greedy.greedy_groups(newest, pairs, least, small=small).withColumnRenamed("seed", "cluster").join(rows, "id")
     latest = cases.agg(F.max(F.to_date("registered")).alias("as_of"))
-    near = pairs.groupBy("case_id").agg(F.array_sort(F.collect_set("other")).alias("near"))
-    rows = b.select("case_id", "lat", "lon", F.to_date("registered").alias("day")).join(comp.withColumnRenamed("id", "case_id"), "case_id").join(near, "case_id")
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.set_index("case_id")
-        order = pdf.reset_index().sort_values(["day", "case_id"], ascending=[False, True])["case_id"].tolist()
-        groups = _greedy(order, pdf["near"].to_dict(), least, lambda m: True)
-        return pd.DataFrame([{"cluster": m[0], "case_id": c} for m in groups for c in m], columns=["cluster", "case_id"])
-
-    members = rows.groupBy("component").applyInPandas(cluster, "cluster long, case_id long").join(rows.drop("component", "near"), "case_id")
-    g = members.groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.avg("lat"), 5).alias("lat"), F.round(F.avg("lon"), 5).alias("lon"), F.min("day").alias("first"), F.max("day").alias("last"), F.array_sort(F.collect_list("case_id")).alias("cases"))
+    g = members.groupBy("cluster").agg(F.count("*").alias("size"), F.round(F.avg("lat"), 5).alias("lat"), F.round(F.avg("lon"), 5).alias("lon"), F.min("day").alias("first"), F.max("day").alias("last"), F.array_sort(F.collect_list("id")).alias("cases"))
     g = g.withColumn("until", F.date_add("last", days)).crossJoin(F.broadcast(latest))  # one row
     return g.withColumn("status", F.when(F.col("until") >= F.col("as_of"), "ACTIVE").otherwise("EXPIRED")).drop("as_of")
 
 
-def behaviour_clusters(tags: DataFrame, pairs: DataFrame, least: int = 3, discriminative: int = 2) -> DataFrame:
+def behaviour_clusters(tags: DataFrame, pairs: DataFrame, least: int = 3, discriminative: int = 2, small: int = greedy.SMALL_EDGES) -> DataFrame:
     """Greedy clusters of cases (case_id, tags) around the smallest unused one, by pairs (a, b) of the
     similarity; the tags shared by all must say how, not just when or what. (cluster, case_id, signature)."""
     wide = tags.where(F.size("tags") >= 3)
-    p = pairs.join(wide.select(F.col("case_id").alias("a")), "a", "left_semi").join(wide.select(F.col("case_id").alias("b")), "b", "left_semi")
-    comp = connected_components(p)
-    both = p.select("a", "b").union(p.select("b", "a"))
-    near = both.groupBy(F.col("a").alias("case_id")).agg(F.array_sort(F.collect_set("b")).alias("near"))
-    rows = wide.join(comp.withColumnRenamed("id", "case_id"), "case_id").join(near, "case_id")
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.set_index("case_id")
-        of = {c: frozenset(t) for c, t in pdf["tags"].items()}
-
-        def signature(members: list) -> list[str]:
-            return sorted(frozenset.intersection(*(of[m] for m in members)))
-
-        def says_how(members: list) -> bool:
-            return sum(t.startswith(("entry:", "tool:", "approach:")) for t in signature(members)) >= discriminative
-
-        groups = _greedy(sorted(of), pdf["near"].to_dict(), least, says_how)
-        return pd.DataFrame([{"cluster": min(m), "case_id": c, "signature": ",".join(signature(m))} for m in groups for c in m], columns=["cluster", "case_id", "signature"])
-
-    return rows.groupBy("component").applyInPandas(cluster, "cluster long, case_id long, signature string")
+    how = F.filter("tags", lambda t: t.startswith("entry:") | t.startswith("tool:") | t.startswith("approach:"))
+    both = pairs.select("a", "b").union(pairs.select("b", "a"))
+    groups = greedy.greedy_groups(wide.select(F.col("case_id").alias("id"), F.col("case_id").alias("rank"), how.alias("items")), both, least, discriminative, small)
+    named = groups.groupBy("seed").agg(F.min("id").alias("cluster"), F.count("*").alias("n"))
+    members = groups.join(named, "seed").withColumnRenamed("id", "case_id")
+    shared = members.join(wide.select("case_id", F.explode(F.array_distinct("tags")).alias("tag")), "case_id").groupBy("cluster", "tag", "n").agg(F.count("*").alias("c")).where("c = n")
+    signatures = shared.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_list("tag")), ",").alias("signature"))
+    return members.select("cluster", "case_id").join(signatures, "cluster")
 
 
 def tag_habits(tags: DataFrame, owner: str, share: float = 0.6) -> DataFrame:

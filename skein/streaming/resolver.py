@@ -175,8 +175,9 @@ class IncrementalResolver:
 
     def __call__(self, meetings: DataFrame, batch: int) -> None:
         """The foreachBatch sink; a batch that comes again replaces itself."""
-        place = f"{self.folder}/decisions/batch={batch}"
-        decisions(meetings).write.mode("overwrite").parquet(place)
+        met, place = f"{self.folder}/meetings/batch={batch}", f"{self.folder}/decisions/batch={batch}"
+        meetings.write.mode("overwrite").parquet(met)  # the stream's state is read once
+        decisions(meetings.sparkSession.read.schema(_PAIR).parquet(met)).write.mode("overwrite").parquet(place)
         made = meetings.sparkSession.read.parquet(place)
         self.components.add(made.where("verdict = 'merge'"), batch)
 

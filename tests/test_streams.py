@@ -84,7 +84,7 @@ def test_elevated_risk_expires(spark, tmp_path):
 
 @pytest.mark.parametrize("seed", [7, 11, 13])
 def test_incremental_identities_equal_batch(spark, tmp_path, seed):
-    c = fixtures.corpus(spark, 60, seed)
+    c = fixtures.corpus(spark, 36, seed)
     own = graph.evidence(c["cases"]).where("entity not like 'FinancialAccount:%'").groupBy("case_id").agg(F.collect_set("entity").alias("entities"))
     people = c["accused"].join(own, "case_id", "left").select(F.col("accused_id").alias("id"), "case_id", "name", "age", "gender", "entities")
     people = people.union(people.where("id % 9 = 0"))  # some come twice
