@@ -325,3 +325,26 @@ def test_tfidf_with_bigrams(spark, tmp_path):
         order = sorted((i for i in docs if s[i] > 0), key=lambda i: (-round(s[i], 6), i))[:5]
         best += [(q, i, n + 1) for n, i in enumerate(order)]
     assert sorted((r.query, r.id, r.rank) for r in run("k01_k02_top_similar_bigrams")) == sorted(best)
+
+
+@pytest.mark.parametrize("digits", [6, 2])
+def test_impact_index_gives_the_top_of_all(spark, digits):
+    """Texts with rare and common words, near copies and ties; every document is a query."""
+    import bisect
+
+    rng = random.Random(21)
+    sums = list(itertools.accumulate(1 / (i + 1) for i in range(3000)))
+    word = lambda: f"w{bisect.bisect(sums, rng.random() * sums[-1])}"
+    texts = [" ".join(word() for _ in range(rng.randint(3, 60))) for _ in range(250)]
+    texts += [t + f" extra{i % 3}" for i, t in enumerate(texts[:120])] * 2 + ["alone in here", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    v, _ = retrieval.tfidf(docs, bigrams=False)
+    v = v.persist()
+    plain = sorted(map(tuple, retrieval.top_cosine(v, v, 4, digits).select("query", "id", "score", "rank").collect()))
+    assert sorted(map(tuple, retrieval.top_by_impact(v, v, 4, digits).select("query", "id", "score", "rank").collect())) == plain
+    if digits == 6:
+        from skein import session
+
+        root = session._ROOTS[-1][1]
+        met = spark.read.parquet(f"{root}/taken").join(spark.read.parquet(f"{root}/postings"), ["term", "level"]).count()
+        assert met < 0.5 * retrieval.rows_met(v, v)
