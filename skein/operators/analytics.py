@@ -173,7 +173,8 @@ def risk(offences: DataFrame, degrees: DataFrame, as_of: DataFrame | None = None
         "co_offenders": F.least(F.lit(1.0), F.col("co") / 4.0),
     }
     g = g.withColumns({k: F.round(v, 3) for k, v in factors.items()})
-    score = F.round(sum((w * F.col(k) for k, w in WEIGHTS.items()), F.lit(0.0)), 1)
+    # the sum's last binary digits must not decide a half
+    score = F.round(F.round(sum((w * F.col(k) for k, w in WEIGHTS.items()), F.lit(0.0)), 6), 1)
     band = F.when(F.col("score") >= BANDS[0][0], BANDS[0][1]).when(F.col("score") >= BANDS[1][0], BANDS[1][1]).otherwise("LOW")
     return g.withColumn("score", score).withColumn("band", band).select("identity", F.col("n").alias("n_cases"), *WEIGHTS, "score", "band")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skein.functions import names, stats, text as T
 from skein.operators.components import connected_components
+from skein.session import Scratch
 
 # The labels and relations that a graph may have.
 LABELS = ["FIR", "Person", "Location", "PoliceStation", "District", "Section", "Victim", "Complainant", "Phone", "Vehicle", "FinancialAccount"]
@@ -209,6 +210,10 @@ def pair_scores(found: DataFrame, truth: DataFrame) -> DataFrame:
     f, t = found.select("a", "b").distinct(), truth.select("a", "b").distinct()
     both = f.withColumn("f", F.lit(1)).join(t.withColumn("t", F.lit(1)), ["a", "b"], "full")
     s = both.agg(F.count_if(F.col("f").isNotNull() & F.col("t").isNotNull()).alias("tp"), F.count_if(F.col("t").isNull()).alias("fp"), F.count_if(F.col("f").isNull()).alias("fn"))
+    return _ratios(s)
+
+
+def _ratios(s: DataFrame) -> DataFrame:
     p = F.when(F.col("tp") + F.col("fp") == 0, 1.0).otherwise(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")))
     r = F.when(F.col("tp") + F.col("fn") == 0, 1.0).otherwise(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")))
     s = s.withColumns({"precision": p, "recall": r})
@@ -225,14 +230,68 @@ def same_name_pairs(people: DataFrame, name: str = "name") -> DataFrame:
     return people.groupBy(F.lower(F.trim(name)).alias("name")).agg(F.count("*").alias("n")).select("name", "n", F.expr("n * (n - 1) div 2").alias("pairs"))
 
 
-def fuzzy_groups(people: DataFrame, threshold: float) -> DataFrame:
-    """The baseline: equal Soundex of the first token, Jaro-Winkler of the names, union-find."""
-    first = F.element_at(F.split(F.lower(F.trim("name")), r"\s+"), 1)
-    p = people.select("id", F.lower(F.trim("name")).alias("name"), F.array(F.soundex(F.regexp_replace(first, "[^a-z]", ""))).alias("keys"))
-    pairs = block_pairs(p, F.col("keys"), 2**31 - 1)
-    both = pairs.join(p.select(F.col("id").alias("a"), F.col("name").alias("x")), "a").join(p.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
-    sims = both.select("x", "y").distinct().withColumn("s", names.jaro_winkler("x", "y")).where(F.col("s") >= threshold)
-    return connected_components(both.join(sims, ["x", "y"]))
+#: The thresholds of the sweep.
+SWEEP = [0.80, 0.85, 0.88, 0.90, 0.92, 0.95]
+
+
+def name_edges(people: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(names (id, name), edges (a, b, s)): distinct names of rows (id, name), each by the smallest id that has it, and the
+    pairs of them with equal Soundex of the first token and a Jaro-Winkler similarity of `least` or more."""
+    names_ = people.where("name is not null").groupBy(F.lower(F.trim("name")).alias("name")).agg(F.min("id").alias("id"))
+    first = F.element_at(F.split("name", r"\s+"), 1)
+    p = names_.select("id", "name", F.soundex(F.regexp_replace(first, "[^a-z]", "")).alias("key"))
+    both = p.select("key", F.col("id").alias("a"), F.col("name").alias("x")).join(p.select("key", F.col("id").alias("b"), F.col("name").alias("y")), "key").where("a < b")
+    return names_, both.withColumn("s", names.jaro_winkler("x", "y")).where(F.col("s") >= least).select("a", "b", "s")
+
+
+def strongest_forest(edges: DataFrame) -> DataFrame:
+    """The spanning forest of largest similarity of edges (a, b, s), by Boruvka's rounds: every component takes its strongest
+    edge to another one (ties to the smaller ends), and of the edges between two components only the strongest goes on.
+    At any threshold, the forest's edges from there on have the components of all edges from there on."""
+    scratch = Scratch(edges.sparkSession, "forest")
+    e = scratch.store(edges.where("a <> b").select("a", "b", "s", F.col("a").alias("x"), F.col("b").alias("y")), "e0")
+    taken, i = [], 0
+    key = F.struct(F.col("s"), -F.least("a", "b"), -F.greatest("a", "b"), F.col("a"), F.col("b"), F.col("x"), F.col("y"))
+    while not e.isEmpty():
+        best = e.select(F.col("x").alias("c"), key.alias("k")).union(e.select(F.col("y").alias("c"), key.alias("k"))).groupBy("c").agg(F.max("k").alias("k"))
+        best = scratch.store(best.select("k.s", "k.a", "k.b", "k.x", "k.y").distinct(), f"best{i}")
+        taken.append(best.select("a", "b", "s"))
+        comp = scratch.store(connected_components(best, "x", "y"), f"comp{i}")
+        cx, cy = comp.select(F.col("id").alias("x"), F.col("component").alias("cx")), comp.select(F.col("id").alias("y"), F.col("component").alias("cy"))
+        moved = e.join(cx, "x").join(cy, "y").where("cx <> cy").select("a", "b", "s", F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y"))
+        i += 1
+        e = scratch.store(moved.groupBy("x", "y").agg(F.max(F.struct(F.col("s"), -F.least("a", "b"), -F.greatest("a", "b"), F.col("a"), F.col("b"))).alias("k")).select("k.a", "k.b", "k.s", "x", "y"), f"e{i}")
+        scratch.drop(f"e{i - 1}")
+    empty = edges.sparkSession.createDataFrame([], "a long, b long, s double")
+    return reduce(DataFrame.union, taken, empty).distinct()
+
+
+def components_by_threshold(forest: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, id, component) of the forest's vertices with an edge from the threshold on; all thresholds in one run."""
+    n = len(thresholds)
+    levels = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(thresholds)))
+    e = forest.select("a", "b", "s", F.explode(levels).alias("l")).where(F.col("s") >= F.col("l.t"))
+    comp = connected_components(e.select((F.col("a") * n + F.col("l.i")).alias("a"), (F.col("b") * n + F.col("l.i")).alias("b")))
+    at = F.element_at(F.array(*map(F.lit, thresholds)), (F.pmod("id", F.lit(n)) + 1).cast("int"))
+    return comp.select(at.alias("threshold"), F.floor(F.col("id") / n).alias("id"), F.floor(F.col("component") / n).alias("component"))
+
+
+def fuzzy_sweep(people: DataFrame, thresholds: list[float] | None = None) -> DataFrame:
+    """(threshold, tp, fp, fn, precision, recall, f1) of grouping rows (id, name, true_person) by names alone: Soundex
+    blocks, Jaro-Winkler, union-find. One forest answers all thresholds, and pairs are counted by class, not formed."""
+    thresholds = thresholds or SWEEP
+    scratch = Scratch(people.sparkSession, "sweep")
+    named, edges = name_edges(people, min(thresholds))
+    named, forest = scratch.store(named, "names"), scratch.store(strongest_forest(scratch.store(edges, "edges")), "forest")
+    comp = scratch.store(components_by_threshold(forest, thresholds), "components")
+    counts = people.groupBy(F.lower(F.trim("name")).alias("name"), "true_person").agg(F.count("*").alias("n")).join(named, "name")
+    every = counts.select("id", "true_person", "n", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).join(comp, ["threshold", "id"], "left").withColumn("c", F.coalesce("component", "id"))
+    both = every.groupBy("threshold", "c", "true_person").agg(F.sum("n").alias("n"))
+    tp = both.groupBy("threshold").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("tp"))
+    found = both.groupBy("threshold", "c").agg(F.sum("n").alias("n")).groupBy("threshold").agg(F.sum(F.expr("n * (n - 1) div 2")).alias("found"))
+    truth = people.groupBy("true_person").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0).cast("long")).alias("truth"))
+    s = tp.join(found, "threshold").crossJoin(F.broadcast(truth))  # one row
+    return _ratios(s.select("threshold", "tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("truth") - F.col("tp")).alias("fn")))
 
 
 def degree(edges: DataFrame, groups: DataFrame) -> DataFrame:

@@ -342,12 +342,12 @@ WITH o AS (SELECT station_id AS identity, case_id, day, CAST(substr(gravity, 1,
 """
 
 
-@query("m08_risk_scores", RISK + "SELECT *, CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT *, round(30 * prior + 20 * escalation + 15 * centrality + 15 * recency + 10 * spread + 10 * co_offenders, 1) AS score FROM f)")
+@query("m08_risk_scores", RISK + "SELECT *, CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM (SELECT *, round(round(30 * prior + 20 * escalation + 15 * centrality + 15 * recency + 10 * spread + 10 * co_offenders, 6), 1) AS score FROM f)")
 def m08(t):
     return _risk(t)
 
 
-@query("k04_ranked_offenders", RISK + "SELECT identity, score FROM (SELECT identity, n_cases, round(30 * prior + 20 * escalation + 15 * centrality + 15 * recency + 10 * spread, 1) AS score FROM f) WHERE n_cases >= 2 ORDER BY score DESC, identity LIMIT 20")
+@query("k04_ranked_offenders", RISK + "SELECT identity, score FROM (SELECT identity, n_cases, round(round(30 * prior + 20 * escalation + 15 * centrality + 15 * recency + 10 * spread, 6), 1) AS score FROM f) WHERE n_cases >= 2 ORDER BY score DESC, identity LIMIT 20")
 def k04(t):
     return _risk(t).where("n_cases >= 2").orderBy(F.desc("score"), "identity").limit(20).select("identity", "score")
 

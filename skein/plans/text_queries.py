@@ -1,16 +1,14 @@
 """Queries of text, retrieval, conversation and outcome operators over documents, conversations and embeddings,
-and of the whole incident pipeline over the seeded corpus."""
+and of the whole incident pipeline over the corpus that the star tables hold."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skein.functions import text as T
-from skein.operators import analytics, conversation, governance, graph, retrieval
-from skein.plans import brief
+from skein.operators import analytics, conversation, governance, graph, retrieval, search
+from skein.plans import brief, derived
 from skein.plans.registry import Tables, query
-from skein.session import Scratch
-from skein.sources import fixtures
 
 EMAIL = r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+"
 PHONE = r"\(\d{3}\) \d{3}-\d{4}"
@@ -203,73 +201,105 @@ def a15(t):
     return g.select("kind", "s", "u", F.round(lift, 6).alias("lift"))
 
 
-# --- the seeded incident corpus: its size is the number of customers -------------------------------------
-
-
-def _corpus(t: Tables) -> dict[str, DataFrame]:
-    """Written once: its columns are long expressions, which every use would work out again."""
-    scratch = Scratch(t.spark, "corpus")
-    return {name: scratch.store(df, name) for name, df in fixtures.corpus(t.spark, t.customer.count()).items()}
+# --- the incident corpus that the star tables hold ----------------------------------------------------------
 
 
 def _resolved(t: Tables):
-    c = _corpus(t)
+    c = derived.corpus(t)
     return c, *graph.resolve(c["cases"], c["accused"])
 
 
-@query("s04_incident_corpus")
+def _graph(t: Tables):
+    c = derived.corpus(t)
+    return graph.build_graph(c["cases"], c["accused"], c["complainants"], c["victims"], c["sections"])
+
+
+@query("s04_incident_corpus", f"WITH {derived.CORPUS} SELECT case_id, district, station_id, crime, gravity, status, CAST(registered AS VARCHAR) AS registered, round(lat, 6) AS lat, round(lon, 6) AS lon, coalesce(n, 0) AS mentions FROM cases LEFT JOIN (SELECT case_id, count(*) AS n FROM ev GROUP BY 1) USING (case_id)")
 def s04(t):
-    return _corpus(t)["cases"].withColumn("occurred", F.col("occurred").cast("string"))
+    c = derived.corpus(t)["cases"]
+    n = graph.evidence(c).groupBy("case_id").agg(F.count("*").alias("mentions"))
+    return c.join(n, "case_id", "left").select("case_id", "district", "station_id", "crime", "gravity", "status", F.col("registered").cast("string").alias("registered"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.coalesce("mentions", F.lit(0).cast("long")).alias("mentions"))
+
+
+SECTIONS = "SELECT DISTINCT l_orderkey AS case_id, 300 + l_linenumber AS section FROM lineitem WHERE l_linenumber > 2 AND l_orderkey IN (SELECT case_id FROM cases)"
 
 
-@query("g02_graph_nodes")
+@query("g02_graph_nodes", f"""WITH {derived.CORPUS}
+SELECT unnest(['FIR', 'Location', 'Victim', 'Complainant']) AS label, (SELECT count(*) FROM cases) AS n UNION ALL SELECT 'PoliceStation', count(DISTINCT station_id) FROM cases UNION ALL SELECT 'District', count(DISTINCT district) FROM cases
+ UNION ALL SELECT 'Person', count(*) FROM people UNION ALL SELECT split_part(entity, ':', 1), count(DISTINCT entity) FROM ev GROUP BY 1 UNION ALL SELECT 'Section', count(DISTINCT section) FROM ({SECTIONS})""")
 def g02(t):
-    c = _corpus(t)
-    return graph.build_graph(c["cases"], c["accused"], c["complainants"], c["victims"], c["sections"])[0].groupBy("label").agg(F.count("*").alias("n"))
+    return _graph(t)[0].groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("g03_graph_edges")
+@query("g03_graph_edges", f"""WITH {derived.CORPUS}
+SELECT unnest(['OCCURRED_AT', 'REGISTERED_AT', 'VICTIM_IN', 'COMPLAINANT_IN']) AS rel, (SELECT count(*) FROM cases) AS n UNION ALL SELECT 'IN_DISTRICT', count(*) FROM (SELECT DISTINCT station_id, district FROM cases)
+ UNION ALL SELECT 'ACCUSED_IN', count(*) FROM people UNION ALL SELECT 'CHARGED_UNDER', count(*) FROM ({SECTIONS})
+ UNION ALL SELECT CASE split_part(entity, ':', 1) WHEN 'Phone' THEN 'USED_PHONE' WHEN 'Vehicle' THEN 'VEHICLE_SEEN' ELSE 'TRANSACTED_VIA' END, count(*) FROM ev GROUP BY 1
+ UNION ALL SELECT CASE split_part(entity, ':', 1) WHEN 'Phone' THEN 'PERSON_USED_PHONE' ELSE 'OWNS_VEHICLE' END, count(*) FROM ev JOIN people USING (case_id) WHERE entity NOT LIKE 'FinancialAccount:%' GROUP BY 1""")
 def g03(t):
-    c = _corpus(t)
-    return graph.build_graph(c["cases"], c["accused"], c["complainants"], c["victims"], c["sections"])[1].groupBy("rel").agg(F.count("*").alias("n"))
+    return _graph(t)[1].groupBy("rel").agg(F.count("*").alias("n"))
 
 
-@query("g05_resolved_identities")
+@query("g05_resolved_identities", f"WITH RECURSIVE {derived.IDENTITIES} SELECT id, component FROM ids")
 def g05(t):
     return _resolved(t)[2]
 
 
-@query("g05_er_scores")
+SCORES = "SELECT {t}tp, fp, fn, CASE WHEN tp + fp = 0 THEN 1.0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0 ELSE tp / (tp + fn) END AS recall, CASE WHEN tp = 0 THEN 0.0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1"
+
+
+@query("g05_er_scores", f"""WITH RECURSIVE {derived.IDENTITIES},
+ f AS (SELECT x.id AS a, y.id AS b FROM ids x JOIN ids y ON x.component = y.component AND x.id < y.id), g AS (SELECT x.id AS a, y.id AS b FROM people x JOIN people y ON x.part = y.part AND x.id < y.id),
+ s AS (SELECT (SELECT count(*) FROM (FROM f INTERSECT FROM g)) AS tp, (SELECT count(*) FROM (FROM f EXCEPT FROM g)) AS fp, (SELECT count(*) FROM (FROM g EXCEPT FROM f)) AS fn)
+{SCORES.format(t="")} FROM s""")
 def g05s(t):
     c, _, groups = _resolved(t)
     return graph.pair_scores(graph.pairs_within(groups, "id", "component"), graph.pairs_within(c["truth"], "accused_id", "true_person"))
 
 
-@query("g10_fuzzy_baseline")
+# Soundex by its letters: digits of a word, h and w left out, runs as one, vowels left out
+_DIGITS = "translate(replace(replace(upper(regexp_replace(split_part(lower(trim(name)), ' ', 1), '[^a-z]', '', 'g')), 'H', ''), 'W', ''), 'BFPVCGJKQSXZDTLMNRAEIOUY', '111122222222334556000000')"
+for _d in "0123456":
+    _DIGITS = f"regexp_replace({_DIGITS}, '{_d}+', '{_d}', 'g')"
+_SOUNDEX = f"upper(name[1]) || rpad(left(replace(CASE WHEN upper(name[1]) IN ('H', 'W') THEN d ELSE d[2:] END, '0', ''), 3), 3, '0')"
+
+
+@query("g10_fuzzy_baseline", f"""WITH RECURSIVE {derived.CORPUS}, th(t) AS (VALUES (0.80), (0.85), (0.88), (0.90), (0.92), (0.95)),
+ nd AS (SELECT lower(trim(name)) AS name, count(*) AS n, {_DIGITS} AS d FROM people GROUP BY ALL), nm AS (SELECT name, n, {_SOUNDEX} AS k FROM nd),
+ ed AS (SELECT x.name AS a, y.name AS b, jaro_winkler_similarity(x.name, y.name) AS s FROM nm x JOIN nm y ON x.k = y.k),
+ re AS (SELECT t, name, name AS m FROM nm, th UNION SELECT re.t, re.name, ed.b FROM re JOIN ed ON re.m = ed.a AND ed.s >= re.t),
+ co AS (SELECT t, name, min(m) AS c FROM re GROUP BY ALL),
+ f AS (SELECT t, c, count(*) AS n FROM co JOIN people ON lower(trim(people.name)) = co.name GROUP BY ALL), h AS (SELECT t, c, part, count(*) AS n FROM co JOIN people ON lower(trim(people.name)) = co.name GROUP BY ALL),
+ g AS (SELECT sum(n * (n - 1) // 2) AS truth FROM (SELECT part, count(*) AS n FROM people GROUP BY 1)),
+ q AS (SELECT t, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS found FROM f GROUP BY 1), r AS (SELECT t, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS tp FROM h GROUP BY 1),
+ s AS (SELECT CAST(t AS DOUBLE) AS threshold, tp, found - tp AS fp, CAST(truth AS BIGINT) - tp AS fn FROM q JOIN r USING (t), g)
+{SCORES.format(t="threshold, ")} FROM s""")
 def g10(t):
-    c = _corpus(t)
-    groups = graph.fuzzy_groups(c["accused"].withColumn("id", F.col("accused_id")), 0.9)
-    return graph.pair_scores(graph.pairs_within(groups, "id", "component"), graph.pairs_within(c["truth"], "accused_id", "true_person"))
+    c = derived.corpus(t)
+    people = c["accused"].join(c["truth"], "accused_id").select(F.col("accused_id").alias("id"), "name", "true_person")
+    return graph.fuzzy_sweep(people)
 
 
 @query("g14_behaviour_clusters")
 def g14(t):
-    c = _corpus(t)["cases"]
+    c = derived.corpus(t)["cases"]
     tags = c.select("case_id", F.array_compact(F.array_append(T.lexicon_tags(F.col("facts")), T.time_of_day(F.col("occurred")))).alias("tags"))
-    pairs = retrieval.jaccard_pairs(tags.where("size(tags) >= 3").select(F.col("case_id").alias("id"), F.explode("tags").alias("item")), 0.7)
-    return analytics.behaviour_clusters(tags, pairs)
+    # cases with one and the same set of tags are peers of each other; one of each set and district stands for it
+    wide = tags.where("size(tags) >= 3").join(c.select("case_id", "district"), "case_id").groupBy("tags", "district").agg(F.min("case_id").alias("case_id")).select("case_id", "tags")
+    pairs = retrieval.jaccard_pairs(wide.select(F.col("case_id").alias("id"), F.explode("tags").alias("item")), 0.7)
+    return analytics.behaviour_clusters(wide, pairs)
 
 
-@query("g15_reasoning_graph")
+@query("g15_reasoning_graph", f"WITH RECURSIVE {derived.IDENTITIES} SELECT component, entity, count(DISTINCT id) AS members, string_agg(DISTINCT CAST(case_id AS VARCHAR), ',' ORDER BY CAST(case_id AS VARCHAR)) AS cases, count(DISTINCT id) >= 2 AS corroborated FROM ids JOIN people USING (id) JOIN ev USING (case_id) GROUP BY 1, 2")
 def g15(t):
     c, _, groups = _resolved(t)
-    return graph.reasoning_graph(c["accused"], graph.evidence(c["cases"]), groups).withColumn("cases", F.array_join("cases", ","))
+    return graph.reasoning_graph(c["accused"], graph.evidence(c["cases"]), groups).withColumn("cases", F.array_join(F.array_sort(F.col("cases").cast("array<string>")), ","))
 
 
-@query("j10_identity_history")
+@query("j10_identity_history", f"WITH RECURSIVE {derived.IDENTITIES}, h AS (SELECT identity, string_agg(DISTINCT CAST(case_id AS VARCHAR), ',' ORDER BY CAST(case_id AS VARCHAR)) AS cases FROM who GROUP BY 1) SELECT id AS accused_id, identity, resolved, cases FROM who JOIN h USING (identity)")
 def j10(t):
     c, _, groups = _resolved(t)
-    return graph.identity_history(c["accused"], groups).withColumn("cases", F.array_join("cases", ","))
+    return graph.identity_history(c["accused"], groups).withColumn("cases", F.array_join(F.array_sort(F.col("cases").cast("array<string>")), ","))
 
 
 @query("q01_briefs")
@@ -281,31 +311,68 @@ def q01(t):
 @query("q03_k05_person_search")
 def q03(t):
     c, _, groups = _resolved(t)
-    return brief.person_search(c["accused"], "Prakash Rao", groups)
+    queries = t.part.select(F.lower("p_name").alias("query")).distinct()
+    return search.person_searches(c["accused"], queries, groups)
 
 
-@query("q21_timelines")
+TIMELINE = f"""WITH RECURSIVE {derived.IDENTITIES},
+ lk AS (SELECT DISTINCT x.case_id, y.case_id AS other, y.name FROM (SELECT * FROM who WHERE resolved) x JOIN (SELECT * FROM who WHERE resolved) y ON x.identity = y.identity AND x.case_id <> y.case_id),
+ e AS (SELECT case_id, CAST(registered AS TIMESTAMP) + to_hours(case_id % 24) AS ts, 0 AS place, 'INCIDENT' AS kind, 'Offence occurred ' || lpad(CAST(case_id % 24 AS VARCHAR), 2, '0') || ':00' AS what FROM cases
+  UNION ALL SELECT case_id, CAST(registered AS TIMESTAMP), 2, 'FIR REGISTERED', 'FIR ' || case_id || ' registered' FROM cases
+  UNION ALL SELECT case_id, CAST(registered + CAST(case_id % 30 AS INTEGER) AS TIMESTAMP), 3, 'ARREST', name || ' arrested' FROM people JOIN cases USING (case_id) WHERE line = 2
+  UNION ALL SELECT lk.case_id, CAST(c.registered AS TIMESTAMP), 5, 'LINKED PRIOR OFFENCE', 'Same person (' || name || ') in FIR ' || other FROM lk JOIN cases c ON c.case_id = other)
+SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY CAST(ts AS DATE), place, ts, what) AS INTEGER) AS position, strftime(ts, '%Y-%m-%d %H:%M:%S') AS "at", kind, what FROM e
+"""
+
+
+@query("q21_timelines", TIMELINE)
 def q21(t):
     c, _, groups = _resolved(t)
     return governance.timeline(c["cases"], c["accused"], c["arrests"], groups).select("case_id", "position", F.col("at").cast("string").alias("at"), "kind", "what")
 
 
-@query("q14_k09_ranked_in_scope")
-def q14(t):
-    from skein.operators.relational import scope_of
-
+def _scored(t: Tables):
     c, _, groups = _resolved(t)
     who = graph.identity_history(c["accused"], groups).select("accused_id", "identity")
     o = c["accused"].join(who, "accused_id").join(c["cases"], "case_id").select("identity", "case_id", F.col("registered").alias("day"), "gravity", "district")
     edges = graph.build_graph(c["cases"], c["accused"])[1]
     degrees = graph.degree(edges, who.select(F.col("accused_id").alias("id"), F.col("identity").alias("component"))).withColumnRenamed("component", "identity")
-    return brief.ranked_offenders(analytics.risk(o, degrees), o, scope_of(c["cases"], "district_sp", district="Bengaluru Urban"))
+    return c, o, analytics.risk(o, degrees)
+
+
+RISKS = f"""WITH RECURSIVE {derived.IDENTITIES},
+ o AS (SELECT identity, case_id, registered AS day, gravity, district FROM who JOIN cases USING (case_id)), m AS (SELECT max(day) AS as_of FROM o),
+ co AS (SELECT x.identity, count(DISTINCT y.identity) AS co FROM o x JOIN o y ON x.case_id = y.case_id AND x.identity <> y.identity GROUP BY 1),
+ dg AS (SELECT identity, count(*) AS degree FROM (SELECT identity FROM who UNION ALL SELECT identity FROM who JOIN ev USING (case_id) WHERE entity NOT LIKE 'FinancialAccount:%') GROUP BY 1),
+ g AS (SELECT identity, count(DISTINCT case_id) AS n, count(DISTINCT district) AS d, arg_min(gravity, (day, gravity, case_id)) AS g1, arg_max(gravity, (day, gravity, case_id)) AS g2, max(day) AS l FROM o GROUP BY 1),
+ f AS (SELECT identity, n AS n_cases, round(CASE WHEN n > 1 THEN least(1.0, ln(n) / ln(5)) ELSE 0.0 END, 3) AS prior, round(CASE WHEN n < 2 THEN 0.0 WHEN g1 > g2 THEN least(1.0, (g1 - g2) / 2) WHEN g1 < g2 THEN 0.0 ELSE 0.35 END, 3) AS escalation,
+  round(least(1.0, coalesce(degree, 0) / 12), 3) AS centrality, round(greatest(0.0, 1 - date_diff('day', l, as_of) / 180), 3) AS recency, round(CASE WHEN d > 1 THEN least(1.0, (d - 1) / 2) ELSE 0.0 END, 3) AS spread, round(least(1.0, coalesce(co, 0) / 4), 3) AS co_offenders
+  FROM g LEFT JOIN co USING (identity) LEFT JOIN dg USING (identity), m),
+ sc AS (SELECT *, round(round(30 * prior + 20 * escalation + 15 * centrality + 15 * recency + 10 * spread + 10 * co_offenders, 6), 1) AS score FROM f)
+"""
+
+
+@query("j18_risk_of_identities", RISKS + "SELECT *, CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM sc")
+def j18(t):
+    return _scored(t)[2]
+
+
+@query("q14_k09_ranked_in_scope", RISKS + """, tp AS (SELECT * FROM sc WHERE n_cases >= 2 ORDER BY score DESC, identity LIMIT 50),
+ sn AS (SELECT identity, count(DISTINCT case_id) AS seen FROM o WHERE district IN ('NATION_3', 'NATION_4', 'NATION_5') GROUP BY 1)
+SELECT tp.*, CASE WHEN score >= 70 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS band, seen, n_cases - seen AS redacted FROM tp JOIN sn USING (identity) ORDER BY score DESC, identity LIMIT 10""")
+def q14(t):
+    c, o, scores = _scored(t)
+    return brief.ranked_offenders(scores, o, c["cases"].where(F.col("district").isin("NATION_3", "NATION_4", "NATION_5")))
 
 
-@query("q20_report_drafts")
+@query("q20_report_drafts", f"""WITH RECURSIVE {derived.IDENTITIES}, h AS (SELECT DISTINCT split_part(entity, ':', 2) AS account, case_id FROM ev WHERE entity LIKE 'FinancialAccount:%'),
+ i AS (SELECT DISTINCT account, identity FROM h JOIN who USING (case_id) WHERE resolved), r AS (SELECT account, case_id FROM h UNION SELECT account, case_id FROM i JOIN who USING (identity)),
+ f AS (SELECT account, count(DISTINCT district) AS d FROM r JOIN cases USING (case_id) GROUP BY 1), n AS (SELECT account, count(*) AS n FROM h GROUP BY 1), k AS (SELECT account, count(*) AS k FROM i GROUP BY 1),
+ x AS (SELECT account, n, coalesce(k, 0) AS k, d FROM n JOIN f USING (account) LEFT JOIN k USING (account))
+SELECT account, upper(substr(sha256(account), 1, 10)) AS reference, n AS n_cases, CASE WHEN n >= 3 AND k = 1 THEN 'fan-in / collection' WHEN n >= 3 AND k = 0 THEN 'no resolved controller: requires human review' WHEN n >= 2 AND d >= 2 THEN 'cross-district money trail' ELSE 'multi-case account' END AS pattern FROM x WHERE n >= 2""")
 def q20(t):
     c, _, groups = _resolved(t)
-    return brief.str_drafts(analytics.money_trails(graph.evidence(c["cases"]), c["cases"], c["accused"], groups))
+    return brief.str_drafts(analytics.money_trails(graph.evidence(c["cases"]), c["cases"], c["accused"], groups)).select("account", "reference", "n_cases", "pattern")
 
 
 @query("q24_conversation_turns")
