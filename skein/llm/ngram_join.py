@@ -13,8 +13,9 @@ Every document is the set of its distinct k-word shingles; two documents link wh
   meetings; the suffix filter acts on both sets, before they are intersected. A pair is verified once.
 * Large groups of near copies: where more than `few` sets meet in a shingle, each is compared with one
   pivot. Two that both link to it need no comparison to be in one component. All others are found by a
-  second prefix filter, over the shingles in which a set differs from the pivot: near misses share few
-  of those, so their number does not follow the square of the group. No link between components is lost.
+  second prefix filter, over the shingles in which a set differs from the pivot; where more than `few` meet
+  again, they get a pivot of their own, and so on for up to LEVELS levels. Pairs verified grow in proportion to such a
+  group, not with its square (tested with families near to and far from their pivot). No link between components is lost.
 * All links: jaccard_links and link_counts take no such shortcut and verify every pair of different sets
   that passes the filters.
 
@@ -297,45 +298,87 @@ def _met_pairs(meet: DataFrame, percent: int) -> DataFrame:
     return pair.where((100 + percent) * (F.col("c") + rest - 1) >= percent * both).select(*_pair())
 
 
-def _edit_pairs(edits: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of sets around one pivot p, of which one at least does not link to p, that can link to each other.
+def _edit_rows(edits: DataFrame, percent: int) -> DataFrame:
+    """Where the sets around one pivot p meet that can link to each other, unless both link to p: rows (key, doc, n, d, s,
+    before, far, low).
 
     With d edits each, two sets differ in d1 + d2 - 2 * (edits in common) shingles, and they link where that is at most
-    c * (n1 + n2), c = (100 - percent) / (100 + percent). A set beyond c * (n + m) of the pivot's m shingles thus needs
-    (d - c * (n + m)) / 2 edits in common with any other, and any other needs (d + c * (m - n)) / 2 with such a
-    set. That makes prefixes of the edits, rarest first; edits that only one set has are counted, not joined."""
+    c * (n1 + n2), c = (100 - percent) / (100 + percent). So d1 and d2 are no further apart than that, and the
+    two need (d1 + d2 - c * (n1 + n2)) / 2 edits in common. Numbers of edits fall into buckets; for each bucket that
+    a partner may be in, a set has a prefix of its edits, rarest first, whose length follows from what the two need. They
+    meet in an edit of both prefixes, under both buckets; `low` tells whose is the lower one. Edits that only one set has
+    are counted, not joined."""
     up, down = 100 + percent, 100 - percent
     times = edits.groupBy("p", "e").agg(F.count("*").alias("times")).where("times > 1")
     ranked = W.partitionBy("p", "doc")
     shared = edits.join(times, ["p", "e"]).select("*", (F.row_number().over(ranked.orderBy("times", "e")) - 1).alias("before"), F.count("*").over(ranked).alias("s"))
-    need_far = F.greatest(F.lit(1), F.ceil((up * F.col("d") - down * (F.col("n") + F.col("m"))) / F.lit(2 * up)))
-    need_any = F.greatest(F.lit(1), F.ceil((up * F.col("d") + down * (F.col("m") - F.col("n"))) / F.lit(2 * up)))
-    rows = shared.select("p", "e", "doc", "n", "d", "s", "before", ((F.col("before") <= F.col("s") - need_far) & ~F.col("linked")).alias("far"), (F.col("before") <= F.col("s") - need_any).alias("near"))
-    rows = scratch.store(rows.where("far or near"), "edits")
-    fields = ("doc", "n", "d", "s", "before")
+    width = F.greatest(F.lit(1), F.expr(f"{down} * m div {2 * up}"))
+    most = F.expr(f"n * 100 div {percent}")  # the largest and smallest partner: n * 100 / percent and n * percent / 100
+    reach = F.expr(f"{down} * (n + n * 100 div {percent}) div {up}")  # no partner's number of edits is further away
+    beyond = F.expr(f"{down} * ((n * {percent} + 99) div 100 + m) div {up}")  # a partner that does not link to the pivot has more
+    first = F.greatest(F.lit(0).cast("long"), F.col("d") - reach, F.when(F.col("linked"), beyond).otherwise(0))
+    shared = shared.withColumns({"w": width}).withColumns({"j1": F.floor(first / F.col("w")), "j2": F.floor((F.col("d") + reach) / F.col("w"))})
+    shared = shared.where("j1 <= j2").withColumn("j", F.explode(F.sequence("j1", "j2")))
+    need = F.greatest(F.lit(1), F.ceil((up * (F.col("d") + F.col("j") * F.col("w")) - down * (F.col("n") + most)) / F.lit(2 * up)))
+    b = F.floor(F.col("d") / F.col("w"))
+    rows = shared.where(F.col("before") <= F.col("s") - need).withColumn("b", b)
+    low, high = F.least("b", "j"), F.greatest("b", "j")
+    return rows.select(F.struct("p", "e", low.alias("lo"), high.alias("hi")).alias("key"), "doc", "n", "d", "s", "before", (~F.col("linked")).alias("far"), (F.col("b") == low).alias("low"))
+
+
+def _keys(rows: DataFrame) -> DataFrame:
+    """(key, sets, p2) of the keys in which a pair can meet: their number of sets, and the first that does not link to the pivot."""
+    keys = rows.groupBy("key").agg(F.count("*").alias("sets"), F.min(F.when(F.col("far"), F.col("doc"))).alias("p2"), F.max("low").alias("lows"), F.min("low").alias("all_low"))
+    both = (F.col("key.lo") == F.col("key.hi")) | (F.col("lows") & ~F.col("all_low"))
+    return keys.where((F.col("sets") > 1) & F.col("p2").isNotNull() & both).select("key", "sets", "p2")
+
+
+def _key_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the rows of each key, one of them at least far from the pivot, that can have the edits in common they need."""
+    up, down = 100 + percent, 100 - percent
+    fields = ("doc", "n", "d", "s", "before", "far", "low")
     most = F.least("before1", "before2") + F.least(F.col("s1") - F.col("before1"), F.col("s2") - F.col("before2"))
-    met = _side(rows.where("far"), ["p", "e"], fields, 1).join(_side(rows.where("near"), ["p", "e"], fields, 2), ["p", "e"])
-    met = met.where((F.col("doc1") != F.col("doc2")) & _sizes_fit(percent) & (2 * up * most >= up * (F.col("d1") + F.col("d2")) - down * (F.col("n1") + F.col("n2"))))
+    met = _side(rows.where("low"), ["key"], fields, 1).join(_side(rows, ["key"], fields, 2), "key")
+    once = F.when(F.col("key.lo") == F.col("key.hi"), F.col("doc1") < F.col("doc2")).otherwise(~F.col("low2"))
+    met = met.where(once & (F.col("far1") | F.col("far2")) & _sizes_fit(percent) & (2 * up * most >= up * (F.col("d1") + F.col("d2")) - down * (F.col("n1") + F.col("n2"))))
     return met.select(*_pair()).distinct()
 
 
-def _links(meet: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, few: int) -> DataFrame:
+#: Levels of pivots after which the pairs of a key that is still crowded are formed.
+LEVELS = 8
+
+
+def _links(meet: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, few: int, levels: int = LEVELS) -> DataFrame:
     """Links (a, b) enough to make all components: every two sets that meet and can link are verified, or both link to
-    one pivot. Shingles with up to `few` sets give pairs; of the others each set is compared with the shingle's pivot,
-    the one with the smallest id (an original comes before its copies), and its edits with those of the others."""
+    one pivot. Keys, shingles at first, with up to `few` sets give pairs; in the others each set is compared with the
+    key's pivot (of a shingle the one with the smallest id, as an original comes before its copies). What lies
+    beyond it meets again by its edits, under new keys, and so on: a family of copies that is far from one pivot has a pivot of
+    its own at the next level."""
     if meet.isEmpty():
         return meet.sparkSession.createDataFrame([], "a long, b long")
-    small = scratch.store(_met_pairs(meet.where(F.col("sets") <= few), percent), "pairs")
-    links = scratch.store(_verified(small, sets, percent), "links")
+    known = scratch.store(_met_pairs(meet.where(F.col("sets") <= few), percent), "pairs")
+    links = scratch.store(_verified(known, sets, percent), "links")
     crowd = meet.where(F.col("sets") > few)
-    if crowd.isEmpty():
-        return links
     pivot = crowd.groupBy("h").agg(F.min(F.struct("id", "doc")).alias("p")).select("h", F.col("p.doc").alias("b"))
-    around = crowd.select("h", F.col("doc").alias("a")).join(pivot, "h").where("a <> b").select("a", "b").distinct()
-    edited = scratch.store(_edited(around, sets, percent), "edited")
-    far = scratch.store(_edit_pairs(_edits(edited), percent, scratch).join(small, ["a", "b"], "left_anti"), "edit_pairs")
-    more = scratch.store(_verified(far, sets, percent), "edit_links")
-    return links.union(edited.where("linked").select("a", "b")).union(more)
+    around = crowd.select("h", F.col("doc").alias("a")).join(pivot, "h").select("a", "b")
+    for level in range(levels):
+        around = scratch.store(around.where("a <> b").select("a", "b").distinct(), f"around{level}")
+        if around.isEmpty():
+            break
+        edited = scratch.store(_edited(around, sets, percent), f"edited{level}")
+        links = links.union(edited.where("linked").select("a", "b"))
+        rows = scratch.store(_edit_rows(_edits(edited), percent), f"edits{level}")
+        keys = scratch.store(_keys(rows), f"keys{level}")
+        known = known.union(around.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        last = level == levels - 1
+        small = keys if last else keys.where(F.col("sets") <= few)
+        pairs = scratch.store(_key_pairs(rows.join(small.select("key"), "key"), percent).join(known, ["a", "b"], "left_anti"), f"pairs{level}")
+        known = known.union(pairs)
+        links = links.union(scratch.store(_verified(pairs, sets, percent), f"links{level}"))
+        if last:
+            break
+        around = rows.join(keys.where(F.col("sets") > few), "key").select(F.col("doc").alias("a"), F.col("p2").alias("b"))
+    return links
 
 
 def _prepared(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -362,19 +405,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, few: int
     with settings(docs.sparkSession, _BATCHES):
         rows, classes, meet, sets = _prepared(docs, k, percent, scratch)
         links = _links(meet, sets, percent, scratch, few)
+    return _with_components(rows, classes, links, scratch)
+
+
+def _with_components(rows: DataFrame, classes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     # rows of one id are one document: their sets are joined
     own = rows.where("doc_id is not null and digest is not null").join(classes, "digest").select("doc_id", "node")
     several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("doc_id", "a")
     same = own.join(several, "doc_id").select("a", F.col("node").alias("b"))
     comp = scratch.store(connected_components(links.union(same)).select(F.col("id").alias("node"), "component"), "components")
-    scratch.drop("met", "meet", "pairs", "links", "edited", "edits", "edit_pairs", "edit_links")
+    scratch.drop("met", "meet", "pairs", "links", *(f"{x}{i}" for x in ("around", "edited", "edits", "keys", "pairs", "links") for i in range(LEVELS)))
     least = classes.join(comp, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     found = classes.join(comp.join(least, "component").select("node", "component_id"), "node", "left").select("digest", F.coalesce("component_id", "first").alias("component_id"))
     return rows.join(found, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _set_links(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, members (doc_id, set), links (a, b) of different sets): every pair that meets and passes the filters is verified."""
+def _set_links(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, members (doc_id, set), links (a, b) of different sets): every pair that meets and passes the filters is verified."""
     with settings(docs.sparkSession, _BATCHES):
         rows, classes, meet, sets = _prepared(docs, k, percent, scratch)
         pairs = scratch.store(_met_pairs(meet, percent), "all_pairs")
@@ -382,21 +429,22 @@ def _set_links(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple
     members = rows.where("doc_id is not null and digest is not null").join(classes, "digest").select("doc_id", F.col("node").alias("set")).distinct()
     members = scratch.store(members, "members")
     scratch.drop("met", "meet", "all_pairs")
-    return rows, members, links
+    return rows, classes, members, links
 
 
 def jaccard_links(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(a, b) with a < b: every two ids that link, those of copies included. A group of n copies has n * (n - 1) / 2 of them."""
-    _, members, links = _set_links(docs, k, percent, Scratch(docs.sparkSession, "links"))
+    _, _, members, links = _set_links(docs, k, percent, Scratch(docs.sparkSession, "links"))
     near = links.union(links.select("b", "a")).union(members.select("set", "set").toDF("a", "b").distinct())
     x, y = members.toDF("x", "a"), members.toDF("y", "b")
     return near.join(x, "a").join(y, "b").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 
 def link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """Per distinct id: doc_id, n_links (how many other ids it links with). Copies are counted by class, not paired."""
+    """Per row of docs: doc_id, n_shingles, component_id, n_links (how many other ids it links with). Copies are counted by
+    class, not paired."""
     scratch = Scratch(docs.sparkSession, "link_counts")
-    rows, members, links = _set_links(docs, k, percent, scratch)
+    rows, classes, members, links = _set_links(docs, k, percent, scratch)
     several = members.groupBy("doc_id").agg(F.count("*").alias("sets"))
     members = scratch.store(members.join(several, "doc_id").select("doc_id", "set", (F.col("sets") > 1).alias("several")), "nodes")
     # ids of one set are one node by set; an id of several is a node of its own
@@ -409,7 +457,8 @@ def link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     more = reach.join(multiple, "other").groupBy("several", "node").agg(F.countDistinct("id").alias("n"))
     total = counted.union(more).groupBy("several", "node").agg((F.sum("n") - 1).alias("n_links"))  # a node reaches itself
     found = members.select("doc_id", "several", "node").distinct().join(total, ["several", "node"]).select("doc_id", "n_links")
-    return rows.where("doc_id is not null").select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    grouped = _with_components(rows, classes, links, scratch)
+    return grouped.join(found, "doc_id", "left").select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links"))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,3 +479,5 @@ WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(
 SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = w.doc_id
 """
+
+OP7_LINKS_SQL = OP7_SQL.replace("m.component_id\nFROM w", "m.component_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links\nFROM w LEFT JOIN (SELECT a, count(*) AS n FROM e GROUP BY a) l ON l.a = w.doc_id")

@@ -35,6 +35,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_kd_search": kd_search.OP1_SQL,
         "op3_decontamination": decontaminate.OP3_SQL,
         "op7_ngram_jaccard_join": ngram_join.OP7_SQL,
+        "op7_ngram_jaccard_links": ngram_join.OP7_LINKS_SQL,
         "op8_chat_format": chat_format.OP8_SQL,
         "op9_substring_dedup": substring_dedup.OP9_SQL,
         "op12_fill_middle": fill_middle.OP12_SQL,
