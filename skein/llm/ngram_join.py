@@ -14,8 +14,8 @@ Every document is the set of its distinct k-word shingles; two documents link wh
 * Large groups of near copies: where more than `few` sets meet in a shingle, each is compared with one
   pivot. Two that both link to it need no comparison to be in one component. All others are found by a
   second prefix filter, over the shingles in which a set differs from the pivot; where more than `few` meet
-  again, they get a pivot of their own, and so on for up to LEVELS levels. Pairs verified grow in proportion to such a
-  group, not with its square (tested with families near to and far from their pivot). No link between components is lost.
+  again, they get a pivot of their own, and so on for up to LEVELS levels. Pairs verified grow with such a group and with
+  the links it has, not with its square (tested with families near to and far from their pivot). No link between components is lost.
 * All links: jaccard_links and link_counts take no such shortcut and verify every pair of different sets
   that passes the filters.
 
