@@ -212,8 +212,23 @@ def names_protected(text: Column, protected: Sequence[str]) -> Column:
     return F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}]+"), F.array(*map(F.lit, protected)))
 
 
-#: Spoken digits.
+# Spoken numbers. Kannada ones are heard in several spellings.
 DIGIT_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+UNITS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9}
+TEENS = {"ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19}
+TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fourty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
+HEARD_NUMBERS = {
+    1: ["ಒಂದು", "ಉಂಡು", "ಒನ್ದು", "ondu", "undu"], 2: ["ಎರಡು", "ಇರಡು", "eradu"], 3: ["ಮೂರು", "ಮುರು", "mooru", "muru"], 4: ["ನಾಲ್ಕು", "nalku"], 5: ["ಐದು", "aidu"],
+    6: ["ಆರು", "aaru"], 7: ["ಏಳು", "elu"], 8: ["ಎಂಟು", "entu"], 9: ["ಒಂಬತ್ತು", "ombattu"], 10: ["ಹತ್ತು", "hattu"],
+}
+# What speech recognition makes of "fir", "case" and the first case numbers.
+MISHEARD = [
+    ("fir", ["fire", "fired", "fier", "fear", "feyar", "phair"]),
+    ("case", ["keys", "kase", "kaise", "keys's", "cayce"]),
+    ("case 1", ["keshwan", "kishwan", "kishan", "keshawan", "keshvan", "kesh one", "kesh wan"]),
+    ("case 2", ["kesh two", "keshtwo"]),
+    ("case 3", ["kesh three"]),
+]
 
 
 def spoken_digits(text: Column) -> Column:
@@ -224,6 +239,59 @@ def spoken_digits(text: Column) -> Column:
     return F.regexp_replace(out, r"(?<=\b\d) (?=\d\b)", "")
 
 
+def repaired(text: Column) -> Column:
+    """A transcript, lowered, with misheard words put right."""
+    out = F.lower(F.trim(text))
+    for right, wrong in MISHEARD:
+        out = F.regexp_replace(out, rf"\b({'|'.join(map(re.escape, wrong))})\b", right)
+    return F.trim(out)
+
+
+def _valued(words: dict[str, int], word: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in words.items() for x in kv)), word)
+
+
+def _english_number(words: Column) -> Column:
+    """The first number that the words spell: units, teens and tens add up, `hundred` multiplies, `and` goes on inside a
+    number, and any other word ends it. An automaton over the words, with the value and whether it has begun or ended."""
+    start = F.struct(F.lit(0).alias("value"), F.lit(False).alias("begun"), F.lit(False).alias("over"))
+
+    def step(s: Column, w: Column) -> Column:
+        adds = F.coalesce(_valued(UNITS | TEENS | TENS, w), F.lit(0))
+        value = F.when(w == "hundred", F.when(s["value"] == 0, 100).otherwise(s["value"] * 100)).otherwise(s["value"] + adds)
+        number = (adds > 0) | (w == "hundred")
+        ends = ~number & s["begun"] & (w != "and")
+        return F.when(s["over"], s).otherwise(F.struct(F.when(number, value).otherwise(s["value"]).alias("value"), (s["begun"] | number).alias("begun"), ends.alias("over")))
+
+    return F.aggregate(words, start, step, lambda s: F.when(s["begun"] & (s["value"] > 0), s["value"]))
+
+
+def spoken_case(text: Column) -> Column:
+    """The case number of a transcript: digits (three at most), else an English number, else a Kannada one in either
+    script: heard exactly, or in Kannada script within one edit, two for words of five letters and more. The nearest word wins,
+    ties to the smaller number. Null if there is none."""
+    t = repaired(text)
+    digits = F.regexp_extract(t, r"\b(\d{1,3})\b", 1)
+    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    heard = [(n, w) for n, variants in HEARD_NUMBERS.items() for w in variants]
+    table = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(w).alias("word"), F.lit(i).alias("i")) for i, (n, w) in enumerate(heard)))
+    exact = F.array_min(F.transform(F.filter(table, lambda x: F.array_contains(words, x["word"])), lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n"))))["n"]
+    kannada = F.filter(words, is_kannada)
+
+    def nearest(x: Column) -> Column:
+        d = F.array_min(F.transform(kannada, lambda w: F.levenshtein(w, x["word"])))
+        return F.when(is_kannada(x["word"]) & (d <= F.when(F.length(x["word"]) <= 4, 1).otherwise(2)), F.struct(d.alias("d"), x["i"].alias("i"), x["n"].alias("n")))
+
+    close = F.array_min(F.array_compact(F.transform(table, nearest)))["n"]
+    return F.coalesce(F.when(digits != "", digits.cast("int")), _english_number(words), exact, close).cast("long")
+
+
+def parsed_day(text: Column, fallback: Column | None = None) -> Column:
+    """The day of an ISO date or time, else the fallback, else null."""
+    day = F.coalesce(text.try_cast("timestamp").cast("date"), F.substring(text, 1, 10).try_cast("date"))
+    return F.coalesce(day, fallback.cast("date")) if fallback is not None else day
+
+
 def near_word(word: Column, target: str) -> Column:
     """Within one edit, or two for Kannada words."""
     return F.levenshtein(word, F.lit(target)) <= F.when(is_kannada(word), 2).otherwise(1)
@@ -237,4 +305,4 @@ def crime_number(category: Column, district: Column, station: Column, year: Colu
 def dispatch(text: Column) -> Column:
     """Brief for a case number, name search for name-shaped text, else conversation."""
     name = text.rlike(r"^\p{L}[\p{L}\s.']{2,40}$") & (F.size(F.split(F.trim(text), r"\s+")) <= 4)
-    return F.when(explicit_case(spoken_digits(text)).isNotNull(), "brief").when(name, "search").otherwise("conversation")
+    return F.when(F.coalesce(explicit_case(repaired(text)), explicit_case(spoken_digits(text))).isNotNull(), "brief").when(name, "search").otherwise("conversation")

@@ -15,8 +15,9 @@ def canonical(*columns: str) -> Column:
     return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
 
 
-def chained(entries: DataFrame, chain: str, seq: str, payload: str) -> DataFrame:
-    """Entries with prev_hash and entry_hash = sha256(prev_hash + payload), from GENESIS, by chain.
+def chained(entries: DataFrame, chain: str, seq: str, payload: str, start: str | None = None) -> DataFrame:
+    """Entries with prev_hash and entry_hash = sha256(prev_hash + payload), by chain: from GENESIS, or from the hash
+    that the chain's rows hold in the column `start`.
 
     A hash needs the one before it, so a chain is walked in order in one task: rows are sorted on disk
     and streamed, only the last hash is kept. Chains run side by side.
@@ -29,9 +30,10 @@ def chained(entries: DataFrame, chain: str, seq: str, payload: str) -> DataFrame
         last, prev = object(), GENESIS
         for pdf in batches:
             before, after = [], []
-            for c, p in zip(pdf[chain], pdf[payload], strict=True):
+            starts = pdf[start] if start else [None] * len(pdf)
+            for c, p, first in zip(pdf[chain], pdf[payload], starts, strict=True):
                 if c != last:
-                    last, prev = c, GENESIS
+                    last, prev = c, first or GENESIS
                 before.append(prev)
                 prev = hashlib.sha256((prev + p).encode()).hexdigest()
                 after.append(prev)

@@ -183,3 +183,32 @@ def scope_of(cases: DataFrame, role: str, station: int | None = None, district:
     elif kind not in ("state", "aggregate"):
         ids = ids.limit(0)
     return ids
+
+
+def dashboard(cases: DataFrame, keys: dict[str, str], day: str, tie: str, top: dict[str, int], latest: int = 12) -> DataFrame:
+    """Q27: (section, rank, label, value, share) of a whole dashboard: `total`; a section for each of keys (section: column) with
+    counts by value; `monthly_trend`; and `recent`, the latest cases by day, with the case as value.
+
+    One scan of the cases counts all sections by grouping sets, days among them. The days' counts tell how far back the
+    latest cases reach, so the second read is of those days only. top limits a section to so many rows; rows without a key
+    count as a null label, those without a day in no month; without cases there are no rows."""
+    c = cases.select(*(F.col(v).cast("string").alias(k) for k, v in keys.items()), F.col(day).cast("date").alias("_day"))
+    sets = [[k] for k in keys] + [["_day"], []]
+    which = F.coalesce(*(F.when(F.grouping(k) == 0, F.lit(k)) for k in [*keys, "_day"]), F.lit("total"))
+    counted = c.groupingSets(sets, *keys, "_day").agg(which.alias("section"), F.count("*").alias("value"))
+    counted = counted.select("section", F.coalesce(*keys).alias("label"), "_day", "value").persist()  # one row a value or day
+    dated = counted.where("section = '_day' and _day is not null")
+    months = dated.groupBy(F.date_format("_day", "yyyy-MM").alias("label")).agg(F.sum("value").alias("value")).select(F.lit("monthly_trend").alias("section"), "label", "value")
+    out = counted.where("section <> '_day'").select("section", "label", "value").union(months)
+    every = W.partitionBy("section")
+    out = out.withColumn("share", F.when(~F.col("section").isin("total", "monthly_trend"), F.round(100.0 * F.col("value") / F.sum("value").over(every), 1)))
+    order = F.when(F.col("section") == "monthly_trend", 0).otherwise(-F.col("value"))
+    out = out.withColumn("rank", F.row_number().over(every.orderBy(order, F.col("label").asc_nulls_first())))
+    most = F.coalesce(*(F.when(F.col("section") == k, F.lit(n)) for k, n in top.items()), F.lit(2**31 - 1))
+    out = out.where(F.col("rank") <= most).select("section", "rank", "label", "value", "share")
+    newest = dated.orderBy(F.desc("_day")).limit(latest).agg(F.min("_day").alias("since"))  # so many days hold so many cases
+    since = newest.first()["since"]
+    late = cases.where(F.col(day) >= F.lit(since)) if since is not None else cases.limit(0)
+    recent_ = recent(late.where(F.col(day).isNotNull()), day, tie, latest)
+    recent_ = recent_.withColumn("rank", F.row_number().over(W.orderBy(F.desc(day), F.desc(tie))))  # at most `latest` rows
+    return out.union(recent_.select(F.lit("recent"), "rank", F.col(day).cast("date").cast("string"), F.col(tie).cast("long"), F.lit(None).cast("double")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from skein.functions import stats
 from skein.operators import analytics, governance, graph, relational as R, retrieval
 from skein.plans.registry import Tables, query
+from skein.session import Scratch
 
 
 def cases(t: Tables) -> DataFrame:
@@ -235,7 +236,10 @@ def g07(t):
     return connected_components(_decided(t).where("rule = 'A'"))
 
 
-@query("p10_w10_refused_pairs")
+@query("p10_w10_refused_pairs", f"""WITH e AS ({SHIPPED}), b AS (SELECT p_name, p_size FROM part GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60),
+ p AS (SELECT x.p_partkey AS a, y.p_partkey AS b FROM b JOIN part x USING (p_name, p_size) JOIN part y USING (p_name, p_size) WHERE x.p_partkey < y.p_partkey),
+ f AS (SELECT a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM e x JOIN e y ON x.entity = y.entity WHERE x.id = p.a AND y.id = p.b))
+SELECT a, min(b) AS b, CAST(1 AS DOUBLE) AS name_sim FROM f GROUP BY a ORDER BY a LIMIT 50""")
 def p10(t):
     people = t.part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("case_id"), F.col("p_name").alias("name"), F.col("p_size").alias("age"), F.lit(1).alias("gender"))
     pairs = graph.block_pairs(people, F.array(F.concat_ws("|", "name", "age")))
@@ -393,7 +397,15 @@ def g13(t):
     return analytics.near_repeat_clusters(placed(t)).withColumn("cases", F.array_join("cases", ","))
 
 
-@query("a14_a16_outcome_lift")
+@query("a14_a16_outcome_lift", f"""
+WITH c AS (SELECT k.*, 12.9 + (case_id * 7919 % 10007) / 100070.0 AS lat, 77.5 + (case_id * 104729 % 10009) / 100090.0 AS lon FROM ({CASES}) k),
+ d AS (SELECT *, row_number() OVER (PARTITION BY crime, district ORDER BY case_id) AS i FROM c),
+ near AS (SELECT x.case_id, y.case_id AS peer FROM c x JOIN c y ON x.crime = y.crime AND x.case_id <> y.case_id
+   AND 2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) <= 5000),
+ p AS (SELECT case_id, peer, row_number() OVER (PARTITION BY case_id ORDER BY peer) AS i FROM (SELECT * FROM near UNION SELECT x.case_id, y.case_id FROM d x JOIN d y ON x.crime = y.crime AND x.district = y.district AND x.case_id <> y.case_id AND y.i <= 41)),
+ o AS (SELECT p.case_id, translate(c.status, 'FOP', 'ACB') AS cstype, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = peer AND l_linestatus = 'F') AS arrest FROM p JOIN c ON c.case_id = p.peer WHERE i <= 40)
+SELECT case_id, count(*) AS peers, count(cstype) AS resolved, count(*) FILTER (WHERE cstype = 'A') AS solved, count(*) FILTER (WHERE cstype = 'C') AS unsolved, count(*) FILTER (WHERE cstype = 'B') AS "false",
+ count(*) FILTER (WHERE cstype = 'A' AND arrest) AS arrest_solved, count(*) FILTER (WHERE cstype = 'C' AND arrest) AS arrest_unsolved, round(100.0 * count(*) FILTER (WHERE cstype = 'A') / count(cstype), 1) AS clearance_pct FROM o GROUP BY 1""")
 def a14(t):
     c = cases(t)
     same = W.partitionBy("crime", "district").orderBy("case_id")
@@ -662,3 +674,60 @@ def r01c(t):
     from skein.streaming.windows import recent_counts
 
     return recent_counts(t.events.withColumn("g", F.col("user_id") % 10), "ts", "g", "event_type")
+
+
+# --- one dashboard, streams ----------------------------------------------------------------------------------
+
+
+@query("q27_dashboard", f"""WITH c AS ({CASES}),
+ k AS (SELECT 'status' AS section, status AS label, count(*) AS value FROM c GROUP BY ALL UNION ALL SELECT 'crime', crime, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'gravity', gravity, count(*) FROM c GROUP BY ALL UNION ALL SELECT 'district', district, count(*) FROM c GROUP BY ALL),
+ r AS (SELECT section, row_number() OVER (PARTITION BY section ORDER BY value DESC, label) AS rank, label, value, round(100.0 * value / sum(value) OVER (PARTITION BY section), 1) AS share FROM k),
+ m AS (SELECT strftime(day, '%Y-%m') AS label, count(*) AS value FROM c GROUP BY 1), l AS (SELECT day, case_id FROM c ORDER BY day DESC, case_id DESC LIMIT 12)
+SELECT section, CAST(rank AS INTEGER) AS rank, label, value, share FROM r WHERE section <> 'district' OR rank <= 8 UNION ALL SELECT 'total', 1, NULL, count(*), NULL FROM c
+ UNION ALL SELECT 'monthly_trend', CAST(row_number() OVER (ORDER BY label) AS INTEGER), label, value, NULL FROM m UNION ALL SELECT 'recent', CAST(row_number() OVER (ORDER BY day DESC, case_id DESC) AS INTEGER), CAST(day AS VARCHAR), case_id, NULL FROM l""")
+def q27(t):
+    return R.dashboard(cases(t), {"status": "status", "crime": "crime", "gravity": "gravity", "district": "district"}, "day", "case_id", {"district": 8})
+
+
+def _streamed(t: Tables, parts: list[DataFrame], name: str) -> tuple[DataFrame, Scratch]:
+    """The parts as micro-batches of a stream, one after the other."""
+    scratch = Scratch(t.spark, name)
+    for i, part in enumerate(parts):
+        scratch.store(part.coalesce(1), f"in/{i}")
+    return t.spark.readStream.schema(parts[0].schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(scratch.path("in")), scratch
+
+
+@query("r02_near_repeat_stream", NEAR)
+def r02(t):
+    """The orders' places as two streams, by quarters of their days."""
+    from skein.streaming.near import near_repeat_stream
+
+    rows = placed(t).select(F.col("case_id").alias("id"), "lat", "lon", F.col("registered").cast("timestamp").alias("ts"))
+    ends = rows.agg(F.min("ts").cast("long").alias("a"), F.max("ts").cast("long").alias("b")).first()
+    quarter = F.least(F.lit(3), F.floor(4 * (F.col("ts").cast("long") - F.lit(ends["a"])) / F.lit(max(1, ends["b"] - ends["a"])))) if ends["a"] is not None else F.lit(0)
+    parts = [rows.where(quarter == i) for i in range(4)]
+    (left, scratch), (right, _) = _streamed(t, parts, "near-left"), _streamed(t, parts, "near-right")
+    out = near_repeat_stream(left, right).select(F.col("a").alias("case_id"), F.col("b").alias("other"), "metres", "days")
+    out.writeStream.format("parquet").option("path", scratch.path("out")).option("checkpointLocation", scratch.path("checkpoint")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("case_id long, other long, metres double, days int").parquet(scratch.path("out"))
+
+
+BRANDED = "SELECT DISTINCT p_partkey AS id, unnest([p_brand || '|' || p_size, p_type || '|' || CAST(CAST(round(p_retailprice) AS BIGINT) AS VARCHAR)]) AS entity FROM part"
+
+
+@query("r03_incremental_identities", f"""WITH RECURSIVE x AS ({BRANDED}),
+ m AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b ON a.entity = b.entity AND a.id < b.id),
+ f AS (SELECT m.a, m.b FROM m JOIN part p ON p.p_partkey = m.a JOIN part q ON q.p_partkey = m.b WHERE abs(p.p_size - q.p_size) <= 2 AND (p.p_type = 'ECONOMY') = (q.p_type = 'ECONOMY')
+  AND least(jaro_winkler_similarity(split_part(p.p_name, ' ', 1), split_part(q.p_name, ' ', 1)), jaro_winkler_similarity(split_part(p.p_name, ' ', 2), split_part(q.p_name, ' ', 2))) >= 0.80),
+ e AS (SELECT a, b FROM f UNION SELECT b, a FROM f), r AS (SELECT a AS id, a AS n FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.n = e.a)
+SELECT id, min(n) AS component FROM r GROUP BY 1""")
+def r03(t):
+    """Parts as people, who share evidence by brand and size, or type and price; they come in three micro-batches."""
+    from skein.streaming.resolver import IncrementalResolver
+
+    price = F.round("p_retailprice").cast("long").cast("string")
+    people = t.part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("case_id"), F.col("p_name").alias("name"), F.col("p_size").cast("int").alias("age"), F.when(F.col("p_type") == "ECONOMY", 1).otherwise(2).alias("gender"), F.array(F.concat_ws("|", "p_brand", "p_size"), F.concat_ws("|", "p_type", price)).alias("entities"))
+    stream, scratch = _streamed(t, [people.where(F.pmod(F.xxhash64("id"), F.lit(3)) == i) for i in range(3)], "resolver")
+    resolver = IncrementalResolver(t.spark, scratch.path("er"))
+    resolver.start(stream, scratch.path("checkpoint")).awaitTermination()
+    return resolver.groups(t.spark)

@@ -105,21 +105,27 @@ def k01_every(t):
     return retrieval.top_by_impact(v, v, 6)
 
 
-# the SQL of the three queries above knows single words only; with word pairs, as the operator's default is,
-# they have no SQL and are tested against brute force
+# the same three with word pairs, as the operator's default is
+def _with_pairs(sql: str) -> str:
+    words = f"list_filter({WORD_SQL}, lambda w: NOT list_contains([{STOP}], w))"
+    for table, key in (("documents", "doc_id AS id"), ("benchmark", "item_id")):
+        name = key.split()[-1]
+        pairs = f"SELECT {name}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT {key}, {words} AS w FROM {table})"
+        sql = sql.replace(f"SELECT {key}, unnest({words}) AS term FROM {table}", pairs)
+    return sql
 
 
-@query("a23_term_frequencies_bigrams")
+@query("a23_term_frequencies_bigrams", _with_pairs(f"WITH {TFIDF_SQL} SELECT term, df, round(idf, 6) AS idf FROM d"))
 def a23b(t):
     return vectors(t, True)[1].select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-@query("t16_tfidf_bigrams")
+@query("t16_tfidf_bigrams", _with_pairs(f"WITH {TFIDF_SQL} SELECT id, term, round(w, 6) AS w FROM v"))
 def t16b(t):
     return vectors(t, True)[0].select("id", "term", F.round("w", 6).alias("w"))
 
 
-@query("k01_k02_top_similar_bigrams")
+@query("k01_k02_top_similar_bigrams", _with_pairs(TOP))
 def k01b(t):
     v, terms = vectors(t, True)
     return retrieval.top_cosine(retrieval.query_vectors(t.benchmark.select(F.col("item_id").alias("id"), "text"), terms), v, 5)
@@ -378,3 +384,95 @@ def q20(t):
 @query("q24_conversation_turns")
 def q24(t):
     return conversation.resolved(t.conversations, "conv_id", "turn", "text").select("conv_id", "turn", "language", F.col("route.intent").alias("intent"), F.array_join("refers", ",").alias("refers"), "case_id", "clarify")
+
+
+# --- answers: each order asks one question in its customer's session ---------------------------------------
+
+_ASKED = ["show me the network of fir %d", "what is the status of case %d", "who is the accused in fir %d", "who reported case %d", "background of fir %d", "which upi handles does fir %d name", "timeline of case %d", "summary of fir %d", "list them by caste", "and its status"]
+_LISTED = "array_to_string({v}[1:5], ', ') || CASE WHEN len({v}) > 5 THEN ' and ' || (len({v}) - 5) || ' more' ELSE '' END"
+ANSWERS = f"""WITH RECURSIVE {derived.IDENTITIES},
+ t AS (SELECT o_custkey AS session, o_orderkey AS turn, CAST(o_orderkey % 10 AS INTEGER) AS k FROM orders),
+ q AS (SELECT session, turn, k, CASE WHEN k < 8 THEN turn WHEN k = 9 THEN last_value(CASE WHEN k < 8 THEN turn END IGNORE NULLS) OVER (PARTITION BY session ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS case_id FROM t),
+ pv AS (SELECT * FROM ev WHERE entity NOT LIKE 'FinancialAccount:%'),
+ lk AS (SELECT x.case_id, list_sort(list(DISTINCT y.case_id)) AS v FROM pv x JOIN pv y ON x.entity = y.entity AND x.case_id <> y.case_id GROUP BY 1),
+ nm AS (SELECT case_id, list_sort(list(name)) AS v, count(*) AS n FROM people GROUP BY 1),
+ hs AS (SELECT x.case_id, list_sort(list(DISTINCT y.case_id)) AS v FROM who x JOIN who y ON x.resolved AND y.resolved AND x.identity = y.identity AND x.case_id <> y.case_id GROUP BY 1),
+ ac AS (SELECT case_id, list_sort(list(split_part(entity, ':', 2) || ' in ' || n || ' case(s)')) AS v FROM (SELECT case_id, entity, count(*) OVER (PARTITION BY entity) AS n FROM ev WHERE entity LIKE 'FinancialAccount:%') GROUP BY 1),
+ ar AS (SELECT case_id, min(registered + CAST(case_id % 30 AS INTEGER)) AS f, count(*) AS n FROM people JOIN cases USING (case_id) WHERE line = 2 GROUP BY 1)
+SELECT session, turn, CASE k WHEN 0 THEN 'network' WHEN 1 THEN 'status' WHEN 2 THEN 'accused' WHEN 3 THEN 'victim' WHEN 4 THEN 'identity_history' WHEN 5 THEN 'money_trail' WHEN 6 THEN 'timeline' WHEN 7 THEN 'summary' WHEN 8 THEN 'unknown' ELSE 'status' END AS intent, q.case_id,
+ CASE WHEN k = 8 THEN 'Offenders are not profiled by protected attributes.' WHEN q.case_id IS NULL THEN 'Which case should I analyse? Name its FIR number.'
+  WHEN k = 0 THEN CASE WHEN lk.v IS NULL THEN 'FIR ' || q.case_id || ' shares no phone or vehicle with another case.' ELSE 'FIR ' || q.case_id || ' is linked to ' || len(lk.v) || ' case(s): ' || {_LISTED.format(v="list_transform(lk.v, lambda x: 'FIR ' || x)")} || '.' END
+  WHEN k IN (1, 9) THEN 'FIR ' || q.case_id || ' has status ' || c.status || '; registered on ' || c.registered || ' in ' || c.district || '.'
+  WHEN k = 2 THEN CASE WHEN nm.v IS NULL THEN 'FIR ' || q.case_id || ' names no accused.' ELSE 'Accused in FIR ' || q.case_id || ': ' || {_LISTED.format(v="nm.v")} || '.' END
+  WHEN k = 3 THEN 'Complainant in FIR ' || q.case_id || ': ' || cu.c_name || '.'
+  WHEN k = 4 THEN CASE WHEN hs.v IS NULL THEN 'No accused of FIR ' || q.case_id || ' is resolved to another case.' ELSE 'Accused of FIR ' || q.case_id || ' are resolved to ' || len(hs.v) || ' other case(s): ' || {_LISTED.format(v="list_transform(hs.v, lambda x: 'FIR ' || x)")} || '.' END
+  WHEN k = 5 THEN CASE WHEN ac.v IS NULL THEN 'FIR ' || q.case_id || ' names no account.' ELSE 'Accounts in FIR ' || q.case_id || ': ' || {_LISTED.format(v="ac.v")} || '.' END
+  WHEN k = 6 THEN 'FIR ' || q.case_id || ': registered on ' || c.registered || CASE WHEN ar.n IS NULL THEN '; no arrest.' ELSE '; ' || ar.n || ' arrest(s), the first on ' || ar.f || '.' END
+  ELSE 'FIR ' || q.case_id || ': ' || c.crime || ' in ' || c.district || ', ' || coalesce(nm.n, 0) || ' accused, linked to ' || coalesce(len(lk.v), 0) || ' case(s).' END AS answer
+FROM q LEFT JOIN cases c USING (case_id) LEFT JOIN customer cu ON cu.c_custkey = c.station_id LEFT JOIN lk USING (case_id) LEFT JOIN nm USING (case_id) LEFT JOIN hs USING (case_id) LEFT JOIN ac USING (case_id) LEFT JOIN ar USING (case_id)
+"""
+
+
+@query("q24_q26_answers", ANSWERS)
+def q24_answers(t):
+    from skein.operators.answers import answered
+
+    c, _, groups = _resolved(t)
+    k = F.col("o_orderkey")
+    words = F.coalesce(*(F.when(k % 10 == i, F.format_string(a, k) if "%d" in a else F.lit(a)) for i, a in enumerate(_ASKED)))
+    turns = t.orders.select(F.col("o_custkey").alias("session"), k.alias("turn"), words.alias("text"))
+    return answered(turns, "session", "turn", "text", c["cases"], c["accused"], c["arrests"], c["complainants"], groups)
+
+
+# --- guards and small functions ---------------------------------------------------------------------------------
+
+
+@query("t25_claims", "SELECT o_orderkey, o_orderkey % 3 <> 0 AND o_orderkey % 4 = o_orderkey % 8 % 5 AS holds FROM orders")
+def t25(t):
+    k = F.col("o_orderkey")
+    answer = F.concat(F.lit("FIR "), k.cast("string"), F.lit(" is linked to "), (k % 4).cast("string"), F.lit(" cases"))
+    return t.orders.select(k, T.claims_hold(answer, F.when(k % 3 != 0, F.array(k)).otherwise(F.array(F.lit(-1).cast("long"))), k % 8 % 5).alias("holds"))
+
+
+@query("t27_t30_guards", r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('<think>a plan</think> Final answer: ' || text || '<THINK>not closed', '(?is)<think>.*?</think>', '', 'g'), '(?is)<think>.*$', ''), '(?is)^.*</think>', ''), '(?i)^\s*(final answer|answer)\s*:\s*', ''))) AS kept,
+ CASE WHEN regexp_matches(text, '(?i)\b(fir|case|accused|linked|account)\b') AND doc_id % 2 = 0 THEN '[BLOCKED: no citation]' ELSE md5(text) END AS cited,
+ list_has_any(regexp_split_to_array(lower(text), '[^\p{L}]+'), ['der', 'the', 'les']) AS protected FROM d""")
+def t27(t):
+    d = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    told = F.concat(F.lit("<think>a plan</think> Final answer: "), "text", F.lit("<THINK>not closed"))
+    cites = F.when(F.col("doc_id") % 2 == 1, F.array(F.col("doc_id")))
+    checked = T.cited_or_blocked(F.col("text"), cites)
+    return d.select("doc_id", F.md5(T.without_scratchpad(told)).alias("kept"), F.when(checked == "[BLOCKED: no citation]", checked).otherwise(F.md5(checked)).alias("cited"), T.names_protected(F.col("text"), ["der", "the", "les"]).alias("protected"))
+
+
+@query("t11_soundex_keys", f"WITH nd AS (SELECT p_partkey, p_name AS name FROM part), d AS (SELECT p_partkey, name, {_DIGITS} AS d FROM nd) SELECT p_partkey, {_SOUNDEX} AS first FROM d")
+def t11(t):
+    from skein.functions import names
+
+    return t.part.select("p_partkey", names.phonetic_keys(F.array("p_name"))[0].alias("first"))
+
+
+@query("t33_dispatch", "SELECT p_partkey, 'search' AS plain, 'brief' AS numbered, CASE WHEN p_partkey % 2 = 0 THEN 'brief' ELSE 'conversation' END AS asked FROM part")
+def t33(t):
+    k = F.col("p_partkey").cast("string")
+    asked = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("what about fear "), k)).otherwise(F.concat(F.lit("show "), k, F.lit(" risky ones, please")))
+    return t.part.select("p_partkey", T.dispatch(F.col("p_name")).alias("plain"), T.dispatch(F.concat(F.lit("fir "), k)).alias("numbered"), T.dispatch(asked).alias("asked"))
+
+
+@query("t31_spoken_cases", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 900 + 100 WHEN o_orderkey % 3 = 1 THEN (o_orderkey % 9 + 1) * 100 + (o_orderkey % 8 + 2) * 10 + o_orderkey % 9 + 1 ELSE o_orderkey % 10 + 1 END AS heard FROM orders")
+def t31(t):
+    """Order keys as spoken case numbers: digits, English compounds, and Kannada words."""
+    k = F.col("o_orderkey")
+    unit, tens = (F.array(*map(F.lit, x)) for x in (list(T.UNITS), [w for w in T.TENS if w != "fourty"]))
+    english = F.concat_ws(" ", F.lit("keys"), F.element_at(unit, (k % 9 + 1).cast("int")), F.lit("hundred and"), F.element_at(tens, (k % 8 + 1).cast("int")), F.element_at(unit, (k % 9 + 1).cast("int")), F.lit("please"))
+    kannada = F.element_at(F.array(*(F.lit(v[0]) for v in T.HEARD_NUMBERS.values())), (k % 10 + 1).cast("int"))
+    said = F.when(k % 3 == 0, F.concat(F.lit("fire "), (k % 900 + 100).cast("string"))).when(k % 3 == 1, english).otherwise(F.concat(F.lit("ಪ್ರಕರಣ "), kannada))
+    return t.orders.select(k, T.spoken_case(said).alias("heard"))
+
+
+@query("m02_parsed_days", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 1) THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) WHEN o_orderkey % 4 = 2 THEN '2000-01-01' END AS day FROM orders")
+def m02(t):
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(k % 4 == 0, day).when(k % 4 == 1, F.concat(day, F.lit("T10:00:00"))).when(k % 4 == 2, F.lit("soon"))
+    return t.orders.select(k, T.parsed_day(text, F.when(k % 4 == 2, F.lit("2000-01-01"))).cast("string").alias("day"))

@@ -1,4 +1,4 @@
-"""Windows, sessions and audit as streams."""
+"""Windows and sessions as streams."""
 
 from __future__ import annotations
 
@@ -51,15 +51,3 @@ def latest_sessions(turns: DataFrame, most: int = 500) -> DataFrame:
     """The turns of the `most` sessions that began last; older ones are evicted first in, first out."""
     began = turns.groupBy("session").agg(F.min("ts").alias("began")).orderBy(F.desc("began"), "session").limit(most)
     return turns.join(began.select("session"), "session", "left_semi")
-
-
-def audit_sink(path: str):
-    """A foreachBatch sink that appends each micro-batch to its chain's table; a batch is its own chain,
-    so batches are verified side by side, and one that is written again replaces itself."""
-    from skein.operators.governance import chained
-
-    def write(entries: DataFrame, batch: int) -> None:
-        rows = entries.withColumn("chain", F.lit(batch).cast("long"))
-        chained(rows, "chain", "seq", "payload").drop("chain").write.mode("overwrite").parquet(f"{path}/chain={batch}")
-
-    return write

@@ -133,3 +133,90 @@ def test_incremental_components_follow_any_order_of_edges(spark, tmp_path):
     got = {r.id: r.component for r in comps.groups(spark).collect()}
     expected = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {i: got[i] for i in expected} == expected and all(got[i] == i for i in got if i not in expected)
+
+
+def test_one_audit_chain_over_batches(spark, tmp_path):
+    from skein.streaming.audit import AuditLog
+
+    rows = [(f"c{i % 3}" if i % 10 else None, i, f"p{i}") for i in range(60)]
+    part = lambda k: spark.createDataFrame(rows[20 * k : 20 * k + 20], "chain string, seq long, payload string")
+    log = AuditLog(spark, str(tmp_path / "log"), buckets=4)
+    log(part(0), 0)
+    for step in ("entries", "heads", "commit"):  # killed midway: nothing has changed
+        with pytest.raises(InterruptedError):
+            log(part(1), 1, fail=step)
+        assert log.entries(spark).count() == 20
+    log(part(1), 1)
+    first = sorted(map(str, log.entries(spark).collect()))
+    log(part(1), 1)  # comes again
+    assert sorted(map(str, log.entries(spark).collect())) == first
+    log(part(2), 2)
+    kept = log.entries(spark)
+    assert kept.count() == 60 and log.broken(spark).count() == 0
+    by_hand = {}
+    import hashlib
+
+    for r in sorted(kept.collect(), key=lambda r: r.seq):
+        prev = by_hand.get(r.chain, "GENESIS")
+        assert r.prev_hash == prev
+        by_hand[r.chain] = hashlib.sha256((prev + r.payload).encode()).hexdigest()
+        assert r.entry_hash == by_hand[r.chain]
+    assert {r.chain: r.head for r in log.heads(spark, 9).collect()} == by_hand
+    # a changed entry, and a batch that is gone
+    changed = kept.where("batch = 2").withColumn("payload", F.when(F.col("seq") == 43, "other").otherwise(F.col("payload"))).drop("batch").withColumn("bucket", F.lit(0))
+    place = next(r.place for r in kept.collect() if r.seq == 43)
+    rows_ = spark.createDataFrame(changed.collect(), changed.schema)
+    rows_.write.mode("overwrite").parquet(str(tmp_path / "log/entries/batch=2"))
+    chain = rows[43][0]
+    assert [(r.chain, r.first_bad) for r in AuditLog.broken(log, spark).collect()] == [(chain, place)]
+
+
+def test_audit_stream_survives_a_restart(spark, tmp_path):
+    from skein.streaming.audit import AuditLog
+
+    schema = "chain string, seq long, payload string"
+    parts = [[("a", 10 * k + i, f"p{k}{i}") for i in range(5)] for k in range(4)]
+    log = AuditLog(spark, str(tmp_path / "log"))
+
+    def run():
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        ended(source.writeStream.foreachBatch(log).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+
+    stream_of(spark, parts[:2], schema, tmp_path / "in")
+    run()
+    for k in (2, 3):
+        spark.createDataFrame(parts[k], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    run()
+    kept = log.entries(spark).collect()
+    assert [r.payload for r in sorted(kept, key=lambda r: r.place)] == [p for part in parts for _, _, p in part] and log.broken(spark).count() == 0
+
+
+def test_sessions_are_evicted_in_the_order_they_began(spark, tmp_path):
+    from skein.streaming.sessions import desk_sessions
+
+    at = lambda m: START + datetime.timedelta(minutes=m)
+    schema = "desk string, session string, turn long, case_id long, ts timestamp"
+    parts = [
+        [("d", "a", 1, 5, at(0)), ("d", "b", 1, 6, at(1)), ("d", "c", 1, 7, at(2)), ("d", "a", 2, None, at(3)), ("e", "a", 1, None, at(3))],
+        [("d", "d", 1, None, at(10)), ("d", "a", 3, None, at(11)), ("d", "b", 2, None, at(12)), ("d", "c", 2, None, at(13))],  # d evicts a; a evicts b, b evicts c, c evicts d
+        [("d", "c", 3, 9, at(20)), ("d", "c", 4, None, at(21)), ("d", "c", 5, None, at(22)), ("d", "c", 6, None, at(23)), (None, "x", 1, 3, at(24))],
+        [("d", "c", 7, None, at(200))],  # idle
+    ]
+
+    def run(name):
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = desk_sessions(source, most=3, keep=4)
+        ended(out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start())
+
+    stream_of(spark, parts[:2], schema, tmp_path / "in")
+    run("one")
+    for k in (2, 3):  # the stream is started again
+        spark.createDataFrame(parts[k], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    run("two")
+    got = {(r.desk, r.session, r.turn): (r.case_id, r.began) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {
+        ("d", "a", 1): (5, True), ("d", "b", 1): (6, True), ("d", "c", 1): (7, True), ("d", "a", 2): (5, False), ("e", "a", 1): (None, True),
+        ("d", "d", 1): (None, True), ("d", "a", 3): (None, True), ("d", "b", 2): (None, True), ("d", "c", 2): (None, True),
+        ("d", "c", 3): (9, False), ("d", "c", 4): (9, False), ("d", "c", 5): (9, False), ("d", "c", 6): (None, True), ("", "x", 1): (3, True),
+        ("d", "c", 7): (None, True),
+    }
