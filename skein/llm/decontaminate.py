@@ -1,12 +1,10 @@
-"""Benchmark decontamination (operator 3): containment search with size-partitioned MinHash.
-
-A test item of n distinct k-word shingles leaks into a document that holds at least
-ceil(percent * n / 100) of them. The document's own size says nothing about that, so a MinHash
-signature of a long document forgets short items; signatures are taken of the items instead. Items
-are partitioned by size n, and the size sets how many minima are kept: of an item's shingles at most
-n - ceil(percent * n / 100) can be missing, so a leak has one of the item's
-n - ceil(percent * n / 100) + 1 smallest hashes (the bottom-k MinHash, each value a band of one row).
-Every shingle of every document probes these bands, so no leak is missed; of the documents that meet
+"""Benchmark decontamination (operator 3): containment search by bottom-k prefixes, verified by exact shingle containment.
+
+Not the size-partitioned MinHash of the operator's name: the estimate of a signature loses leaks (figures in the README), so its
+place is taken by an exact filter. A test item of n distinct k-word shingles leaks into a document that holds at least
+ceil(percent * n / 100) of them. At most n - ceil(percent * n / 100) of an item's shingles can be missing, so a leak has
+one of the item's n - ceil(percent * n / 100) + 1 smallest hashes: how many are kept follows from the item's size.
+Every shingle of every document probes these, so no leak is missed; of the documents that meet
 one, the shingles' strings are counted for each item: exact containment. Strings are joined as rows, so no
 document's shingles are gathered or copied for each item.
 
