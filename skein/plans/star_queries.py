@@ -358,14 +358,21 @@ def k04(t):
 
 @query("j12_comparable_cases", f"WITH c AS ({CASES}), p AS (SELECT x.case_id, y.case_id AS peer, row_number() OVER (PARTITION BY x.case_id ORDER BY y.case_id) AS i FROM c x JOIN c y ON x.crime = y.crime AND x.district = y.district AND x.case_id <> y.case_id) SELECT case_id, count(*) AS peers, CAST(sum(peer) AS BIGINT) AS checksum FROM p WHERE i <= 40 GROUP BY 1")
 def j12(t):
-    # the SQL knows the district branch alone, so points are left out; j12_comparable_near_cases has both
+    # the district branch alone, without points; j12_comparable_near_cases has both
     c = cases(t).withColumns({"lat": F.col("case_id") % 150 - 75.0, "lon": F.col("case_id") / 1000.0 % 360 - 180.0, "registered": F.col("day")})
     return analytics.comparable(c.withColumn("lon", F.lit(None).cast("double"))).groupBy("case_id").agg(F.count("*").alias("peers"), F.sum("peer").alias("checksum"))
 
 
-@query("j12_comparable_near_cases")
+#: p: the first peers of each case, i counting them.
+PEERS = f"""WITH c AS (SELECT k.*, 12.9 + (case_id * 7919 % 10007) / 100070.0 AS lat, 77.5 + (case_id * 104729 % 10009) / 100090.0 AS lon FROM ({CASES}) k),
+ d AS (SELECT *, row_number() OVER (PARTITION BY crime, district ORDER BY case_id) AS i FROM c),
+ near AS (SELECT x.case_id, y.case_id AS peer FROM c x JOIN c y ON x.crime = y.crime AND x.case_id <> y.case_id
+   AND 2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) <= 5000),
+ p AS (SELECT case_id, peer, row_number() OVER (PARTITION BY case_id ORDER BY peer) AS i FROM (SELECT * FROM near UNION SELECT x.case_id, y.case_id FROM d x JOIN d y ON x.crime = y.crime AND x.district = y.district AND x.case_id <> y.case_id AND y.i <= 41))"""
+
+
+@query("j12_comparable_near_cases", PEERS + " SELECT case_id, count(*) AS peers, CAST(sum(peer) AS BIGINT) AS checksum FROM p WHERE i <= 40 GROUP BY 1")
 def j12n(t):
-    # both branches; without SQL, tested against brute force
     return analytics.comparable(_placed_cases(t)).groupBy("case_id").agg(F.count("*").alias("peers"), F.sum("peer").alias("checksum"))
 
 
@@ -397,12 +404,7 @@ def g13(t):
     return analytics.near_repeat_clusters(placed(t)).withColumn("cases", F.array_join("cases", ","))
 
 
-@query("a14_a16_outcome_lift", f"""
-WITH c AS (SELECT k.*, 12.9 + (case_id * 7919 % 10007) / 100070.0 AS lat, 77.5 + (case_id * 104729 % 10009) / 100090.0 AS lon FROM ({CASES}) k),
- d AS (SELECT *, row_number() OVER (PARTITION BY crime, district ORDER BY case_id) AS i FROM c),
- near AS (SELECT x.case_id, y.case_id AS peer FROM c x JOIN c y ON x.crime = y.crime AND x.case_id <> y.case_id
-   AND 2 * 6371000 * asin(least(1.0, sqrt(pow(sin(radians(y.lat - x.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(y.lat)) * pow(sin(radians(y.lon - x.lon) / 2), 2)))) <= 5000),
- p AS (SELECT case_id, peer, row_number() OVER (PARTITION BY case_id ORDER BY peer) AS i FROM (SELECT * FROM near UNION SELECT x.case_id, y.case_id FROM d x JOIN d y ON x.crime = y.crime AND x.district = y.district AND x.case_id <> y.case_id AND y.i <= 41)),
+@query("a14_a16_outcome_lift", f"""{PEERS},
  o AS (SELECT p.case_id, translate(c.status, 'FOP', 'ACB') AS cstype, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = peer AND l_linestatus = 'F') AS arrest FROM p JOIN c ON c.case_id = p.peer WHERE i <= 40)
 SELECT case_id, count(*) AS peers, count(cstype) AS resolved, count(*) FILTER (WHERE cstype = 'A') AS solved, count(*) FILTER (WHERE cstype = 'C') AS unsolved, count(*) FILTER (WHERE cstype = 'B') AS "false",
  count(*) FILTER (WHERE cstype = 'A' AND arrest) AS arrest_solved, count(*) FILTER (WHERE cstype = 'C' AND arrest) AS arrest_unsolved, round(100.0 * count(*) FILTER (WHERE cstype = 'A') / count(cstype), 1) AS clearance_pct FROM o GROUP BY 1""")

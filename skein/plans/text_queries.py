@@ -3,6 +3,8 @@ and of the whole incident pipeline over the corpus that the star tables hold."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skein.functions import text as T
@@ -381,7 +383,26 @@ def q20(t):
     return brief.str_drafts(analytics.money_trails(graph.evidence(c["cases"]), c["cases"], c["accused"], groups)).select("account", "reference", "n_cases", "pattern")
 
 
-@query("q24_conversation_turns")
+def _routed_sql() -> str:
+    """T22-T24 and W07 in SQL, from the operators' own lists. RE2 knows ASCII word characters only, so boundaries are spelled out."""
+
+    def quoted(w: str) -> str:
+        return "'" + w.replace("'", "''") + "'"
+
+    def phrase(p: str) -> str:
+        edge = r"[^a-z0-9_\x{00C0}-\x{024F}]"
+        return f"contains(text, {quoted(p)})" if re.search(T.KANNADA, p) else f"regexp_matches(lower(text), {quoted(f'(^|{edge}){p}($|{edge})')})"
+
+    routes = " ".join(f"WHEN contains({'lower(text)' if english else 'text'}, {quoted(word)}) THEN '{name}'" for name, word, english in conversation.keywords())
+    refers = ", ".join(f"CASE WHEN {' OR '.join(map(phrase, phrases))} THEN '{kind}' END" for kind, phrases in conversation.REFERRING.items())
+    return f"""WITH t AS (SELECT conv_id, turn, text, CASE WHEN regexp_matches(text, '[A-Za-z]{{2,}}') AND regexp_matches(text, '[\\x{{0C80}}-\\x{{0CFF}}]') THEN 'code-mixed' WHEN regexp_matches(text, '[\\x{{0C80}}-\\x{{0CFF}}]') THEN 'kn' ELSE 'en' END AS language,
+ CASE {routes} ELSE 'unknown' END AS intent, list_filter([{refers}], lambda x: x IS NOT NULL) AS refers, TRY_CAST(regexp_extract(lower(text), '\\b(?:fir|case)\\s*#?\\s*(\\d+)\\b', 1) AS BIGINT) AS own FROM conversations),
+ c AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM t),
+ d AS (SELECT *, coalesce(own, CASE WHEN list_contains(refers, 'case') OR intent IN ('network', 'summary', 'status', 'timeline') THEN last END) AS case_id FROM c)
+SELECT conv_id, turn, language, intent, array_to_string(refers, ',') AS refers, case_id, list_contains(refers, 'case') AND case_id IS NULL AS clarify FROM d"""
+
+
+@query("q24_conversation_turns", _routed_sql())
 def q24(t):
     return conversation.resolved(t.conversations, "conv_id", "turn", "text").select("conv_id", "turn", "language", F.col("route.intent").alias("intent"), F.array_join("refers", ",").alias("refers"), "case_id", "clarify")
 
