@@ -104,3 +104,18 @@ def answered(turns: DataFrame, session: str, turn: str, text: str, cases: DataFr
     served = F.col("intent").isin("status", "accused", "victim", "network", "identity_history", "money_trail", "timeline", "summary")
     answer = F.when(F.col("refused"), REFUSED).when(~F.col("intent").isin(*known) | ~served, UNKNOWN).when(F.col("case_id").isNull(), ASK).otherwise(F.coalesce("answer", F.lit(NOTHING)))
     return out.select(session, turn, "intent", "case_id", answer.alias("answer"))
+
+
+def spoken(turns: DataFrame, text: str) -> DataFrame:
+    """Q25: transcripts as turns: repaired, and sent where T33 says: a case number alone asks for the case's summary, a question
+    with one keeps its words with the number in digits, a name is left to the person search (kind `search`), the rest is
+    conversation. Adds `kind` and puts the words that are to be answered in place of the text."""
+    heard = T.repaired(F.coalesce(text, F.lit("")))
+    number = T.spoken_case(F.col(text))
+    named = T.explicit_case(heard).isNotNull()
+    routed = conversation.intent(heard)["intent"] != "unknown"
+    fir = F.concat(F.lit("fir "), number.cast("string"))
+    words = F.when(number.isNull() | named, heard).when(routed, F.concat(heard, F.lit(" "), fir)).otherwise(F.concat(F.lit("summary of "), fir))
+    words = F.when(named & ~routed, F.concat(F.lit("summary of "), heard)).otherwise(words)
+    name = T.dispatch(heard) == "search"
+    return turns.withColumns({"kind": F.when(number.isNotNull(), "brief").when(name & ~routed, "search").otherwise("conversation"), text: words})

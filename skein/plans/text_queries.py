@@ -445,6 +445,27 @@ def q24_answers(t):
     return answered(turns, "session", "turn", "text", c["cases"], c["accused"], c["arrests"], c["complainants"], groups)
 
 
+VOICED = """, h AS (SELECT o_custkey AS session, o_orderkey AS turn, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 900 + 100 ELSE o_orderkey % 9 + 1 END AS case_id, o_orderkey % 4 >= 2 AS stated FROM orders)
+SELECT session, turn, CASE WHEN stated THEN 'status' ELSE 'summary' END AS intent, h.case_id, CASE WHEN c.case_id IS NULL THEN 'There is no such case, or none that you may see.'
+ WHEN stated THEN 'FIR ' || h.case_id || ' has status ' || c.status || '; registered on ' || c.registered || ' in ' || c.district || '.'
+ ELSE 'FIR ' || h.case_id || ': ' || c.crime || ' in ' || c.district || ', ' || coalesce(nm.n, 0) || ' accused, linked to ' || coalesce(len(lk.v), 0) || ' case(s).' END AS answer
+FROM h LEFT JOIN cases c USING (case_id) LEFT JOIN nm USING (case_id) LEFT JOIN lk USING (case_id)"""
+
+
+@query("q25_spoken_answers", ANSWERS[: ANSWERS.index("\nSELECT session, turn, CASE k")] + VOICED)
+def q25(t):
+    """Order keys spoken as case numbers, alone or asking for a status."""
+    from skein.operators.answers import answered, spoken
+
+    c, _, groups = _resolved(t)
+    k = F.col("o_orderkey")
+    unit = F.element_at(F.array(*map(F.lit, T.UNITS)), (k % 9 + 1).cast("int"))
+    said = F.when(k % 2 == 0, F.concat(F.lit("Fire "), (k % 900 + 100).cast("string"))).otherwise(F.concat(F.lit("kase "), unit))
+    said = F.when(k % 4 >= 2, F.concat(F.lit("status of "), said)).otherwise(said)
+    turns = spoken(t.orders.select(F.col("o_custkey").alias("session"), k.alias("turn"), said.alias("text")), "text")
+    return answered(turns, "session", "turn", "text", c["cases"], c["accused"], c["arrests"], c["complainants"], groups)
+
+
 # --- guards and small functions ---------------------------------------------------------------------------------
 
 

@@ -44,6 +44,19 @@ def test_answers_stay_in_scope(spark):
     assert got == {1: "FIR 1 shares no phone or vehicle with another case.", 2: NOTHING, 3: "No accused of FIR 1 is resolved to another case."}
 
 
+def test_spoken_turns_go_where_they_belong(spark):
+    from skein.operators.answers import spoken
+
+    said = ["Keshwan", "status of kase two", "Ravi Kumar", "what is the risk", "fire 2", "ಎರಡು", None, "network of FIR 1 please"]
+    df = spoken(spark.createDataFrame([("v", i, x) for i, x in enumerate(said)], "s string, t int, q string"), "q")
+    assert {r.t: (r.kind, r.q) for r in df.collect()} == {
+        0: ("brief", "summary of case 1"), 1: ("brief", "status of case two fir 2"), 2: ("search", "ravi kumar"), 3: ("conversation", "what is the risk"), 4: ("brief", "summary of fir 2"),
+        5: ("brief", "summary of fir 2"), 6: ("conversation", ""), 7: ("brief", "network of fir 1 please"),
+    }
+    got = {r.t: r.answer for r in answered(df.where("kind <> 'search'"), "s", "t", "q", *_tables(spark)).collect()}
+    assert got[1] == "FIR 2 has status unknown; registered on 2025-03-01 in D1." and got[5] == got[4] == "FIR 2: Theft in D1, 2 accused, linked to 1 case(s)."
+
+
 def test_branches_see_only_what_was_asked(spark):
     from skein.operators import graph
 
