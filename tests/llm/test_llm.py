@@ -547,7 +547,7 @@ def test_queries_and_sql_have_the_same_names():
     from skein.llm import registry
 
     assert set(registry.oracle_sql()) <= set(registry.queries())
-    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 def test_pipeline_stages(spark, tmp_path):
