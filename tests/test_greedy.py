@@ -21,9 +21,9 @@ def _swept(rank, edges, items, least, common):
 @pytest.mark.parametrize("small,least,common", [(0, 2, 2), (60, 3, 1), (1 << 16, 3, 2)])
 def test_rounds_equal_the_sweep(spark, small, least, common):
     rng = random.Random(small + 10 * least + common)
-    n = 40
+    n = 30
     rank = {i: rng.randrange(40) for i in range(n)}  # many ties
-    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(45)] + [(i, i + 1) for i in range(25, 36)]
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(32)] + [(i, i + 1) for i in range(18, 28)]
     edges = edges + [(b, a) for a, b in edges] + [(3, 3), (5, 999), (999, 5)]
     items = {i: rng.sample(ITEMS, rng.randint(0, 5)) for i in range(n)}
     v = spark.createDataFrame([(i, rank[i], items[i], "x") for i in range(n)], "id long, rank long, items array<string>, seed string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skein.functions import stats
 from skein.operators import graph
 from skein.operators.components import connected_components
+from skein.session import settings
 from skein.sources import fixtures
 from skein.streaming import near
 from skein.streaming.resolver import IncrementalComponents, IncrementalResolver, block_rows
@@ -16,6 +17,13 @@ from skein.streaming.resolver import IncrementalComponents, IncrementalResolver,
 START = datetime.datetime(2026, 1, 1, 12)
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each partition of each micro-batch opens a state store of its own."""
+    with settings(spark, {"spark.sql.shuffle.partitions": "2"}):
+        yield
+
+
 def ended(query, seconds=240):
     done = query.awaitTermination(seconds)
     query.stop()
