@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import star_queries, text_queries  # noqa: F401  they register themselves
+from skein.plans import route_queries, star_queries, text_queries  # noqa: F401  they register themselves
 from skein.plans.registry import QUERIES, SQL
 
 

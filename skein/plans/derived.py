@@ -24,7 +24,8 @@ def _lines(t: Tables) -> DataFrame:
 
 
 def corpus(t: Tables) -> dict[str, DataFrame]:
-    """cases, accused, truth (true_person, accused_id), arrests, complainants, victims, sections; written once."""
+    """cases, accused, truth (true_person, accused_id), arrests, complainants, victims, sections, lines (case_id, line, part, supp) and
+    planted (case_id, entity), the evidence that the narratives tell; written once."""
     scratch = Scratch(t.spark, "derived")
     k = F.col("o_orderkey")
     c = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -44,6 +45,10 @@ def corpus(t: Tables) -> dict[str, DataFrame]:
     )
     cases = scratch.store(cases.join(told, "case_id", "left").withColumn("facts", F.replace("story", F.lit("%s"), F.coalesce("told", F.lit("")))).drop("story", "told"), "cases")
     part = t.part.select(F.col("p_partkey").alias("part"), F.col("p_name").alias("name"), F.col("p_size").cast("int").alias("age"), F.when(F.col("p_type") == "ECONOMY", 1).otherwise(2).alias("gender"))
+    phone = F.concat(F.lit("Phone:+91"), (9_000_000_000 + F.col("part") * 3 + F.col("case_id") % 3).cast("string"))
+    vehicle = F.when((F.col("qty") > 40) & (F.col("line") == 2), F.concat(F.lit("Vehicle:"), F.format_string("KA-%02d-AB-%04d", F.col("supp") % 70 + 1, F.col("part") % 10_000)))
+    account = F.when(F.col("flag") == "R", F.concat(F.lit("FinancialAccount:acct"), F.col("supp").cast("string"), F.lit("@ybl")))
+    planted = lines.select("case_id", F.explode(F.array_compact(F.array(phone, vehicle, account))).alias("entity")).distinct()
     people = scratch.store(lines.join(part, "part").select((8 * F.col("case_id") + F.col("line")).alias("accused_id"), "case_id", "name", "age", "gender", "part", "line"), "people")
     arrests = people.where("line = 2").join(cases.select("case_id", "registered"), "case_id").select("case_id", "accused_id", F.date_add("registered", (F.col("case_id") % 30).cast("int")).alias("arrested_on"))
     return {
@@ -54,6 +59,8 @@ def corpus(t: Tables) -> dict[str, DataFrame]:
         "complainants": cases.select(F.col("case_id").alias("complainant_id"), "case_id", F.col("c_name").alias("name")),
         "victims": cases.select((3 * F.col("case_id")).alias("victim_id"), "case_id", F.concat(F.lit("Victim "), F.col("case_id").cast("string")).alias("name")),
         "sections": t.lineitem.where("l_linenumber > 2").select(F.col("l_orderkey").alias("case_id"), F.lit("IPC").alias("act"), (300 + F.col("l_linenumber")).cast("string").alias("section")).join(cases.select("case_id"), "case_id", "left_semi").distinct(),
+        "lines": lines.select("case_id", "line", "part", "supp"),
+        "planted": planted,
     }
 
 

@@ -11,6 +11,7 @@ from skein.functions import text as T
 from skein.operators import analytics, conversation, governance, graph, retrieval, search
 from skein.plans import brief, derived
 from skein.plans.registry import Tables, query
+from skein.session import Scratch
 
 EMAIL = r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]+"
 PHONE = r"\(\d{3}\) \d{3}-\d{4}"
@@ -339,13 +340,24 @@ def q21(t):
     return governance.timeline(c["cases"], c["accused"], c["arrests"], groups).select("case_id", "position", F.col("at").cast("string").alias("at"), "kind", "what")
 
 
-def _scored(t: Tables):
+def identities(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The corpus and (accused_id, identity), written once."""
     c, _, groups = _resolved(t)
     who = graph.identity_history(c["accused"], groups).select("accused_id", "identity")
+    return c, Scratch(t.spark, "identities").store(who, "who")
+
+
+def scores(c: dict[str, DataFrame], who: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(offences, risk scores) of the identities."""
     o = c["accused"].join(who, "accused_id").join(c["cases"], "case_id").select("identity", "case_id", F.col("registered").alias("day"), "gravity", "district")
     edges = graph.build_graph(c["cases"], c["accused"])[1]
     degrees = graph.degree(edges, who.select(F.col("accused_id").alias("id"), F.col("identity").alias("component"))).withColumnRenamed("component", "identity")
-    return c, o, analytics.risk(o, degrees)
+    return o, analytics.risk(o, degrees)
+
+
+def _scored(t: Tables):
+    c, who = identities(t)
+    return c, *scores(c, who)
 
 
 RISKS = f"""WITH RECURSIVE {derived.IDENTITIES},
