@@ -6,10 +6,14 @@ to the shared folder), so that later steps need no grouping, and they exchange p
 block sends each shard one sorted array of hashes, and the shard answers with one bit an entry. As
 a block is written before it is used, a task that runs again sends the same arrays in the same
 order. The numbers of blocks and of shards follow the input.
+
+Rows are dealt to blocks by their id and place. A place must not change when a task runs again, so a table whose
+rows come out of a shuffle is stored first.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,8 +27,20 @@ BLOCK_BYTES = 8 << 20
 PACKED = "block long, ids binary, known binary, tags binary, offsets binary, body binary"
 
 
+#: Steps of a plan that take rows in the order in which files hold them.
+_IN_ORDER = {"Project", "Filter", "Relation", "RelationV2", "LocalRelation", "LogicalRDD", "Union", "Generate"}
+
+
+def settled(df: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """df itself where its plan only reads files row by row, so that every run of a task sees the same rows at the same places; else a stored copy."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    steps = {found[1] for line in plan.splitlines() if (found := re.match(r"[\s:|+-]*(\w*)", line))}
+    return df if steps <= _IN_ORDER else scratch.store(df, name)
+
+
 def packed(docs: DataFrame, scratch: Scratch, each: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", name: str = "blocks") -> tuple[DataFrame, int]:
     """(blocks, their number); a null text counts as empty, `known` is 0 where the id is null."""
+    docs = settled(docs.select(id_col, text_col), scratch, f"{name}_rows")
     n = texts.blocks_for(docs.agg(F.sum(F.octet_length(text_col))).first()[0], each)
     rows = docs.select(
         # by the row's place too, so that rows that repeat an id, or have none, are spread
@@ -33,8 +49,7 @@ def packed(docs: DataFrame, scratch: Scratch, each: int = BLOCK_BYTES, id_col: s
         F.col(text_col).cast("binary").alias("text"),
         F.xxhash64(text_col).alias("tag"),
     )
-    count = max(n, docs.sparkSession.sparkContext.defaultParallelism)
-    return scratch.store(rows.repartition(count, "block").groupBy("block").applyInArrow(_pack, PACKED), name), n
+    return scratch.store(rows.repartition(texts.partitions_for(n, docs.sparkSession), "block").groupBy("block").applyInArrow(_pack, PACKED), name), n
 
 
 def _pack(table: pa.Table) -> pa.Table:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.llm import texts
-from skein.llm.blocks import BLOCK_BYTES, slices
+from skein.llm.blocks import BLOCK_BYTES, settled, slices
 from skein.session import Scratch, settings, shuffles_dropped
 
 #: The end token's place among word hashes.
@@ -418,9 +418,10 @@ def scores(docs: DataFrame, n_base: int | None = None, share: float = 2e-5, roun
 
 def _scores(docs: DataFrame, n_base: int | None, share: float, rounds: int, weight: float, block_bytes: int, sweeps: int, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
+    docs = settled(docs.select("doc_id", "held", "text"), scratch, "rows")
     n = texts.blocks_for(docs.agg(F.sum(F.octet_length("text"))).first()[0], block_bytes)
     rows = docs.select(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n)).alias("block"), F.col("doc_id").cast("long").alias("id"), "held", F.col("text").cast("binary").alias("text"))
-    blocks = scratch.store(rows.repartition(max(n, spark.sparkContext.defaultParallelism), "block").groupBy("block").applyInArrow(_stream, STREAMS), "blocks")
+    blocks = scratch.store(rows.repartition(texts.partitions_for(n, spark), "block").groupBy("block").applyInArrow(_stream, STREAMS), "blocks")
     total = blocks.agg(F.sum("trained")).first()[0] or 0
 
     with shuffles_dropped(spark):

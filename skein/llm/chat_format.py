@@ -161,7 +161,7 @@ def recovered(segments: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names)
 
     n = texts.blocks_for(segments.agg(F.sum(F.octet_length("text"))).first()[0], 8 << 20)
-    rows = segments.repartition(max(n, segments.sparkSession.sparkContext.defaultParallelism), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    rows = segments.repartition(texts.partitions_for(n, segments.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.select("conv_id", "segment").mapInArrow(fn, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

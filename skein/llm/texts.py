@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -133,3 +134,12 @@ def pieces(n_docs: int, offsets: np.ndarray, limit: int) -> list[tuple[int, int]
 def blocks_for(total_bytes: int | None, each: int) -> int:
     """How many blocks of about `each` bytes hold the input: the number follows the input."""
     return max(1, -(-int(total_bytes or 0) // each))
+
+
+#: The most partitions of a shuffle, as the driver keeps track of each; beyond that they hold several blocks and spill.
+MOST_PARTITIONS = 20_000
+
+
+def partitions_for(blocks: int, spark: SparkSession) -> int:
+    """Shuffle partitions for so many blocks: one for each, within bounds."""
+    return min(MOST_PARTITIONS, max(blocks, spark.sparkContext.defaultParallelism))

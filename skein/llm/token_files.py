@@ -98,7 +98,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end: int, shard_ids
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     n = texts.blocks_for(rows.agg(F.sum(F.octet_length("text"))).first()[0], 16 << 20)
-    rows = rows.repartitionByRange(max(n, spark.sparkContext.defaultParallelism), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(texts.partitions_for(n, spark), "doc_id").sortWithinPartitions("doc_id", "text")
     with shuffles_dropped(spark):
         rows.mapInArrow(fn, "raw binary").select(F.col("raw").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).mode("overwrite").text(path)
 
