@@ -14,11 +14,16 @@ A row without doc_id passes the middle three unchanged: they compare documents b
 repeat an id count as one document, of which near_duplicates keeps one row (the smallest text). A
 text that is cut keeps its other words joined by one space, and n_chars follows where there is one;
 a document of which nothing is left stays, with an empty text.
+
+Defined cases: a null text counts as empty where it is scored and packed, and otherwise is compared with
+nothing and stays null; an empty text stays; very long texts are worked on whole; equal texts of different
+ids are near duplicates, of which the smallest id stays; columns besides doc_id, text and n_chars are carried
+along, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skein.llm.decontaminate import contained_items
 from skein.llm.ngram_join import jaccard_components
@@ -36,12 +41,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_components(docs, k=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    # rows that repeat an id: one stays; rows without an id are not compared
-    first = F.row_number().over(W.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text"))
-    numbered = kept.select(F.struct(*docs.columns).alias("row"), first.alias("number"))
-    return numbered.where("row.doc_id is null or number = 1").select("row.*")
+    # rows that repeat an id are few as a rule: only they are brought together, the others stay where they are
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("least"))
+    alone = docs.join(ids.where("n > 1 or least <> doc_id").select("doc_id"), "doc_id", "left_anti")
+    several = docs.join(ids.where("n > 1 and least = doc_id").select("doc_id"), "doc_id", "left_semi")
+    first = several.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row")).select("row.*")
+    return alone.select(*docs.columns).unionByName(first)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
