@@ -95,7 +95,7 @@ def timeline(cases: DataFrame, accused: DataFrame, arrests: DataFrame, groups: D
     """(case_id, position, at, kind, what) of every case."""
     name = accused.select("accused_id", "name")
     who = accused.join(groups.withColumnRenamed("id", "accused_id"), "accused_id")
-    linked = who.select("component", "case_id").join(who.select("component", F.col("case_id").alias("other"), "name"), "component").where("case_id <> other").distinct()
+    linked = who.select("component", "case_id").join(who.select("component", F.col("case_id").alias("other"), "name"), "component").where("case_id <> other").drop("component").distinct()
     linked = linked.join(cases.select(F.col("case_id").alias("other"), "registered", "crime"), "other")
     parts = [
         cases.select("case_id", F.col("occurred").alias("at"), F.lit("INCIDENT").alias("kind"), F.concat(F.lit("Offence occurred "), F.date_format("occurred", "HH:mm")).alias("what")),
