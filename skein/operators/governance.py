@@ -7,6 +7,8 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from skein.session import Scratch
+
 GENESIS = "GENESIS"
 
 
@@ -172,21 +174,34 @@ def tampered(entries: DataFrame, chain: str, seq: str = "seq") -> DataFrame:
     return rows.where("_again <> entry_hash or _before <> prev_hash").groupBy(chain).agg(F.min(seq).alias("first_bad"))
 
 
+#: Beginnings of names with their lengths that are sent to every task after they are counted, about 10 MB.
+SMALL_HEADS = 200_000
+
+
+def _broadcast_if_small(heads: DataFrame) -> DataFrame:
+    heads = Scratch(heads.sparkSession, "heads").store(heads, "heads")
+    return F.broadcast(heads) if heads.count() <= SMALL_HEADS else heads
+
+
 def masked_table(df: DataFrame, columns: list[str], names: DataFrame) -> DataFrame:
     """T20 with a table of names: any known name, wherever it stands in a text, by one way for any number of names.
 
-    Names are found by their first three characters among those that stand anywhere in a text, so a row only meets
-    names that it may hold; the longest goes first. A row without any is left as it is, but for its numbers."""
+    Where three characters of a text begin names, its parts of these names' lengths from there are looked up among all names, so
+    a row only meets names that it holds; the longest goes first. A row without any is left as it is, but for its numbers."""
     import re
 
     from skein.functions.text import masked
 
-    known = names.where("length(name) > 2").select("name").distinct().withColumn("head", F.substring("name", 1, 3))
+    known = names.where("length(name) > 2").select("name").distinct()
+    heads = known.select(F.substring("name", 1, 3).alias("head"), F.length("name").alias("n")).distinct()
     out = df
     for c in columns:
         texts = out.where(F.length(c) > 2).select(c).distinct()
-        heads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(F.col(c), i, F.lit(3))))
-        hits = texts.select(c, F.explode(heads).alias("head")).join(known, "head").where(F.contains(F.col(c), F.col("name")))
+        at = F.sequence(F.lit(1), F.length(c) - 2)
+        starts = F.transform(at, lambda i: F.struct(F.substring(F.col(c), i, F.lit(3)).alias("head"), i.alias("at")))
+        # a text meets the names that are equal to a part of it, not all that begin alike
+        parts = texts.select(c, F.explode(starts).alias("s")).select(c, "s.*").join(_broadcast_if_small(heads), "head").select(c, F.substring(F.col(c), F.col("at"), F.col("n")).alias("name")).distinct()
+        hits = parts.join(known, "name")
         found = hits.groupBy(c).agg(F.collect_set("name").alias("_names"))
 
         @F.pandas_udf("string")
