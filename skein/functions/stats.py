@@ -84,9 +84,9 @@ def _width(band: Column) -> Column:
     return F.when(edge < 89, F.cos(F.radians(edge))).otherwise(0.0)
 
 
-def reached(x: Column) -> Column:
-    """The cells, two units wide, within one unit of x."""
-    return F.sequence(F.floor((x - 1) / 2), F.floor((x + 1) / 2))
+def reached(x: Column, by: float = 1) -> Column:
+    """The cells, two units wide, within `by` units of x."""
+    return F.sequence(F.floor((x - by) / 2), F.floor((x + by) / 2))
 
 
 def place_cell(lat: Column, lon: Column, metres: float) -> Column:
@@ -96,19 +96,19 @@ def place_cell(lat: Column, lon: Column, metres: float) -> Column:
     return F.struct(band.alias("band"), F.floor(lon * _width(band) / step / 2).alias("x"), F.floor(lat / step / 2).alias("y"))
 
 
-def cells_around(lat: Column, lon: Column, metres: float) -> Column:
-    """array<struct<band,x,y>>: the cells of all places within `metres`: two at most of each direction, but at the edge of a
-    band and at 180 degrees, where a place is reached from the other side too."""
+def cells_around(lat: Column, lon: Column, metres: float, by: float = 1) -> Column:
+    """array<struct<band,x,y>>: the cells of all places within `by` times `metres`, one time at most: two at most of each direction, but at
+    the edge of a band and at 180 degrees, where a place is reached from the other side too."""
     step = metres / 111_000.0
 
     def of_band(band: Column) -> Column:
         width = _width(band)
-        degrees = F.when(width > 0, step / width).otherwise(0.0)
+        degrees = F.when(width > 0, by * step / width).otherwise(0.0)
         beyond = F.filter(F.array(lon, lon - 360, lon + 360), lambda v: F.abs(v) <= 180 + degrees)
-        columns = F.array_distinct(F.flatten(F.transform(beyond, lambda v: reached(v * width / step))))
-        return F.flatten(F.transform(columns, lambda x: F.transform(reached(lat / step), lambda y: F.struct(band.alias("band"), x.alias("x"), y.alias("y")))))
+        columns = F.array_distinct(F.flatten(F.transform(beyond, lambda v: reached(v * width / step, by))))
+        return F.flatten(F.transform(columns, lambda x: F.transform(reached(lat / step, by), lambda y: F.struct(band.alias("band"), x.alias("x"), y.alias("y")))))
 
-    return F.flatten(F.transform(F.sequence(F.floor(lat - step), F.floor(lat + step)), of_band))
+    return F.flatten(F.transform(F.sequence(F.floor(lat - by * step), F.floor(lat + by * step)), of_band))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, metres: float, days: int | None = None) -> DataFrame:

@@ -14,9 +14,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from skein.functions import stats
 from skein.session import Scratch
 
 #: Edges that one task sweeps: about 2 MB.
@@ -105,3 +107,103 @@ def greedy_groups(vertices: DataFrame, edges: DataFrame, least: int, common: int
     else:
         raise RuntimeError(f"groups did not settle in {max_rounds} rounds")
     return reduce(DataFrame.union, found, spark.createDataFrame([], "seed long, id long"))
+
+
+#: A tile is twice this many radii wide, and its task holds the places that far around it; a round goes back so many spans of days.
+_REACH, _SPANS = 8, 6
+#: Rows of a round, where its days can be fewer.
+_ROUND_ROWS = 1 << 22
+
+
+def _tile(metres: float, days: int, least: int):
+    """The part of the sweep that a tile is sure of: (seed, id) of the groups of its own seeds, (null, id) of those that made none.
+
+    A place near the border misses neighbours, so what it takes is unsure, and so is what others take after it. Unsure are all
+    places in the cells, a quarter of the radius wide, that an unsure seed reaches: `since` is the day of the latest such seed."""
+
+    def fn(table: pa.Table) -> pa.Table:
+        t = {c: table[c].to_numpy() for c in ("id", "lat", "lon", "day", "seed", "core", "whole")}
+        order = np.lexsort((t["id"], -t["day"]))
+        t = {c: v[order] for c, v in t.items()}
+        lat, lon, day = np.radians(t["lat"]), np.radians(t["lon"]), t["day"].astype(np.int64)
+        unit = metres / 111_000.0
+        row = np.floor(t["lat"] / unit).astype(np.int64)
+        base = int(day.min()) - days - 1
+        width = int(day.max()) + days + 1 - base
+        key = row * width + (day - base)
+        by_key = np.argsort(key, kind="stable")
+        keys = key[by_key]
+        east = (t["lon"] - t["lon"][0] + 180) % 360  # a tile may lie across the date line
+        y = np.floor(t["lat"] / unit * 4).astype(np.int64)
+        x = np.floor(east * max(0.0, np.cos(np.abs(lat).max() + np.radians(unit))) / unit * 4).astype(np.int64)
+        y, x = y - y.min() + 4, x - x.min() + 4
+        far = np.iinfo(np.int64).max
+        since = np.full((int(y.max()) + 5, int(x.max()) + 5), far)
+        used = np.zeros(len(day), bool)
+        seeds, ids = [], []
+        for v in np.flatnonzero(t["seed"]).tolist():
+            if used[v]:
+                continue
+            d, r, c = day[v], y[v], x[v]
+            if t["whole"][v] and since[r, c] > d + days:
+                at = [row[v] * width + (d - base) + k * width for k in (-1, 0, 1)]
+                near = np.concatenate([by_key[np.searchsorted(keys, k - days) : np.searchsorted(keys, k + days, "right")] for k in at])
+                near = near[~used[near] & (near != v)]
+                h = np.sin((lat[near] - lat[v]) / 2) ** 2 + np.cos(lat[v]) * np.cos(lat[near]) * np.sin((lon[near] - lon[v]) / 2) ** 2
+                near = near[2 * stats.EARTH_M * np.arcsin(np.minimum(np.sqrt(h), 1.0)) <= metres]
+                sure = int((since[y[near], x[near]] > day[near] + days).sum())
+                if sure == len(near) or sure + 1 >= least:
+                    if len(near) + 1 >= least:  # whoever takes them, all are used from here on
+                        used[near], used[v] = True, True
+                        if sure == len(near) and t["core"][v]:
+                            ids += [t["id"][v], *t["id"][near]]
+                            seeds += [t["id"][v]] * (1 + len(near))
+                    elif t["core"][v]:
+                        ids.append(t["id"][v])
+                        seeds.append(None)
+                    continue
+            since[r - 4 : r + 5, c - 4 : c + 5] = d
+        return pa.table({"seed": pa.array(seeds, pa.int64()), "id": pa.array(ids, pa.int64())})
+
+    return fn
+
+
+def near_groups(rows: DataFrame, metres: float, days: int, least: int, most: int = _ROUND_ROWS) -> DataFrame:
+    """(seed, id): the groups of the sweep over rows (id, lat, lon, day), newest first, ties to the smaller id; neighbours are those within
+    `metres` and `days`. Ids are unique.
+
+    No pairs are formed: rounds go back in time, and in each one the tiles of the map decide what they can be sure of. The newest
+    undecided row always is, so the rounds end; how many there are follows from the days, not from the number of rows."""
+    if least < 2:
+        raise ValueError("a group has two members at least")
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "near-groups")
+    number = F.datediff("day", F.lit("1970-01-01"))
+    base = rows.select(F.col("id").cast("long"), F.col("lat").cast("double"), F.col("lon").cast("double"), number.alias("day")).dropna()
+    base = scratch.store(base.repartitionByRange("day"), "rows")
+    per_day = dict(base.groupBy("day").count().collect())  # one row a day of the calendar
+    wide, inner = metres * _REACH, (_REACH - 1) / _REACH
+    done = spark.createDataFrame([], "seed long, id long, day int")
+    schema, i = done.schema, 0
+    front = max(per_day, default=None)
+    while front is not None:
+        low = front - 2 * days
+        held = sum(n for d, n in per_day.items() if low <= d <= front + days)
+        while low > front - _SPANS * days and held + per_day.get(low - 1, 0) <= most:
+            low -= 1
+            held += per_day.get(low, 0)
+        span = F.col("day").between(low, front + days)
+        known = done.where(span).select("id", F.col("seed").isNotNull().alias("taken"))
+        live = base.where(span).join(known, "id", "left").where("taken is null or not taken").withColumn("seed", F.col("taken").isNull()).drop("taken")
+        live = scratch.store(live, f"live{i}")
+        whole = (F.col("day") - days >= low) | F.lit(low <= min(per_day))
+        place = live.withColumns({"own": stats.place_cell(F.col("lat"), F.col("lon"), wide), "inner": stats.cells_around(F.col("lat"), F.col("lon"), wide, inner), "cell": F.explode(stats.cells_around(F.col("lat"), F.col("lon"), wide))})
+        place = place.select("id", "lat", "lon", "day", "seed", (F.col("cell") == F.col("own")).alias("core"), (whole & F.array_contains("inner", F.col("cell"))).alias("whole"), "cell.*")
+        # tiles are few and large: a number of partitions keeps Spark from putting them together
+        decided = place.repartition(64, "band", "x", "y").groupBy("band", "x", "y").applyInArrow(_tile(metres, days, least), "seed long, id long")
+        scratch.store(decided.join(live.select("id", "day"), "id").select("seed", "id", "day"), f"done/{i}")
+        done = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(scratch.path("done"))
+        front = live.where("seed").join(done.where(span).select("id"), "id", "left_anti").agg(F.max("day")).first()[0]
+        scratch.drop(f"live{i}")
+        front, i = (front if front is not None else max((d for d in per_day if d < low), default=None)), i + 1
+    return done.where("seed is not null").select("seed", "id")
