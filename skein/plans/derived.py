@@ -24,7 +24,7 @@ def _lines(t: Tables) -> DataFrame:
 
 
 def corpus(t: Tables) -> dict[str, DataFrame]:
-    """cases, accused, truth (true_person, accused_id), arrests, complainants, victims, sections, lines (case_id, line, part, supp) and
+    """cases, accused, truth (true_person, accused_id), arrests, complainants, victims, sections (rows may repeat), lines (case_id, line, part, supp) and
     planted (case_id, entity), the evidence that the narratives tell; written once."""
     scratch = Scratch(t.spark, "derived")
     k = F.col("o_orderkey")
@@ -58,7 +58,7 @@ def corpus(t: Tables) -> dict[str, DataFrame]:
         "arrests": arrests,
         "complainants": cases.select(F.col("case_id").alias("complainant_id"), "case_id", F.col("c_name").alias("name")),
         "victims": cases.select((3 * F.col("case_id")).alias("victim_id"), "case_id", F.concat(F.lit("Victim "), F.col("case_id").cast("string")).alias("name")),
-        "sections": t.lineitem.where("l_linenumber > 2").select(F.col("l_orderkey").alias("case_id"), F.lit("IPC").alias("act"), (300 + F.col("l_linenumber")).cast("string").alias("section")).join(cases.select("case_id"), "case_id", "left_semi").distinct(),
+        "sections": t.lineitem.where("l_linenumber > 2").select(F.col("l_orderkey").alias("case_id"), F.lit("IPC").alias("act"), (300 + F.col("l_linenumber")).cast("string").alias("section")).join(cases.select("case_id"), "case_id", "left_semi"),
         "lines": lines.select("case_id", "line", "part", "supp"),
         "planted": planted,
     }
