@@ -12,13 +12,15 @@ edges is swept in one task.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from skein.functions import stats
+from skein.operators.components import connected_components
 from skein.session import Scratch
 
 #: Edges that one task sweeps: about 2 MB.
@@ -109,6 +111,77 @@ def greedy_groups(vertices: DataFrame, edges: DataFrame, least: int, common: int
     return reduce(DataFrame.union, found, spark.createDataFrame([], "seed long, id long"))
 
 
+def _swept_classes(least: int, common: int):
+    """The sweep over the classes of one component, until a seed is needed that is not among the known ids: then a row without
+    a seed tells the place (`at`) that the sweep has come to."""
+
+    def fn(table: pa.Table) -> pa.Table:
+        rows = {r["cls"]: r for r in table.to_pylist()}
+        near = {c: {c, *(x for x in r["near"] or () if x in rows)} for c, r in rows.items()}
+        items = {c: frozenset(r["items"] or ()) for c, r in rows.items()}
+        at = next(iter(rows.values()))["at"]
+        out: list[tuple] = []
+        free, changed, able = set(rows), set(rows), set()
+        while True:
+            for c in changed & free:
+                group = near[c] & free
+                enough = sum(rows[x]["n"] for x in group) >= least
+                (able.add if enough and (not common or len(frozenset.intersection(*(items[x] for x in group))) >= common) else able.discard)(c)
+            known, unknown = [], []
+            for c in able & free:
+                ids = rows[c]["ids"] or []
+                k = 0 if at is None else bisect_right(ids, at)
+                if k < len(ids):
+                    known.append((ids[k], c))
+                elif rows[c]["more"]:
+                    unknown.append(max([ids[-1]] if at is None else [at, ids[-1]]))
+            seed, c = min(known, default=(None, None))
+            if unknown and (seed is None or min(unknown) < seed):
+                out += [(None, c, at) for c in free]
+                break
+            if seed is None:
+                break
+            group = near[c] & free
+            out += [(seed, x, None) for x in group]
+            free -= group
+            at, changed = seed, set().union(*(near[x] for x in group))
+        return pa.table({"seed": pa.array([r[0] for r in out], pa.int64()), "cls": pa.array([r[1] for r in out], pa.int64()), "at": pa.array([r[2] for r in out], pa.int64())})
+
+    return fn
+
+
+def class_groups(members: DataFrame, classes: DataFrame, edges: DataFrame, least: int, common: int = 0, shown: int = 64) -> DataFrame:
+    """(seed, cls): the groups of the sweep over members (id, cls), smallest id first, where neighbours are the members of one
+    class, and those of two classes with an edge (a, b; both directions). Ids are unique; classes: cls, items.
+
+    No pairs of members are formed. A group takes all that is left of the classes that its seed meets, so a class is used as a
+    whole or not at all, and its members fail alike until a class beside it is used. So classes are swept, a component of them in one
+    task; of each class the next `shown` ids are known there, and where more are needed another round brings them."""
+    spark = members.sparkSession
+    scratch = Scratch(spark, "classes")
+    ids = members.select(F.col("id").cast("long"), F.col("cls").cast("long")).dropna()
+    e = scratch.store(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "edges")
+    sizes = ids.groupBy("cls").agg(F.count("*").alias("n"))
+    lists = e.groupBy(F.col("a").alias("cls")).agg(F.collect_list("b").alias("near"))
+    component = connected_components(e).select(F.col("id").alias("cls"), "component")
+    c = sizes.join(classes.select(F.col("cls").cast("long"), F.col("items")), "cls").join(lists, "cls", "left").join(component, "cls", "left")
+    c = scratch.store(c.withColumns({"component": F.coalesce("component", "cls"), "at": F.lit(None).cast("long")}), "classes0")
+    found, i = [], 0
+    while True:
+        # the next ids of each class; one id more tells whether there are more
+        rest = ids.join(c.select("cls", "at"), "cls").where("at is null or id > at")
+        first = rest.withColumn("_n", F.row_number().over(W.partitionBy("cls").orderBy("id"))).where(F.col("_n") <= shown + 1)
+        first = first.groupBy("cls").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+        known = c.join(first, "cls", "left").withColumns({"more": F.coalesce(F.size("ids") > shown, F.lit(False)), "ids": F.slice("ids", 1, shown)})
+        done = scratch.store(known.groupBy("component").applyInArrow(_swept_classes(least, common), "seed long, cls long, at long"), f"swept{i}")
+        found.append(done.where("seed is not null").select("seed", "cls"))
+        open_ = done.where("seed is null").select("cls", "at")
+        if open_.isEmpty():
+            return reduce(DataFrame.union, found)
+        i += 1
+        c = scratch.store(c.drop("at").join(open_, "cls"), f"classes{i}")
+
+
 #: A tile is twice this many radii wide, and its task holds the places that far around it; a round goes back so many spans of days.
 _REACH, _SPANS = 8, 6
 #: Rows of a round, where its days can be fewer.
